@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 
@@ -271,7 +272,7 @@ def encode(df: DataFrame, model: Unigram | None = None, text: str = "text", keep
                 yield pa.record_batch([*part.columns[:-1], ids], [*keep, column])
 
     kept = df.select(*keep)
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, kept.schema.add(column, "array<int>"))
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, kept.schema.add(column, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model: Unigram | None = None, ids: str = "ids", column: str = "decoded") -> DataFrame:
