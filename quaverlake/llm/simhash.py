@@ -39,9 +39,10 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints under one partition value that are met in one group.
 TILE = 4096
-#: Numbers of partitions that are weighed against each other, and what a probe costs in candidates.
+#: Numbers of partitions that are weighed against each other, and what a probe costs in candidates:
+#: a row that is exploded, shuffled and sorted took 2 to 4 us, a comparison 44 ns (both measured).
 PARTITIONS = (2, 3, 4, 5)
-PROBE_COST = 4.0
+PROBE_COST = 64.0
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
 
