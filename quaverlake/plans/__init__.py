@@ -1,9 +1,13 @@
 """Registered queries: one per operator, with the SQL that a second engine answers it by."""
 
+from . import events, index, matching, sequences, signals, texts
+
+_PARTS = (events, index, matching, sequences, signals, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
