@@ -19,18 +19,21 @@ def parse_lrc(df: DataFrame, key: str, text: str, minute_digits: int = 3, fold_b
     A stamp without words ends the line before it, if that is earlier and has no end yet.
     """
     pattern = STAMP.replace("{1,3}):", f"{{1,{minute_digits}}}):", 1)
-    line = df.select(key, F.posexplode(F.split(text, "\n")).alias("n", "raw"))
-    line = line.select(key, "n", T.strip(F.regexp_replace("raw", pattern, "")).alias("body"), F.posexplode(F.regexp_extract_all("raw", F.lit(pattern), F.lit(0))).alias("k", "stamp"))
-    part = lambda i: F.regexp_extract("stamp", pattern, i)
+    line = df.select(key, F.posexplode(F.split(text, "\n")).alias("__n", "__raw"))
+    stamps = F.regexp_extract_all("__raw", F.lit(pattern), F.lit(0))
+    line = line.select(key, "__n", T.strip(F.regexp_replace("__raw", pattern, "")).alias("__body"), F.posexplode(stamps).alias("__k", "__stamp"))
+    part = lambda i: F.regexp_extract("__stamp", pattern, i)
     t = part(1).cast("long") * 60000 + part(2).cast("long") * 1000 + F.rpad(part(3), 3, "0").cast("long")
-    line = line.select(key, "n", "k", "body", t.alias("t"))
-    order = Window.partitionBy(key).orderBy("t", "n", "k")
+    line = line.select(key, "__n", "__k", "__body", t.alias("__t"))
+    order = Window.partitionBy(key).orderBy("__t", "__n", "__k")
     if not fold_blanks:
-        return line.select(key, (F.row_number().over(order) - 1).alias("line_no"), F.col("t").alias("time_ms"), F.lit(None).cast("long").alias("end_ms"), F.col("body").alias("text"))
-    line = line.withColumn("g", F.sum((F.col("body") != "").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("g > 0")
-    start = F.max(F.when(F.col("body") != "", F.struct("t", "body"))).over(Window.partitionBy(key, "g"))
-    line = line.withColumn("s", start).groupBy(key, "g").agg(F.first("s").alias("s"), F.min(F.when((F.col("body") == "") & (F.col("t") > F.col("s.t")), F.col("t"))).alias("end_ms"))
-    return line.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("g")) - 1).alias("line_no"), F.col("s.t").alias("time_ms"), "end_ms", F.col("s.body").alias("text"))
+        return line.select(key, (F.row_number().over(order) - 1).alias("line_no"), F.col("__t").alias("time_ms"), F.lit(None).cast("long").alias("end_ms"), F.col("__body").alias("text"))
+    worded = F.col("__body") != ""
+    line = line.withColumn("__g", F.sum(worded.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__g > 0")
+    start = F.max(F.when(worded, F.struct("__t", "__body"))).over(Window.partitionBy(key, "__g"))
+    ends = F.min(F.when(~worded & (F.col("__t") > F.col("__s.__t")), F.col("__t"))).alias("end_ms")
+    line = line.withColumn("__s", start).groupBy(key, "__g").agg(F.first("__s").alias("__s"), ends)
+    return line.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("__g")) - 1).alias("line_no"), F.col("__s.__t").alias("time_ms"), "end_ms", F.col("__s.__body").alias("text"))
 
 
 def strip_credits(lines: DataFrame, key: str, order: str = "line_no", text: str = "text") -> DataFrame:

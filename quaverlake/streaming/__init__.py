@@ -1 +1,6 @@
+"""State machines over keyed, ordered samples, for streams and for tables alike."""
 
+from .machines import Changes, Easing, Envelope, Machine, Recorder, RecordSlot, TempoLock
+from .runner import over_stream, over_table, rescan_on
+
+__all__ = ["Changes", "Easing", "Envelope", "Machine", "RecordSlot", "Recorder", "TempoLock", "over_stream", "over_table", "rescan_on"]
