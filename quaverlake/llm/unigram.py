@@ -33,7 +33,7 @@ from .common import read_table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Segmented words that a worker keeps, and the longest word that runs with others.
+#: Segmented words that a worker keeps, and the longest word (in bytes) that is kept and runs with others.
 CACHE = 250_000
 TOGETHER = 64
 
@@ -105,7 +105,7 @@ class Unigram:
         self.words = re.compile(f"{MARK}*[^{MARK}{end}]+|{MARK}+|\n" if self.by_word else f"[^{end}]+|\n" if end else "(?s).+")
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "cache": {}}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"cache": {}}
 
     def together(self, words: list[bytes]) -> None:
         """Segment words of similar length and put them into the cache."""
@@ -165,8 +165,9 @@ class Unigram:
 
     def alone(self, w: bytes) -> tuple[int, ...]:
         """Segment one long word: the same recurrence a step at a time."""
-        base, check, value = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist()
-        scores, n = self.scores.tolist(), len(w)
+        if "_lists" not in self.__dict__:  # once a worker
+            self._lists = [x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.scores)]
+        (base, check, value, scores), n = self._lists, len(w)
         best, piece, back = [-np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
@@ -210,6 +211,7 @@ class Unigram:
         known = self.cache
         new = {w for ws in split for w in ws} - known.keys() - {None}
         by_length: dict[int, list[str]] = {}
+        passing: list[str] = []  # long words rarely come again
         for w in new:
             by_length.setdefault(-(-len(w.encode()) // 8), []).append(w)
         for k, ws in by_length.items():
@@ -221,10 +223,14 @@ class Unigram:
                     for w, c in zip(part, coded):
                         known[w] = known.pop(c)
             else:
+                passing += ws
                 for w in ws:
                     known[w] = self.alone(w.encode())
         known[None] = self.literal
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in split]
+        coded = [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in split]
+        for w in passing:
+            del known[w]
+        return coded
 
     def decode(self, ids) -> str:
         """Pieces put together, their markers made spaces, the first one dropped; byte pieces stay as they are."""
