@@ -2,9 +2,9 @@
 
 Words are lower-cased (A-Z) runs outside ASCII punctuation and space. A window is 13
 consecutive words of an item, or all words of a shorter one. The windows' word ids and
-hashes are broadcast; a document's words are mapped to ids, positions where all 13 words
-are known are hashed, hits are verified word by word, and the words inside any occurrence
-are counted. One pass over the documents and no shuffle.
+sorted hashes are broadcast; a document's words are mapped to ids, positions where all 13
+words are known are hashed, hits are verified word by word, and the words inside any
+occurrence are counted. One pass over the documents and no shuffle.
 
 Only `block_bytes` of benchmark text are broadcast at once. A larger benchmark is cut into
 blocks by a hash of the item, one pass each; what earlier passes hit travels with the rows
@@ -33,6 +33,9 @@ BLOCK_BYTES = 16 << 20
 #: A document is contaminated if this many times its hit words reach its words.
 SHARE = 20
 
+#: Pairs of a document's and the items' windows that are compared at once.
+PAIRS = 1 << 20
+
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
@@ -51,43 +54,68 @@ def _hashes(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items: vocabulary, and per length a sorted array of hashes and exact tuples."""
+    """The windows of a block of items: the word ids of all texts in one array, and per length the windows in order of their hashes.
+
+    About 20 bytes a window; equal windows of an item are kept once.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[int, dict[tuple, set[str]]] = {}
-        for item, text in items:
-            w = words(text)
-            ids = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                self.exact.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-        self.hashed = {}
-        for n, table in self.exact.items():
-            flat = np.array(list(table), np.int64).reshape(-1)
-            self.hashed[n] = np.unique(_hashes(flat, np.arange(0, len(flat), n), n))
+        self.names = [item for item, _ in items]
+        texts, spans, at = [np.zeros(0, np.int32)], {}, 0
+        for k, (_, text) in enumerate(items):
+            own = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
+            if n := min(window, len(own)):
+                spans.setdefault(n, []).append((k, at, len(own) - n + 1))
+            texts.append(np.array(own, np.int32))
+            at += len(own)
+        self.ids = np.concatenate(texts)
+        self.tables = {}
+        for n, found in spans.items():
+            start = np.concatenate([np.arange(a, a + count, dtype=np.int32) for _, a, count in found])
+            owner = np.concatenate([np.full(count, k, np.int32) for k, _, count in found])
+            h = _hashes(self.ids, start, n)
+            order = np.lexsort((owner, h))
+            h, start, owner = h[order], start[order], owner[order]
+            again = np.concatenate(([False], (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]) & self._equal(self.ids, start[1:], start[:-1], n)))
+            self.tables[n] = h[~again], start[~again], owner[~again]
+
+    def _equal(self, ids: np.ndarray, mine: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+        """Which windows of `ids` at `mine` are those of the items at `other`, word by word."""
+        same = np.ones(len(mine), bool)
+        for k in range(n):
+            same &= ids[mine + k] == self.ids[other + k]
+        return same
 
     def find(self, w: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """Which words are hit (None: none) and by which items."""
-        if not w or not self.hashed:
+        if not w or not self.tables:
             return None, set()
-        ids = np.fromiter(map(self.vocabulary.get, w, [0] * len(w)), np.int64, len(w))
+        ids = np.fromiter(map(self.vocabulary.get, w, [0] * len(w)), np.int32, len(w))
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         hit, items = None, set()
-        for n, table in self.hashed.items():
+        for n, (hashes, start, owner) in self.tables.items():
             if len(ids) < n:
                 continue
-            starts = np.flatnonzero(unknown[n:] == unknown[: len(unknown) - n])
-            if not len(starts):
+            places = np.flatnonzero(unknown[n:] == unknown[: len(unknown) - n])
+            if not len(places):
                 continue
-            h = _hashes(ids, starts, n)
-            at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            for s in starts[table[at] == h]:
-                if found := self.exact[n].get(tuple(ids[s : s + n].tolist())):
+            h = _hashes(ids, places, n)
+            low = np.searchsorted(hashes, h)
+            met = hashes[np.minimum(low, len(hashes) - 1)] == h
+            places, low, count = places[met], low[met], np.searchsorted(hashes, h[met], "right") - low[met]
+            cut = np.cumsum(count) // PAIRS
+            for c in np.unique(cut):
+                p, a, m = places[cut == c], low[cut == c], count[cut == c]
+                entry = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                p = np.repeat(p, m)
+                same = self._equal(ids, p, start[entry], n)
+                if same.any():
                     hit = np.zeros(len(ids) + 1, np.int64) if hit is None else hit
-                    hit[s] += 1
-                    hit[s + n] -= 1
-                    items |= found
+                    p = np.unique(p[same])
+                    hit[p] += 1
+                    hit[p + n] -= 1
+                    items.update(self.names[o] for o in np.unique(owner[entry[same]]))
         return (None, items) if hit is None else (np.cumsum(hit[:-1]) > 0, items)
 
 
