@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaverlake import plans
 from quaverlake.functions import kernels as K
+from quaverlake.functions import records as R
 from quaverlake.functions import text as T
 from quaverlake.operators import energy, history, library, lyrics, matching, sequences
 from quaverlake.operators import signal as S
@@ -206,3 +207,11 @@ def test_empty_tables(spark):
     assert sequences.smooth_runs(e, "k", ["i"], "v", 2).count() == 0
     assert history.next_item(e, "k", "v", ["i"]).count() == 0
     assert lyrics.parse_lrc(spark.createDataFrame([], "k string, t string"), "k", "t").count() == 0
+
+
+def test_records(spark):
+    assert one(spark, R.recording(F.col("v")), v='{"title":" T ","length":217400,"artist-credit":[{"name":"A","joinphrase":" feat. "},{"artist":{"name":"B"}}]}') == ("T", "A feat. B", 217)
+    assert one(spark, R.recording(F.col("v")), v='{"title":"T"}') is None and one(spark, R.recording(F.col("v")), v="") is None
+    for body, error in (("{}", "response has no status"), ('{"status":"error"}', "unknown error"), ('{"status":"ok"}', None), ("no json", "response has no status")):
+        assert one(spark, R.identified(F.col("v")), v=body) == (error, [])
+    assert one(spark, R.frame_ms(F.lit(7)), v="x") == 140
