@@ -16,6 +16,8 @@ TARGET_LUFS = -14.0
 MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
 MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+#: Share of the spectrum before, decay of its peak a frame, and the least peak.
+SPECTRUM_SMOOTH, SPECTRUM_DECAY, SPECTRUM_FLOOR = 0.55, 0.985, 5e-4
 
 
 def _one_pole(x: np.ndarray, hz: float, rate: int) -> np.ndarray:
@@ -267,3 +269,14 @@ def filter_bank(x: np.ndarray, rate: int = 16_000, mels: int = 80) -> np.ndarray
     bank = np.maximum(0, np.minimum((m[None] - edge[:-2, None]) / (edge[1] - edge[0]), (edge[2:, None] - m[None]) / (edge[1] - edge[0])))
     out = np.log(np.maximum(power[:, : fft // 2] @ bank[:, : fft // 2].T, 1e-10))
     return out - out.mean(0)
+
+
+def shown_spectra(frames: np.ndarray) -> np.ndarray:
+    """Frames of 1024 samples in order -> 512 levels each, 0 to 255: smoothed over frames, relative to a peak that decays."""
+    level = np.abs(np.fft.rfft(np.asarray(frames, float) * np.blackman(1024), axis=1))[:, :512] if len(frames) else np.zeros((0, 512))
+    out, held, top = np.zeros(level.shape, np.uint8), np.zeros(512), SPECTRUM_FLOOR
+    for k, own in enumerate(level):
+        held = SPECTRUM_SMOOTH * held + (1 - SPECTRUM_SMOOTH) * own
+        top = held.max() if held.max() > top else SPECTRUM_DECAY * top
+        out[k] = np.clip(held / max(top, SPECTRUM_FLOOR) * 255, 0, 255)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,3 +128,16 @@ def analyse(df: DataFrame, key: str, samples: str = "samples", rate: str = "rate
             yield pd.DataFrame(out, columns=[key, *[f.split(" ")[0] for f in _ANALYSIS.split(", ")]])
 
     return df.select(key, samples, rate).mapInPandas(run, f"{key} {kind}, {_ANALYSIS}")
+
+
+def spectra(frames: DataFrame, key: str, at: str = "t", samples: str = "samples") -> DataFrame:
+    """frames (key, at, 1024 samples) -> (key, at, levels: 512 of 0 to 255); each frame leans on those before, so a recording is a group."""
+    from ..functions.kernels import shown_spectra
+
+    kinds = {n: frames.schema[n].dataType.simpleString() for n in (key, at)}
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(at, kind="stable")
+        return part[[key, at]].assign(levels=[x.tolist() for x in shown_spectra(np.stack(part[samples].to_list()))])
+
+    return frames.where(F.size(samples) == 1024).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {at} {kinds[at]}, levels array<int>")

@@ -1,8 +1,8 @@
 """Registered queries: one per operator, with the SQL that a second engine answers it by."""
 
-from . import events, index, matching, records, sequences, signals, texts
+from . import events, index, matching, playback, records, sequences, signals, texts
 
-_PARTS = (events, index, matching, records, sequences, signals, texts)
+_PARTS = (events, index, matching, playback, records, sequences, signals, texts)
 
 
 def queries() -> dict:

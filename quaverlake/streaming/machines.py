@@ -39,6 +39,30 @@ class Changes(Machine):
         return (item, True), [*new, (t, "tick", item)]
 
 
+@dataclass(frozen=True)
+class Polls(Machine):
+    """Samples of a player: a failed poll gives nothing and changes nothing; the title is only read anew for another app or after a second."""
+
+    refresh_ms: int = 1000
+    reads = ("t", "app", "title", "failed")
+    gives = "t long, app string, title string, fresh boolean"
+    state = "app string, title string, read_at long"
+
+    def start(self):
+        return (None, None, NEVER)
+
+    def step(self, state, row):
+        app, title, read_at = state
+        t, now, new_title, failed = row
+        if failed:
+            return state, []
+        if now is None:
+            return (None, title, read_at), [(t, None, None, False)]
+        fresh = now != app or t - read_at >= self.refresh_ms
+        state = (now, new_title, t) if fresh else state
+        return state, [(t, now, state[1], fresh)]
+
+
 @dataclass(frozen=True)
 class Envelope(Machine):
     """Kicks, build-ups and drops from band levels: exponential means, and tests of a rise against them by difference."""
