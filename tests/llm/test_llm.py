@@ -182,7 +182,9 @@ def test_neighbours_edges(spark):
     got = {}
     for r in ann.search(df, F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert got == {0: [100, 1, 2, 3, 4], 20: [100, 0, 1, 2, 3], 40: [100, 0, 1, 2, 3], 100: [0, 1, 2, 3, 4]}
+    # (3, 1) and (1, 2) have the same product 5 with (1, 2): ties go to the smaller ids
+    assert got == {0: [1, 2, 3, 4, 5], 20: [0, 1, 2, 3, 4], 40: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4]}
+    assert got == brute_neighbours([r for r in rows if r[0] is not None and r[0] != 105], 5)
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
