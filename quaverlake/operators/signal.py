@@ -112,8 +112,6 @@ def analyse(df: DataFrame, key: str, samples: str = "samples", rate: str = "rate
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         from ..functions import kernels as K
 
         for batch in batches:
