@@ -61,8 +61,7 @@ def diarise_windows(spans: DataFrame, start: str = "start_ms", end: str = "end_m
     """spans cut in windows of `width` every `hop`; what is left at the end counts from `least` on."""
     at = F.explode(F.sequence(F.col(start), F.greatest(F.col(start), F.col(end) - least), F.lit(hop).cast("long")))
     out = spans.where(F.col(end) - F.col(start) >= least).select("*", at.alias("w_start"))
-    out = out.withColumn("w_end", F.least(F.col("w_start") + width, F.col(end))).where(F.col("w_end") - F.col("w_start") >= least)
-    return out.where((F.col("w_start") == F.col(start)) | (F.col("w_start") + width - hop < F.col(end)))
+    return out.withColumn("w_end", F.least(F.col("w_start") + width, F.col(end))).where(F.col("w_end") - F.col("w_start") >= least)
 
 
 def repetition_overrun(ids: Column) -> Column:

@@ -121,6 +121,19 @@ def test_spans(spark):
     assert windows == [(100, 30_100), (30_100, 60_100), (60_100, 70_000)]
 
 
+def test_diarise_windows(spark):
+    def loop(at, end):
+        while at < end and min(at + 1500, end) - at >= 500:
+            yield at, min(at + 1500, end)
+            at += 750
+
+    spans = [(i, a, a + n) for i, (a, n) in enumerate([(0, 499), (0, 500), (0, 1249), (0, 1250), (0, 1500), (0, 3000), (370, 1250), (370, 1999), (370, 2000), (370, 9100)])]
+    df = sequences.diarise_windows(spark.createDataFrame(spans, "k int, start_ms long, end_ms long"))
+    got = sorted((r["k"], r["w_start"], r["w_end"]) for r in df.collect())
+    assert got == [(k, *w) for k, a, z in spans for w in loop(a, z)]
+    assert [w[1:] for w in got if w[0] == 5] == [(0, 1500), (750, 2250), (1500, 3000), (2250, 3000)]
+
+
 def test_clusters():
     v = np.array([[1.0, 0], [1, 0.01], [0, 1], [0.01, 1]])
     assert sequences.cluster(v, np.full(4, 3.0)) == [0, 0, 1, 1]
