@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 ONSET, REARM, FOLLOW = 0.12, 0.048, 0.1
 SPEECH, SILENCE, SPEECH_MS, SILENCE_MS = 0.5, 0.35, 250, 100
+MIN_BPM, MAX_BPM, PREFERRED_BPM, NEARLY = 60, 200, 125, 0.85
+PRIOR_AGREE, PRIOR_OVERRIDE = 0.04, 1.35
 
 
 def onsets(values: Column, step_ms: float) -> Column:
@@ -82,13 +85,78 @@ def flux(now: Column, before: Column) -> Column:
     return F.aggregate(rises, F.lit(0.0), lambda s, v: s + v) / F.size(now)
 
 
-def tempo_fit(onset_rows: DataFrame, by: str, at: str, low_ms: float = 300.0, high_ms: float = 1000.0, step_ms: float = 2.0, least: int = 8) -> DataFrame:
-    """(by, period_ms, score): how well the onsets of each key fit a period, for all periods of the sweep. The onsets come as one array per key."""
-    one = onset_rows.groupBy(by).agg(F.array_sort(F.collect_list(at)).alias("t")).where(F.size("t") >= least)
-    steps = int((high_ms - low_ms) / step_ms)
-    swept = one.select(by, F.transform("t", lambda x: x - F.col("t")[0]).alias("t"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: k * step_ms + low_ms)).alias("period_ms"))
-    turn = lambda f: F.aggregate("t", F.lit(0.0), lambda s, x: s + f(x / F.col("period_ms") * (2 * 3.141592653589793)))
-    return swept.select(by, "period_ms", (F.sqrt(F.pow(turn(F.cos), 2) + F.pow(turn(F.sin), 2)) / F.size("t")).alias("score"))
+def _resultants(onset_rows: DataFrame, by: str, at: str, periods: list[float], least: int, prior: str | None, block: int) -> DataFrame:
+    """(by, base, n, prior, z): for each period, and last for that of the prior, the sums of cos and sin over a key's n onsets from the first one, base.
+
+    Keys of more than `block` onsets are summed in blocks of about so many different times, dealt by the time's hash, so that
+    no task holds a whole key. There is at most one such key per `block` onsets: their list is broadcast.
+    """
+    bpm = F.col(prior).cast("double") if prior else F.lit(None).cast("double")
+    rows = onset_rows.select(F.col(by), F.col(at).cast("double").alias("at"), F.when(bpm.between(MIN_BPM, MAX_BPM), bpm).alias("prior"))
+    rows = rows.where(F.abs("at") < float("inf"))
+    many = rows.groupBy(F.col(by).alias("__k")).agg(F.min("at").alias("base"), F.count("*").alias("n"), F.max("prior").alias("__prior")).where(F.col("n") > F.lit(block)).where(F.col("n") >= least)
+    same = F.col(by).eqNullSafe(F.col("__k"))
+
+    def fold(points: Column, term) -> Column:
+        every = F.concat(F.array(*map(F.lit, periods)), F.array(60000 / F.col("prior")))
+        total = lambda f, p: F.aggregate(points, F.lit(0.0), lambda s, x: s + term(f, x, p))
+        return F.transform(every, lambda p: F.struct(total(F.cos, p).alias("re"), total(F.sin, p).alias("im")))
+
+    key = [by, "base", "n", "prior"]
+    turns = lambda at: (at - F.col("base")) * (2 * math.pi)
+    few = rows.join(F.broadcast(many.select("__k")), same, "left_anti").groupBy(by)
+    few = few.agg(F.min("at").alias("base"), F.count("*").alias("n"), F.max("prior").alias("prior"), F.array_sort(F.collect_list("at")).alias("t")).where(F.col("n") >= least)
+    few = few.withColumn("t", F.transform("t", turns))
+    hot = rows.drop("prior").join(F.broadcast(many.withColumnRenamed("__prior", "prior")), same).withColumn("b", F.pmod(F.xxhash64("at"), F.ceil(F.col("n") / block)))
+    hot = hot.groupBy(*key, "b", "at").agg(F.count("*").cast("double").alias("w")).groupBy(*key, "b").agg(F.array_sort(F.collect_list(F.struct(turns(F.col("at")).alias("a"), "w"))).alias("t"))
+    hot = hot.select(*key, F.posexplode(fold(F.col("t"), lambda f, x, p: x["w"] * f(x["a"] / p))).alias("i", "z")).groupBy(*key, "i").agg(F.sum("z.re").alias("re"), F.sum("z.im").alias("im"))
+    hot = hot.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "re", "im"))), lambda x: F.struct(x["re"].alias("re"), x["im"].alias("im"))).alias("z"))
+    return few.select(*key, fold(F.col("t"), lambda f, x, p: f(x / p)).alias("z")).unionByName(hot)
+
+
+def _sweep(low_ms: float, high_ms: float, step_ms: float) -> list[float]:
+    return [k * step_ms + low_ms for k in range(int((high_ms - low_ms) / step_ms) + 1)]
+
+
+def _strength(z: Column) -> Column:
+    return F.sqrt(F.pow(z["re"], 2) + F.pow(z["im"], 2)) / F.col("n")
+
+
+def tempo_fit(onset_rows: DataFrame, by: str, at: str, low_ms: float = 300.0, high_ms: float = 1000.0, step_ms: float = 2.0, least: int = 8, block: int = 8192) -> DataFrame:
+    """(by, period_ms, score): how well the onsets of each key fit a period, for all periods of the sweep."""
+    sweep = _sweep(low_ms, high_ms, step_ms)
+    found = _resultants(onset_rows, by, at, sweep, least, None, block).select(by, "n", F.posexplode(F.slice("z", 1, len(sweep))).alias("i", "z"))
+    return found.select(by, (F.col("i") * step_ms + low_ms).alias("period_ms"), _strength(F.col("z")).alias("score"))
+
+
+def tempo(onset_rows: DataFrame, by: str, at: str, prior: str | None = None, low_ms: float = 300.0, high_ms: float = 1000.0, step_ms: float = 2.0, least: int = 8, digits: int = 9, block: int = 8192) -> DataFrame:
+    """(by, period_ms, score, phase_ms): the period that the onsets of each key fit best, of equal scores (to `digits`) the shortest.
+
+    Half or double of it is taken if it scores over 0.85 of the best and lies nearer the prior, or 125 BPM. A prior (a column
+    with the key's BPM; outside 60 to 200 it counts as none) that differs by over 4 % is taken unless beaten 1.35 times.
+    """
+    sweep = _sweep(low_ms, high_ms, step_ms)
+    siblings = [[p * f for f in (0.5, 2.0) if low_ms <= p * f <= high_ms] for p in sweep]
+    periods = [*sweep, *sorted({q for two in siblings for q in two} - set(sweep))]
+    place = {p: i for i, p in enumerate(periods)}
+    found = _resultants(onset_rows, by, at, periods, least, prior, block)
+
+    def scored(z: Column, p: Column) -> Column:
+        turn = F.atan2(z["im"], z["re"]) / (2 * math.pi) * p
+        return F.struct(p.alias("period_ms"), _strength(z).alias("score"), (F.when(turn < 0, turn + p).otherwise(turn) + F.col("base")).alias("phase_ms"))
+
+    every = F.zip_with(F.slice("z", 1, len(periods)), F.array(*map(F.lit, periods)), scored)
+    found = found.select("*", every.alias("s"), F.when(F.col("prior").isNotNull(), scored(F.element_at("z", -1), 60000 / F.col("prior"))).alias("known"))
+    top = F.array_max(F.transform(F.slice("s", 1, len(sweep)), lambda x, i: F.struct(F.round(x["score"], digits), -i)))
+    others = F.array(*[F.array(*[F.lit(place[q]) for q in two]).cast("array<int>") for two in siblings])
+    found = found.withColumn("i", -top["col2"]).withColumn("best", F.col("s")[F.col("i")])
+    found = found.withColumn("alike", F.filter(F.transform(others[F.col("i")], lambda i: F.col("s")[i]), lambda x: x["score"] > F.col("best.score") * NEARLY))
+    off = lambda x: F.abs(60000 / x["period_ms"] - F.coalesce("prior", F.lit(float(PREFERRED_BPM))))
+    found = found.withColumn("best", F.aggregate("alike", F.col("best"), lambda a, x: F.when(off(x) < off(a), x).otherwise(a)))
+    known, best = F.col("known"), F.col("best")
+    apart = F.abs(best["period_ms"] - known["period_ms"]) / known["period_ms"] > PRIOR_AGREE
+    kept = F.when(known["period_ms"].between(low_ms, high_ms) & apart & (best["score"] < known["score"] * PRIOR_OVERRIDE), known).otherwise(best)
+    return found.select(by, kept.alias("x")).select(by, "x.*")
 
 
 def key_scores(df: DataFrame, by: str, chroma: str) -> DataFrame:

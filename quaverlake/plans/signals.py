@@ -84,9 +84,8 @@ def _(spark, sf):
 p AS (SELECT unnest(range(0, 351)) * 2 + 300.0::DOUBLE AS period_ms), s AS (SELECT user_id, period_ms, sqrt(pow(sum(cos(t / period_ms * 2 * pi())), 2) + pow(sum(sin(t / period_ms * 2 * pi())), 2)) / count(*) AS score FROM o, p WHERE n >= 8 GROUP BY ALL)
 SELECT user_id, period_ms, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 5) DESC, period_ms) = 1""")
 def _(spark, sf):
-    fit = S.tempo_fit(table(spark, sf, "events").select("user_id", millis(F.col("ts")).alias("t")), "user_id", "t").withColumn("score", F.round("score", 5))
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "period_ms")
-    return fit.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    fit = S.tempo(table(spark, sf, "events").select("user_id", millis(F.col("ts")).alias("t")), "user_id", "t", digits=5)
+    return fit.select("user_id", "period_ms", F.round("score", 5).alias("score"))
 
 
 @_R.add("w8_rolling_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 12000000 PRECEDING AND CURRENT ROW)::BIGINT AS onsets FROM events")

@@ -1,6 +1,6 @@
 """State machines over keyed, ordered samples, for streams and for tables alike."""
 
-from .machines import Changes, Easing, Envelope, Machine, Polls, Recorder, RecordSlot, TempoLock
+from .machines import Changes, Easing, Envelope, Machine, Polls, PriorTempoLock, Recorder, RecordSlot, TempoLock
 from .runner import over_stream, over_table, rescan_on
 
-__all__ = ["Changes", "Easing", "Envelope", "Machine", "Polls", "RecordSlot", "Recorder", "TempoLock", "over_stream", "over_table", "rescan_on"]
+__all__ = ["Changes", "Easing", "Envelope", "Machine", "Polls", "PriorTempoLock", "RecordSlot", "Recorder", "TempoLock", "over_stream", "over_table", "rescan_on"]

@@ -111,7 +111,9 @@ class TempoLock(Machine):
 
     def step(self, state, row):
         locked, last = state
-        t, bpm, confidence, count = row
+        t, bpm, confidence, count, prior = (*row, None)[:5]
+        if prior is not None and 60 <= prior <= 200:
+            return (float(prior), last), [(t, True, float(prior))]
         sure = confidence is not None and bpm is not None and confidence >= self.engage
         if sure and last > 0 and abs(bpm - last) / last <= self.agree and count >= self.onsets:
             locked = bpm
@@ -120,6 +122,12 @@ class TempoLock(Machine):
         return (locked, bpm if sure else 0.0), [(t, locked > 0, locked or None)]
 
 
+class PriorTempoLock(TempoLock):
+    """As TempoLock, but a sample's prior (BPM of the whole item, null if unknown) is held as it is, and readings do not count."""
+
+    reads = (*TempoLock.reads, "prior")
+
+
 @dataclass(frozen=True)
 class Easing(Machine):
     """Follows rise times imminence with a time constant of 260 ms."""

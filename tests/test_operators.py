@@ -165,6 +165,50 @@ def test_tempo_refuses():
     assert K.beats(*clicks(120, 5)) is None
 
 
+def estimate(times, prior=None):
+    """As tempo.js: (period, score, phase) or None."""
+    times = sorted(times)
+    if len(times) < 8:
+        return None
+    x = np.array(times, float) - times[0]
+
+    def fit(p):
+        z = np.exp(2j * np.pi * x / p).sum()
+        return (p, abs(z) / len(x), np.angle(z) / (2 * np.pi) * p % p + times[0])
+
+    best = fit(300.0)
+    for p in range(302, 1001, 2):
+        best = max(best, fit(float(p)), key=lambda c: round(c[1], 9))
+    chosen = best
+    for p in (best[0] * 0.5, best[0] * 2):
+        if 300 <= p <= 1000 and (c := fit(p))[1] > best[1] * 0.85 and abs(60000 / p - (prior or 125)) < abs(60000 / chosen[0] - (prior or 125)):
+            chosen = c
+    if prior and abs(chosen[0] - 60000 / prior) / (60000 / prior) > 0.04 and chosen[1] < (c := fit(60000 / prior))[1] * 1.35:
+        chosen = c
+    return chosen
+
+
+def test_onset_tempo(spark):
+    r = np.random.default_rng(5)
+    jitter = lambda p, n, s: [int(1_700_000_000_000 + i * p + e) for i, e in enumerate(r.normal(0, s, n))]
+    cases = {  # onsets, prior
+        1: (jitter(960, 30, 8), None), 2: (jitter(938, 24, 8), None), 3: (jitter(960, 30, 8), 62.5), 4: (jitter(480, 30, 10), 180.0),
+        5: (jitter(500, 30, 12) + jitter(404, 32, 8), 120.0), 6: (jitter(400, 30, 0), 131.0), 7: (jitter(435, 7, 0), None), 8: (jitter(604, 40, 5), 400.0),
+        9: (jitter(606, 40, 5), 199.0), 10: ([int(t) for t in r.integers(0, 10**6, 60)], 97.0), 11: ([int(t) for t in r.integers(0, 10**6, 60)] * 2, None),
+    }
+    df = spark.createDataFrame([(k, t, p) for k, (ts, p) in cases.items() for t in ts] + [(1, None, None)], "k int, t long, p double")
+    want = {k: e for k, (ts, p) in cases.items() if (e := estimate(ts, p if p and 60 <= p <= 200 else None))}
+    assert abs(want[1][0] - 480) < 2 and abs(want[3][0] - 960) < 3 and 7 not in want and want[5][0] == 500 and want[6][0] == 400
+    for block in (8192, 16):  # 16: keys are summed in blocks
+        got = {r["k"]: (r["period_ms"], r["score"], r["phase_ms"]) for r in S.tempo(df, "k", "t", "p", block=block).collect()}
+        assert got.keys() == want.keys()
+        for k, (period, score, phase) in want.items():
+            assert np.isclose(got[k][0], period) and np.isclose(got[k][1], score, atol=1e-6), k
+            assert min((got[k][2] - phase) % period, (phase - got[k][2]) % period) < 1e-2, k
+    whole, split = ({(r["k"], r["period_ms"]): r["score"] for r in S.tempo_fit(df, "k", "t", block=b).collect()} for b in (8192, 16))
+    assert whole.keys() == split.keys() and len(whole) == 10 * 351 and all(abs(whole[x] - split[x]) < 1e-6 for x in whole)
+
+
 def test_keys(spark):
     for t in range(12):
         for major, p in ((True, K.MAJOR), (False, K.MINOR)):

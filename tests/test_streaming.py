@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaverlake import sources
-from quaverlake.streaming import Changes, Easing, Envelope, RecordSlot, Recorder, TempoLock, over_stream, over_table
+from quaverlake.streaming import Changes, Easing, Envelope, PriorTempoLock, RecordSlot, Recorder, TempoLock, over_stream, over_table
 
 
 def samples(spark):
@@ -48,6 +48,11 @@ def test_machines():
     assert sum(k > 0.6 for k in kicks) >= 4
 
 
+def test_tempo_lock_prior():
+    rows = [(0, 174.0, 0.9, 30, 138.0), (1, 174.0, 0.9, 30, 138.0), (2, 174.0, 0.9, 30, None), (3, 174.0, 0.9, 30, None), (4, 60.0, 0.1, 30, 300.0)]
+    assert [x[1:] for x in fold(PriorTempoLock(), rows)] == [(True, 138.0), (True, 138.0), (True, 138.0), (True, 174.0), (False, None)]
+
+
 def test_files(spark, tmp_path):
     x = np.linspace(-0.5, 0.5, 100)
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
