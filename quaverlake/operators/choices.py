@@ -59,3 +59,16 @@ def contained(lines: DataFrame, answers: DataFrame, by: str, size: int = 40, who
 def summary(analyses: DataFrame) -> DataFrame:
     """Analyses without what is only of use while an item plays."""
     return analyses.drop(*LIVE)
+
+
+def map_attribution(actors: Column, artists: Column, singers: Column) -> Column:
+    """singers (an artist's index per line) as indices of actors (array of credit and name), -1 where there is none.
+
+    An artist is the first actor of the same credit or name. Null if no artist is found, if there are fewer than two, or if there is no actor or line.
+    """
+    plain = lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", ""))
+    known = F.transform(actors, lambda a: F.array(plain(a["credit"]), plain(a["name"])))
+    first = lambda w: F.array_position(F.transform(known, lambda a: F.array_contains(a, w)), True) - 1
+    found = F.transform(artists, lambda x: F.when(plain(x) == "", F.lit(-1)).otherwise(first(plain(x))).cast("int"))
+    told = (F.size(actors) > 0) & (F.size(artists) > 1) & (F.size(singers) > 0) & F.exists(found, lambda i: i >= 0)
+    return F.when(told, F.transform(singers, lambda i: F.when((i >= 0) & (i < F.size(found)), F.get(found, i)).otherwise(F.lit(-1))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLAGS = ("analyzed", "lyrics_synced")
@@ -64,3 +64,21 @@ def dedup_jobs(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of requests with the same key the first is accepted; `accepted` says which."""
     w = Window.partitionBy(key).orderBy(*order)
     return requests.withColumn("accepted", F.row_number().over(w) == 1)
+
+
+def crash_reports(posts: DataFrame, raw: str = "raw", received: str = "received") -> DataFrame:
+    """posts (raw, received) -> (key, kind, message, app_version, os, received): reports of at most 8,192 characters (as UTF-16) that are JSON with a message."""
+    rows = posts.where((F.col(raw) != "") & (F.octet_length(F.encode(raw, "UTF-16BE")) <= 2 * 8192)).withColumn("v", F.try_parse_json(raw))
+
+    def text(name: str, most: int, other: str) -> Column:
+        own = F.try_variant_get("v", f"$.{name}", "variant")
+        return F.coalesce(F.when(F.schema_of_variant(own) == "STRING", F.substring(F.try_variant_get("v", f"$.{name}", "string"), 1, most)), F.lit(other))
+
+    key = F.concat(F.date_format(received, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("-"), F.substring(F.sha2(raw, 256), 1, 8))
+    out = rows.select(key.alias("key"), text("kind", 40, "unknown").alias("kind"), text("message", 4000, "").alias("message"), text("appVersion", 40, "").alias("app_version"), text("os", 40, "").alias("os"), F.col(received).alias("received"))
+    return out.where("message <> ''")
+
+
+def listed_reports(reports: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """The oldest reports of the last 90 days, 50 or up to 200."""
+    return reports.where(F.col("received") > now - F.expr("INTERVAL 90 DAYS")).orderBy("key").limit(min(200, limit or 50))

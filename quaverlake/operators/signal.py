@@ -14,6 +14,7 @@ ONSET, REARM, FOLLOW = 0.12, 0.048, 0.1
 SPEECH, SILENCE, SPEECH_MS, SILENCE_MS = 0.5, 0.35, 250, 100
 MIN_BPM, MAX_BPM, PREFERRED_BPM, NEARLY = 60, 200, 125, 0.85
 PRIOR_AGREE, PRIOR_OVERRIDE = 0.04, 1.35
+BAND_EDGES = (0, 2, 4, 8, 16, 32, 72, 160, 512)
 
 
 def onsets(values: Column, step_ms: float) -> Column:
@@ -79,12 +80,21 @@ def centroid(spectrum: Column) -> Column:
     return F.when(total > 0, F.aggregate(places, F.lit(0.0), lambda s, v: s + v) / total / F.size(spectrum)).otherwise(F.lit(0.0))
 
 
-def flux(now: Column, before: Column) -> Column:
-    """Mean of the rises."""
+def flux(now: Column, before: Column, start: int = 0, end: int | None = None) -> Column:
+    """Mean of the rises, over all bins or those from `start` to before `end`."""
+    if start or end is not None:
+        now, before = (F.slice(x, start + 1, F.size(x) - start if end is None else F.lit(end - start)) for x in (now, before))
     rises = F.zip_with(now, before, lambda a, b: F.greatest(F.lit(0.0), a - b))
     return F.aggregate(rises, F.lit(0.0), lambda s, v: s + v) / F.size(now)
 
 
+def bands(spectrum: Column, full: float = 255.0) -> Column:
+    """Mean of each of the 8 log bands as a share of `full`; 0 where the spectrum has no bin of a band."""
+    parts = [F.slice(spectrum, a + 1, b - a) for a, b in zip(BAND_EDGES, BAND_EDGES[1:])]
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x) / full
+    return F.array(*[F.when(F.size(x) > 0, mean(x)).otherwise(F.lit(0.0)) for x in parts])
+
+
 def _resultants(onset_rows: DataFrame, by: str, at: str, periods: list[float], least: int, prior: str | None, block: int) -> DataFrame:
     """(by, base, n, prior, z): for each period, and last for that of the prior, the sums of cos and sin over a key's n onsets from the first one, base.
 

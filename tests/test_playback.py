@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quaverlake.functions import kernels, names
-from quaverlake.operators import choices, playback, signal
+from quaverlake.operators import choices, library, playback, signal
 from quaverlake.streaming import Polls, over_table
 
 
@@ -73,3 +73,35 @@ def test_spectra(spark):
     got = signal.spectra(df, "k").orderBy("t").collect()
     assert [r["levels"] for r in got] == levels.tolist()
     assert kernels.shown_spectra(np.zeros((0, 1024))).shape == (0, 512)
+
+
+def test_bands_and_flux(spark):
+    r = np.random.default_rng(2)
+    a, b = ([float(v) for v in r.integers(0, 256, 512)] for _ in range(2))
+    df = spark.createDataFrame([(1, a, b), (2, a[:20], b[:20])], "k int, a array<double>, b array<double>")
+    got = {x["k"]: x for x in df.select("k", signal.bands(F.col("a")).alias("bands"), signal.flux(F.col("a"), F.col("b"), 2, 8).alias("part"), signal.flux(F.col("a"), F.col("b"), 4).alias("rest")).collect()}
+    edges = (0, 2, 4, 8, 16, 32, 72, 160, 512)
+    for k, n in ((1, 512), (2, 20)):
+        assert np.allclose(got[k]["bands"], [np.mean(a[i : min(j, n)]) / 255 if i < n else 0 for i, j in zip(edges, edges[1:])])
+        rise = np.maximum(0, np.subtract(a[:n], b[:n]))
+        assert np.isclose(got[k]["part"], rise[2:8].mean()) and np.isclose(got[k]["rest"], rise[4:].mean())
+
+
+def test_attribution(spark):
+    actors = [("Seedhe Maut", "Calm"), ("Seedhe Maut", "Encore"), (None, " Karun\t")]
+    cases = [(0, actors, ["karun", " SEEDHE MAUT "], [0, 1, -1, 2, None]), (1, actors, ["x", "y"], [0, 1]), (2, actors, ["karun"], [0]), (3, [], ["karun", "x"], [0]), (4, actors, ["encore", ""], [0, 1]), (5, actors, ["karun", "x"], [])]
+    df = spark.createDataFrame(cases, "k int, actors array<struct<credit:string,name:string>>, artists array<string>, singers array<int>")
+    got = {r["k"]: r["x"] for r in df.select("k", choices.map_attribution(F.col("actors"), F.col("artists"), F.col("singers")).alias("x")).collect()}
+    assert got == {0: [2, 0, -1, -1, -1], 1: None, 2: None, 3: None, 4: [1, -1], 5: None}
+
+
+def test_crash_reports(spark):
+    pad = lambda n: '{"message": "' + "m" * n + '"}'
+    posts = ['{"kind": "' + "k" * 50 + '", "message": "boom", "appVersion": 7, "os": "' + "o" * 41 + '"}', pad(5000), pad(8192 - 15), pad(8192 - 14), "broken", "", None, "[1]", '{"message": 5}', '{"message": ""}', '{"message": "old"}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(posts)], "i int, raw string").withColumn("received", F.timestamp_seconds(F.when(F.col("i") == 10, 0).otherwise(10_000_000) + F.col("i")))
+    kept = library.crash_reports(df)
+    rows = [r for r in kept.orderBy("key").collect()]
+    assert [(len(r["message"]), r["kind"], r["app_version"]) for r in rows] == [(3, "unknown", ""), (4, "k" * 40, ""), (4000, "unknown", ""), (4000, "unknown", "")] and rows[1]["os"] == "o" * 40
+    now = F.timestamp_seconds(F.lit(10_000_100))
+    assert [r["key"] for r in library.listed_reports(kept, now).collect()] == [r["key"] for r in rows[1:]]
+    assert library.listed_reports(kept, now, 2).count() == 2
