@@ -15,14 +15,15 @@ Of equal vectors only the k + 1 smallest ids can be among k nearest and not the
 only these are indexed: results stay whole and no leaf holds a large group of copies. Leaves
 that many queries visit are dealt to several tasks.
 
-Defined cases: vectors that are null, zero, hold a null or non-finite component or differ in
-length from the longest take no part; repeated (id, vector) rows count once; ties go to the
+Defined cases: vectors that are null, zero or hold a null or non-finite component take no part;
+vectors of different lengths are no neighbours, so each length is searched on its own; repeated (id, vector) rows count once; ties go to the
 smaller id; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -43,6 +44,7 @@ BUCKET = 64
 #: Queries of a leaf that one task takes.
 CHUNK = 4096
 SEED = 7
+SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -141,23 +143,33 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     x = F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null")
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)
-    rows = rows.where(F.coalesce(fine, F.lit(False)))
-    size = rows.agg(F.max(F.size("x"))).first()[0]
-    return rows.where(F.size("x") == F.lit(size))
+    return rows.where(F.coalesce(fine, F.lit(False)))
 
 
 def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, dims: int = DIMS, p: float = P, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Per query row (is_query, a Column over `id`): query_id, rank, vec_id, score of its k nearest other rows."""
-    spark = df.sparkSession
     rows = valid_vectors(df, key, vector)
+    lengths = sorted(r[0] for r in rows.select(F.size("x")).distinct().collect())  # a row per length
+    found = [search_length(rows.where(F.size("x") == n), is_query, k, dims, p, leaf_rows) for n in lengths]
+    if not found:
+        return df.sparkSession.createDataFrame([], SCHEMA)
+    if len(found) == 1:
+        return found[0]
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # an id may have vectors of two lengths
+    both = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_length(rows: DataFrame, is_query, k: int, dims: int, p: float, leaf_rows: int) -> DataFrame:
+    """search() over rows (id, x) whose vectors have one length."""
+    spark = rows.sparkSession
     queries = rows.where(is_query).distinct()
     same = Window.partitionBy("x").orderBy("id")
     rows = rows.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "x")
     rows = materialize(rows, "ann-rows")
     head = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), F.count("*"), F.max(F.size("x"))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not head[1]:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     top, count, width = float(head[0]), int(head[1]), int(head[2])
     depth = max(0, int(np.ceil(np.log2(max(1, count / leaf_rows)))))
     directions = np.random.default_rng(SEED).standard_normal((width + 1, dims))

@@ -188,6 +188,19 @@ def test_neighbours_edges(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_lengths(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(4).tolist()) for i in range(60)] + [(i, r.standard_normal(2).tolist()) for i in range(100, 130)] + [(999, [1.0] * 9)]
+    got = {}
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    # the overlong vector takes nothing from the others, and each length has its own neighbours
+    assert got.keys() == {0, 20, 40, 100, 120}
+    for n in (4, 2):
+        want = brute_neighbours([x for x in rows if len(x[1]) == n], 5)
+        assert {q: got[q] for q in want} == want
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507313) < 1e-5 and abs(ann.chi_square_quantile(0.5, 2) - 1.386294) < 1e-5
 
