@@ -94,6 +94,69 @@ def test_pii_discovers_by_context(spark):
     assert red[100] == "please mail contact [EMAIL] today thanks" and red[101] == "we paid 3@4 today" and red[103] == "x [CARD], y" and red[7] is None
 
 
+def spans_by_doc(spark, rows):
+    return {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_pii(docs(spark, rows)).collect()}
+
+
+def test_pii_finds_held_back(spark):
+    rng = random.Random(8)
+    number = lambda: f"{rng.randint(200, 999)}-555-{rng.randint(1000, 9999)}"
+    noise = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(rng.randint(1, 6)))
+    seeds = [(i, f"{noise()} ring me at +1 {number()}") for i in range(30)] + [(100 + i, f"Phone: +1 {number()} {noise()}") for i in range(30)]
+    held = [(200 + i, f"{noise()} ring me at {number()}") for i in range(15)] + [(300 + i, f"Phone: {number()} {noise()}") for i in range(15)]
+    decoys = [(400 + i, f"{noise()} part {number()} {noise()}") for i in range(15)] + [(500 + i, f"{noise()} page {rng.randint(1, 99)}") for i in range(15)]
+    got = spans_by_doc(spark, seeds + held + decoys)
+    texts = dict(seeds + held + decoys)
+    found = {d: [texts[d][a:b] for a, _, b, k in got[d] if k == "phone"] for d in got}
+    right = sum(found[d] == [re.search(r"[0-9-]{12}", texts[d])[0]] for d, _ in held)  # both at the end of a text and at its start
+    wrong = sum(bool(got[d]) for d, _ in decoys)
+    assert right >= 28 and wrong == 0
+
+
+def test_pii_goes_on_to_a_fixed_point(spark):
+    seeds = [(i, f"alpha beta u{i}@h{i}.example.org gamma") for i in range(20)]
+    both = [(100 + i, f"alpha beta n{i}@local gamma x delta eps n{i}@local zeta") for i in range(8)]
+    far = [(200, "delta eps last@one zeta"), (201, "delta other last@two zeta")]
+    got = spans_by_doc(spark, seeds + both + far)
+    # the second context has no base identifier: only values found in the first one teach it
+    assert len(got[100]) == 2 and [s[3] for s in got[200]] == ["email"] and got[201] == []
+
+
+def test_pii_whole_words_count(spark):
+    long = "w" * 60
+    seeds = [(i, f"{long}a {long}b u{i}@h{i}.example.org") for i in range(12)]
+    got = spans_by_doc(spark, seeds + [(50, f"{long}a {long}b x@y"), (51, f"{long}c {long}d x@y")])
+    assert len(got[50]) == 1 and got[51] == []
+
+
+def test_pii_on_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in common.read_table(spark, sf, "documents").collect()}
+    added = []
+    for r in pii.find_pii(common.read_table(spark, sf, "documents")).collect():
+        base = set(map(tuple, r["base"]))
+        added += [(s["kind"], texts[r["doc_id"]], s["start"], s["end"]) for s in r["spans"] if tuple(s) not in base]
+    right = sum(bool(re.search(r'(?i)token = "$', t[:a])) if k == "secret" else bool(base_spans(" " + t[a:b] + " ")) for k, t, a, b in added)
+    assert len(added) >= 10 and right / len(added) >= 0.95
+
+
+def test_pii_long_and_odd_tables(spark):
+    rng = random.Random(1)
+    ips = " ".join(f"10.0.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(40000))
+    numbers = " ".join(str(rng.randrange(10**9)) for _ in range(40000))
+    rows = [(1, ips), (2, numbers), (None, "a@b.org"), (None, "a@b.org"), (None, None), (3, "é🙂 a@b.org " * 3000)]
+    got = {(r["doc_id"], r["text"]) for r in pii.redact(docs(spark, rows)).collect()}
+    assert got == {(1, " ".join(["[IP]"] * 40000)), (2, numbers), (None, "[EMAIL]"), (None, None), (3, "é🙂 [EMAIL] " * 3000)}
+    assert pii.redact(docs(spark, rows)).count() == 6
+    assert pii.find_pii(docs(spark, rows).limit(0)).count() == 0 and pii.redact(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_pii_overlaps_are_one(spark):
+    spans = [(0, 5, "a"), (3, 4, "b"), (4, 9, "c"), (9, 12, "d"), (20, 21, "e"), (20, 25, "f")]
+    df = spark.createDataFrame([(spans,)], "s array<struct<start:bigint,end:bigint,kind:string>>")
+    assert [tuple(x) for x in df.select(pii._merged(F.col("s"))).first()[0]] == [(0, 9, "a"), (9, 12, "d"), (20, 25, "e")]
+
+
 # --- 2
 
 def test_toxicity_held_out(spark):
