@@ -5,18 +5,20 @@ others as named users; the loss mask covers what the assistant says. Speakers in
 `context_roles` (system) are rendered as themselves and take no perspective.
 
 A turn is rendered as `<|im_start|>ROLE\\n` + text + `<|im_end|>\\n`, where ROLE is
-`assistant`, `system` or `user name=SPEAKER`; control marks inside texts are broken up by a
-backslash. Renderings are returned in chunks of `chunk_chars`, one row each: a dialogue of
+`assistant`, `system` or `user name=SPEAKER`. Control marks inside texts and speakers are
+broken up by a backslash, and in a rendered speaker backslashes are doubled and line breaks
+written as \\n and \\r, so that no name can open a turn. Renderings are returned in chunks of `chunk_chars`, one row each: a dialogue of
 usual length has a single chunk 0, an endless one many, and no task holds a whole dialogue.
 
-Defined cases: a null or blank role is the speaker `unknown`, a null text is empty, a null
-turn comes first, a null conv_id is a dialogue of its own, equal (turn, role, text) rows
+Defined cases: a null role or one of white space is the speaker `unknown`, a null text is
+empty, rows of a null turn come first (by speaker and text, in one block that a window sorts
+with spilling), all rows of a null conv_id are one dialogue, equal (turn, role, text) rows
 stay, a dialogue without participants gives no rows, an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,20 +28,32 @@ CONTEXT_ROLES = ("system",)
 CHUNK_CHARS = 16384
 #: Turns are numbered and summed in blocks of this many turn numbers, then blocks are summed.
 TURN_BLOCK = 256
+#: White space around a role, and the marks that only rendering may write.
+AROUND = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
+MARKS = r"<\|(im_start|im_end)\|>"
+
+
+def _unmarked(text: Column) -> Column:
+    return F.regexp_replace(text, MARKS, r"<\\|$1|>")
+
+
+def _name(speaker: Column) -> Column:
+    """A speaker as it is rendered: in one line, and told apart from every other."""
+    return _unmarked(F.replace(F.replace(F.replace(speaker, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")))
 
 
 def rotate_perspectives(df: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
     """Per (conv_id, perspective, turn row): segment text, target flag and its start in the rendering."""
-    speaker = F.trim(F.coalesce(F.col("role").cast("string"), F.lit("")))
+    speaker = F.regexp_replace(F.coalesce(F.col("role").cast("string"), F.lit("")), AROUND, "")
     turns = df.select(
         "conv_id", F.col("turn").cast("long").alias("turn"),
         F.when(speaker == "", F.lit("unknown")).otherwise(speaker).alias("speaker"),
-        F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"<\|(im_start|im_end)\|>", r"<\\|$1|>").alias("body"),
+        _unmarked(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"),
     )
     people = turns.where(~F.col("speaker").isin(*context_roles)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     each = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     target = F.col("speaker") == F.col("perspective")
-    role = F.when(target, "assistant").when(F.col("speaker").isin(*context_roles), F.col("speaker")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    role = F.when(target, "assistant").when(F.col("speaker").isin(*context_roles), _name(F.col("speaker"))).otherwise(F.concat(F.lit("user name="), _name(F.col("speaker"))))
     each = each.select(
         "conv_id", "perspective", "turn", "speaker", "body", target.alias("target"),
         F.concat(F.lit("<|im_start|>"), role, F.lit("\n")).alias("head"),
@@ -87,12 +101,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker,
-    regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<\\\\|\\1|>', 'g') AS body FROM conversations),
+WITH r AS (SELECT *, regexp_replace(coalesce(role, ''), '{AROUND}', '', 'g') AS own FROM conversations),
+t AS (SELECT conv_id, turn, CASE WHEN own = '' THEN 'unknown' ELSE own END AS speaker,
+    regexp_replace(coalesce(text, ''), '{MARKS}', '<\\\\|\\1|>', 'g') AS body FROM r),
 p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
 s AS (SELECT conv_id, perspective, turn, speaker, body, speaker = perspective AS target,
     '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker
-      ELSE 'user name=' || speaker END || chr(10) AS head
+      ELSE 'user name=' ||
+      regexp_replace(replace(replace(replace(speaker, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), '{MARKS}', '<\\\\|\\1|>', 'g') END || chr(10) AS head
   FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
 n AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM s),
 o AS (SELECT *, row_number() OVER w AS pos,
