@@ -3,12 +3,21 @@
 ARC files of version 1 (`URL IP DATE TYPE LENGTH`) and 2 (`URL IP DATE TYPE RESULT CHECKSUM
 LOCATION OFFSET FILENAME LENGTH`) are cut into records by their version's header line and
 the declared lengths. Each record becomes a WARC/1.0 record: identifier, timestamp, type
-and SHA-256 digests are synthesised from what the ARC record says. Archives are text files
-in the shared folder of about `archive_bytes` before compression, and are compressed whole.
+and SHA-256 digests are synthesised from what the ARC record says. HTTP headers and payloads
+are bytes throughout, in any encoding or none. Archives are files in the shared folder of at
+most `archive_bytes` and one record before compression; each record is a gzip member of its
+own, so records can be read by offset. Spark's text sink writes them: it ends a file by a
+zero byte, which gzip readers skip as padding.
+
+Payloads are digested once and written to the shared folder with a row number; which of them
+are revisits is found from keys and digests alone, and goes back to the payloads by the row
+number, of which no value is frequent.
 
 Defined cases: a null payload is empty, a null URL becomes `urn:record:KEY`, white space in
-URLs is escaped, rows of equal key and payload are all responses if their key is the
-smallest, an empty table gives empty archives and no rows. Only the named columns are read.
+URLs is escaped, a header line that isn't UTF-8 is read as Latin-1, rows of equal key and
+payload are all responses if their key is the smallest (as are rows of a null key only if no
+other row has their payload), an empty table gives empty archives and no rows; a payload must
+fit in a worker's memory. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -56,6 +65,13 @@ def arc_record(version: int, url: str, content: bytes, offset: int, ip: str = "0
     return f"{head}{len(content)}\n".encode() + content + b"\n"
 
 
+def decoded(line: bytes) -> str:
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def read_arc(blob: bytes) -> Iterator[dict]:
     """Records of an ARC file, without the version block. Raises ValueError for what isn't ARC."""
     at, version = 0, None
@@ -67,7 +83,7 @@ def read_arc(blob: bytes) -> Iterator[dict]:
         end = blob.find(b"\n", at)
         if end < 0:
             raise ValueError("an ARC header line has no end")
-        fields = blob[at:end].decode("utf-8").split(" ")
+        fields = decoded(blob[at:end]).split(" ")
         length = int(fields[-1])
         content = view[end + 1 : end + 1 + length]
         if len(content) != length:
@@ -95,22 +111,22 @@ def http_field(head: bytes, name: str) -> str | None:
     for line in head.split(b"\r\n")[1:]:
         k, _, v = line.partition(b":")
         if k.strip().lower() == name.lower().encode():
-            return v.strip().decode("utf-8")
+            return decoded(v.strip())
     return None
 
 
-_RECORD = "key string, url string, ip string, date string, head string, payload string"
-_RECORD_ARROW = pa.schema([(n, pa.string()) for n in ("key", "url", "ip", "date", "head", "payload")])
+_RECORD = "key string, url string, ip string, date string, head binary, payload binary"
+_RECORD_ARROW = pa.schema([(n, pa.binary() if n in ("head", "payload") else pa.string()) for n in ("key", "url", "ip", "date", "head", "payload")])
 
 
 def arc_blobs(df: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     """Rows packed into ARC files of at most BLOB_BYTES and one record, versions in turn: one column `arc`."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version, out = 1, bytearray(arc_version_block(1))
         for batch in batches:
-            for k, u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            for k, u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 body = p.as_buffer().to_pybytes()
                 head = b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"
                 head += b"" if k is None else f"X-Record-Key: {base64.b64encode(k.encode()).decode()}\r\n".encode()
@@ -138,7 +154,7 @@ def arc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arc_records(blobs: DataFrame) -> DataFrame:
-    """ARC files to records: key, url, ip, date, head (HTTP), payload. Payloads are taken as UTF-8."""
+    """ARC files to records: key, url, ip, date, head (HTTP) and payload as they are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +163,8 @@ def arc_records(blobs: DataFrame) -> DataFrame:
                 for r in read_arc(blob):
                     head, payload = split_http(r["content"])
                     k = http_field(head, "X-Record-Key")
-                    rows.append((None if k is None else base64.b64decode(k).decode(), r["url"], r["ip"], r["date"], head.decode("utf-8", "replace"), payload.decode("utf-8", "replace")))
-                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 6, schema=_RECORD_ARROW)
+                    rows.append((None if k is None else base64.b64decode(k).decode(), r["url"], r["ip"], r["date"], head, payload))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, _RECORD_ARROW.types)], schema=_RECORD_ARROW)
 
     return blobs.mapInArrow(cut, _RECORD)
 
@@ -156,17 +172,18 @@ def arc_records(blobs: DataFrame) -> DataFrame:
 # --- WARC
 
 def to_warc(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """One column `record` with a whole WARC record per row, without the empty lines that end it.
+    """One binary column `record` with a whole WARC record per row, without the empty lines that end it.
 
     Of equal payloads of `least` bytes or more, that with the smallest key (as a number) is
-    the response and the others refer to it. Counts of equal payloads are taken before the
-    shuffle, and payloads only move once.
+    the response and the others refer to it.
     """
-    r = records.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long"), "id": F.expr("try_cast(key as bigint)")})
-    small = r.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    r = r.join(small, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.col("bytes") >= least)
-    crlf = F.lit("\r\n")
+    r = records.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long"), "id": F.expr("try_cast(key as bigint)"), "row": F.monotonically_increasing_id()})
+    r = materialize(r, "warc-records")  # numbered rows must not be made anew
+    keys = r.where(F.col("bytes") >= least).select("row", "id", "digest")
+    first = keys.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = keys.join(first, "digest").where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("row", "first")
+    r = r.join(materialize(again, "warc-revisits"), "row", "left")
+    again = F.col("first").isNotNull()
 
     def urn(*parts):
         h = F.md5(F.concat_ws("|", *parts))
@@ -180,16 +197,31 @@ def to_warc(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         F.concat(F.lit("WARC-Date: "), stamp), F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-IP-Address: "), F.col("ip")),
         F.when(again, F.lit(f"WARC-Profile: {PROFILE}")),
         F.when(again, F.concat(F.lit("X-Refers-To-Key: "), F.col("first").cast("string"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(block.cast("binary"), 256)),
+        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(block, 256)),
         F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return r.select(F.concat(F.concat_ws("\r\n", *fields), crlf, crlf, block).alias("record"))
+    return r.select(F.concat(F.concat_ws("\r\n", *fields, F.lit(""), F.lit("")).cast("binary"), block).alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 4096) -> None:
-    """WARC files: each record followed by two empty lines, as the format asks for."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """WARC files: each record, and the two empty lines that the format asks for, is a gzip member."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                raw = record.as_buffer().to_pybytes()
+                out.append(gzip.compress(raw + b"\r\n\r\n", 6, mtime=0))
+                held += len(raw)
+                if held >= archive_bytes:
+                    yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], ["archive"])
+                    out, held = [], 0
+        if out:
+            yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
+    archives = records.mapInArrow(fill, "archive binary").select(F.col("archive").cast("string"))  # the same bytes
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -231,7 +263,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 blob = batch.column(1)[i].as_py()
-                if batch.column(0)[i].as_py().endswith(".gz"):
+                if blob.startswith(b"\x1f\x8b"):
                     blob = gzip.decompress(blob)
                 rows = [one(*x) for x in read_warc(blob)]
                 if rows:
@@ -241,10 +273,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Pages to ARC, ARC to WARC, WARC to files under path. Records per file follow from their mean length."""
-    total, n = df.agg(F.sum(F.octet_length(F.col(payload).cast("string")).cast("long")), F.count("*")).first()
-    per_file = max(1, archive_bytes * max(n, 1) // max(int(total or 0), 1))
-    write_archives(to_warc(arc_records(arc_blobs(df, key, url, payload))), path, min(per_file, 1 << 20))
+    """Pages to ARC, ARC to WARC, WARC to files under path."""
+    write_archives(to_warc(arc_records(arc_blobs(df, key, url, payload))), path, archive_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

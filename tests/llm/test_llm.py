@@ -429,6 +429,38 @@ def test_warc_cases(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/empty").count() == 0
 
 
+def test_warc_keeps_bytes(spark, tmp_path):
+    import gzip
+
+    latin, image, page = "caf\xe9 \xdf".encode("latin-1") * 30, bytes(range(256)) * 3, b"\r\n\r\nWARC/1.0\r\n\0\0" * 20
+    http = b"HTTP/1.0 200 OK\r\nX-Note: \xe9\r\n\r\n"
+    bodies = [latin, image, page, image, b"", b"tiny"]
+    for version, pack in ((1, lambda b: b), (2, gzip.compress)):
+        blob = warc.arc_version_block(version)
+        for i, b in enumerate(bodies):
+            blob += warc.arc_record(version, f"http://h/{i}", http + b, len(blob))
+        (tmp_path / f"v{version}.arc{'.gz' if version == 2 else ''}").write_bytes(pack(blob))
+    (tmp_path / "latin.arc").write_bytes(warc.arc_version_block(1) + b"http://h/\xe9 0.0.0.0 19990101000000 text/html 2\nhi\n")
+    records = warc.arc_records(warc.arc_files(spark, f"{tmp_path}/*.arc*"))
+    assert sorted(bytes(r["payload"]) for r in records.collect()) == sorted([*bodies * 2, b"hi"])
+    warc.write_archives(warc.to_warc(records), f"{tmp_path}/out", archive_bytes=500)
+    back = warc.read_archives(spark, f"{tmp_path}/out").collect()
+    assert sorted(r["payload_digest"] for r in back) == sorted(hashlib.sha256(b).hexdigest() for b in [*bodies * 2, b"hi"])
+    assert "http://h/\xe9" in {r["url"] for r in back} and {r["record_type"] for r in back} == {"response"}  # no keys: nothing to refer to
+    # each record is a gzip member of its own
+    files = [f.read_bytes() for f in (tmp_path / "out").glob("part-*")]
+    assert len(files) > 1 and sum(f.count(b"\x1f\x8b\x08") for f in files) >= len(back)
+    assert all(gzip.decompress(f).startswith(b"WARC/1.0\r\n") for f in files)
+
+
+def test_warc_repeated_rows(spark, tmp_path):
+    big = "z" * 70000
+    df = spark.createDataFrame([(1, "u", big), (1, "u", big), (2, "u", big), (None, "u", big), (None, None, "y" * 200)], "page_id long, url string, html string")
+    warc.convert(df, f"{tmp_path}/w")
+    got = rows_of(warc.read_archives(spark, f"{tmp_path}/w").na.fill(-1), "page_id", "record_type", "refers_to")
+    assert got == [(-1, "response", -1), (-1, "revisit", 1), (1, "response", -1), (1, "response", -1), (2, "revisit", 1)]
+
+
 # --- 9
 
 def test_chat_cases(spark):
