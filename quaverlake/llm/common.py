@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A session without one (a local test) gets a temporary folder."""
+    """The folder that all executors share. A local session without one (a test) gets a temporary folder; on a cluster that is an error."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quaverlake-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
@@ -28,12 +32,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors lose nothing, and the reader knows its size."""
+_OWNERS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """Deletes on leaving what materialize() wrote inside; results must have been written or collected by then."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for df in _OWNERS.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lost executors lose nothing, and the reader knows its size.
+
+    The innermost owned() deletes the table unless it is `kept`; without one, whoever owns the shared folder does.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quaverlake_path = path
+    if _OWNERS and not kept:
+        _OWNERS[-1].append(out)
     return out
 
 

@@ -14,11 +14,14 @@ Distinct fingerprints that differ in at most `tau` bits are found without compar
 4. values that over `tile` fingerprints share are dealt into tiles, each met by all probes;
 5. components of the links (large-star, small-star) give the smallest reachable document.
 
-Exact: no link is lost. Equal fingerprints are merged before anything else.
-
-Defined cases: null and empty texts have fingerprint zero and link like any other; rows
-with a null doc_id belong to the component of their fingerprint but pass on no links of
-their own; repeated rows each get their result; an empty table gives no rows.
+Exact: no link is lost. Nodes are the distinct fingerprints, so equal ones are merged before
+anything else. The number of partitions is part of the dynamic program and grows in steps as
+fingerprints do: a change of plan is not a change of results.
+
+Defined cases: null and empty texts have fingerprint zero and link like any other; a null
+doc_id links like any other but names no component (one of null doc_ids only is null); texts
+that share a doc_id are told apart; repeated rows each get their result, and keep_first keeps
+one of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,16 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, partitions, read_table
+from .common import connected_components, materialize, null_safe_text, partitions, read_table
 
 TAU = 4
 SHINGLE = 4
 SEED = 42
 #: Fingerprints under one partition value that are met in one group.
 TILE = 4096
-#: Numbers of partitions that are weighed against each other, and what a probe costs in candidates:
+#: At most so many partitions are weighed against each other, and what a probe costs in candidates:
 #: a row that is exploded, shuffled and sorted took 2 to 4 us, a comparison 44 ns (both measured).
-PARTITIONS = (2, 3, 4, 5)
+MOST_PARTITIONS = 12
 PROBE_COST = 64.0
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
@@ -140,17 +143,12 @@ def plan(fps: DataFrame, tau: int = TAU) -> list[tuple[list[int], int]]:
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     corr = cov / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
-    options = {m: correlated_groups(corr, m) for m in PARTITIONS if m <= tau + 1}
+    options = {m: correlated_groups(corr, m) for m in range(1 if tau == 0 else 2, min(tau + 1, MOST_PARTITIONS) + 1)}
     values = F.array(*[F.struct(F.lit(100 * m + k).alias("o"), F.col("fp").bitwiseAND(_mask(g)).alias("v")) for m, gs in options.items() for k, g in enumerate(gs)])
     counts = fps.select(F.explode(values).alias("x")).groupBy("x.o", "x.v").count()
     pairs = dict(counts.groupBy("o").agg(F.sum(F.col("count").cast("double") * F.col("count"))).collect())
-    best = (float("inf"), [], [])
-    for m, groups in options.items():
-        costs = [[0.0, *(_ball(len(g), t) * (n * PROBE_COST + pairs[100 * m + k]) for t in range(3))] for k, g in enumerate(groups)]
-        cost, ts = allocate(costs, tau)
-        if cost < best[0]:
-            best = (cost, groups, ts)
-    return [(g, t) for g, t in zip(best[1], best[2]) if t >= 0]
+    m, ts = plan_of(n, {m: [pairs[100 * m + k] for k in range(m)] for m in options}, {m: [len(g) for g in gs] for m, gs in options.items()}, tau)
+    return [(g, t) for g, t in zip(options[m], ts) if t >= 0]
 
 
 def _mask(bits) -> int:
@@ -164,6 +162,17 @@ def _probes(part: int, bits: list[int], flips: list[int]):
     return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseXOR(f).bitwiseAND(F.lit(_mask(bits))).alias("value"), F.lit(True).alias("probe")))
 
 
+def plan_of(n: float, pairs: dict[int, list[float]], widths: dict[int, list[int]], tau: int) -> tuple[int, list[int]]:
+    """(m, thresholds) of least cost for n fingerprints; pairs and widths per number of partitions m."""
+    best = (float("inf"), 0, [])
+    for m, w in widths.items():
+        cost, ts = allocate([[0.0, *(_ball(w[k], t) * (n * PROBE_COST + pairs[m][k]) for t in range(tau + 1))] for k in range(m)], tau)
+        best = min(best, (cost, m, ts), key=lambda b: b[0])
+    if not best[2]:
+        raise ValueError(f"no plan for {tau} bits")
+    return best[1], best[2]
+
+
 def links(fps: DataFrame, tau: int = TAU, tile: int = TILE) -> DataFrame:
     """fps: distinct (fp, rep). Returns (a, b): reps whose links span all components of fingerprints within tau bits."""
     parts = plan(fps, tau)
@@ -256,26 +265,35 @@ def _meet(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatc
 
 
 def components(fingerprints: DataFrame, key: str = "doc_id", tau: int = TAU, tile: int = TILE) -> DataFrame:
-    """(fp, component) of every distinct fp: the smallest key that links reach; null where no key is known."""
-    fps = materialize(fingerprints.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("rep")), "simhash-fps")
-    found = connected_components(links(fps.where("rep is not null"), tau, tile))
-    return fps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    """(fp, root, component_id) of every distinct fp: root tells components apart, component_id is their smallest key."""
+    fps = materialize(fingerprints.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("least")), "simhash-fps")
+    found = connected_components(links(fps.select("fp", F.col("fp").alias("rep")), tau, tile))
+    rooted = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = materialize(rooted, "simhash-roots")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(names, "root").select("fp", "root", "component_id")
 
 
 def group(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
-    """Per row: doc_id, fp and component_id."""
-    prints = materialize(with_fingerprints(df.withColumnRenamed(key, "doc_id"), text, ["doc_id"]), "simhash-docs")
-    return prints.join(components(prints, "doc_id", tau), "fp").select("doc_id", "fp", "component_id")
+    """Per row: doc_id, fp, root and component_id (null only if no row of the component has a key)."""
+    own = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("__text"), F.xxhash64(null_safe_text(text)).alias("__h"))
+    prints = materialize(with_fingerprints(own, "__text", ["doc_id", "__h"]), "simhash-docs")
+    return prints.join(components(prints, "doc_id", tau), "fp").select("doc_id", "fp", "root", "component_id", "__h")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
-    """df with one row of each group: that of the smallest key (of equal keys any one row). Rows without a key stay."""
-    grouped = materialize(group(df, key, text, tau), "simhash-groups")
-    stays = grouped.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__key")).count()
-    known = df.join(stays, F.col(key) == F.col("__key"), "left_semi")
-    if not stays.where("count > 1").isEmpty():
-        known = known.dropDuplicates([key])
-    return known.unionByName(df.where(F.col(key).isNull()))
+    """df with one row of each group: that of the smallest key (null last), then fingerprint, then hash of the text.
+
+    Rows that agree in key and text are copies, of which any one stays.
+    """
+    rows = group(df, key, text, tau).groupBy("root", "doc_id", "fp", "__h").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__h", "n")).alias("b"))
+    stays = materialize(best.select(F.col("b.doc_id").alias("__key"), F.col("b.__h").alias("__hash"), "b.n"), "simhash-stays")
+    marked = df.withColumn("__h", F.xxhash64(null_safe_text(text)))
+    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    if not stays.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([key, "__h"])
+    return kept.select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
