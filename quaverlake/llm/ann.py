@@ -3,8 +3,9 @@
 Largest inner products become smallest distances: with M the largest norm, each vector x
 gets the coordinate sqrt(M^2 - |x|^2) and each query a 0. All vectors are projected on
 `dims` Gaussian directions. A kd-tree over the projections, whose upper splits come from
-a bounded sample of `SAMPLE` rows, deals all rows into leaves of about `leaf_rows`; each leaf is
-searched through a kd-tree of its own.
+a sample of `SAMPLE` rows or `LEAF_SAMPLE` a leaf if that is more, deals all rows into leaves of
+about `leaf_rows`; each leaf is searched through a kd-tree of its own. The driver holds the
+sample's projections, and a box a leaf.
 
 A query looks at buckets by growing projected distance, verifies their vectors exactly, and
 stops when the next bucket's squared projected distance exceeds d_k^2 times the chi-square
@@ -16,8 +17,9 @@ only these are indexed: results stay whole and no leaf holds a large group of co
 that many queries visit are dealt to several tasks.
 
 Defined cases: vectors that are null, zero or hold a null or non-finite component take no part;
-vectors of different lengths are no neighbours, so each length is searched on its own; repeated (id, vector) rows count once; ties go to the
-smaller id; fewer candidates than k give fewer rows; an empty table gives none.
+vectors of different lengths are no neighbours, so each length is searched on its own; repeated
+(id, vector) rows count once; an id with several vectors is as many candidates, and its queries are
+answered together (the k best of all their pairs); ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ DIMS = 8
 P = 0.95
 LEAF_ROWS = 8192
 SAMPLE = 16384
+LEAF_SAMPLE = 32
+#: Query-leaf distances that are computed at once.
+ROUTED = 1 << 22
 BUCKET = 64
 #: Queries of a leaf that one task takes.
 CHUNK = 4096
@@ -179,13 +184,20 @@ def search_length(rows: DataFrame, is_query, k: int, dims: int, p: float, leaf_r
         more = np.sqrt(np.maximum(top - (x * x).sum(1), 0)) if data else np.zeros(len(x))
         return x @ directions[:-1] + more[:, None] * directions[-1]
 
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()])  # at most SAMPLE rows
-    tree = splits(project(sample, True), depth)
-
     def matrix(column) -> np.ndarray:
         flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in column.chunks])
         return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y = project(matrix(batch.column(0)), True)
+                yield pa.record_batch([pa.array(y[:, j]) for j in range(dims)], [f"p{j}" for j in range(dims)])
+
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, LEAF_SAMPLE << depth)).select("x")
+    drawn = drawn.mapInArrow(projected, ", ".join(f"p{j} double" for j in range(dims))).toArrow()
+    tree = splits(np.stack([c.to_numpy() for c in drawn.columns], 1), depth)
+
     def deal(data: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -220,10 +232,9 @@ def search_length(rows: DataFrame, is_query, k: int, dims: int, p: float, leaf_r
 
     def visit(routed: DataFrame) -> DataFrame:
         """routed: id, x, bound, leaf. A leaf's data go to as many tasks as its queries need."""
-        need = {r[0]: -(-r[1] // CHUNK) for r in routed.groupBy("leaf").count().collect()}  # a row per leaf
-        chunks = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in need.items() for v in kv]), F.col("leaf")), F.lit(0)) if need else F.lit(0)
-        left = routed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.greatest(chunks, F.lit(1))).cast("int"))
-        right = data.select("id", "x", "leaf", chunks.alias("c")).where("c > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).drop("c")
+        need = materialize(routed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "ann-chunks")
+        left = routed.join(need, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).drop("chunks")
+        right = data.select("id", "x", "leaf").join(need, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
         return left.groupBy("leaf", "chunk").cogroup(right.groupBy("leaf", "chunk")).applyInPandas(lambda a, b: near(a, b), "query_id long, vec_id long, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -240,13 +251,15 @@ def search_length(rows: DataFrame, is_query, k: int, dims: int, p: float, leaf_r
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = matrix(batch.column(1))
-                least = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
-                bound = np.where(np.isnan(least), np.inf, top + (x * x).sum(1) - 2 * least)
-                gaps = box_distance(project(x, False), low, high)
-                own = batch.column(2).to_numpy(zero_copy_only=False)
-                i, j = np.nonzero((gaps <= bound[:, None] * chi) & (leaves[None, :] != own[:, None]))
-                yield pa.record_batch([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(bound[i]), pa.array(leaves[j], pa.int32())], ["id", "x", "bound", "leaf"])
+                step = max(1, ROUTED // len(leaves))
+                for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
+                    x = matrix(part.column(1))
+                    least = part.column(3).to_numpy(zero_copy_only=False).astype(float)
+                    bound = np.where(np.isnan(least), np.inf, top + (x * x).sum(1) - 2 * least)
+                    gaps = box_distance(project(x, False), low, high)
+                    own = part.column(2).to_numpy(zero_copy_only=False)
+                    i, j = np.nonzero((gaps <= bound[:, None] * chi) & (leaves[None, :] != own[:, None]))
+                    yield pa.record_batch([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(bound[i]), pa.array(leaves[j], pa.int32())], ["id", "x", "bound", "leaf"])
 
         routed = materialize(again.mapInArrow(route, "id long, x array<double>, bound double, leaf int"), "ann-routed")
         found = found.unionByName(visit(routed))

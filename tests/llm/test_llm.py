@@ -238,6 +238,15 @@ def test_neighbours_recall(spark, sf_dir):
         assert sum(len(set(got[q]) & set(want[q])) for q in want) / (20 * len(want)) >= 0.95
 
 
+def test_neighbours_recall_of_many_leaves(spark):
+    rows = [(r[0], r[1]) for r in common.read_table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").collect()]
+    want = brute_neighbours(rows, 20)
+    got = {}
+    for r in ann.search(common.read_table(spark, "/root/testdata/sf0.1", "embeddings"), F.col("id") % 20 == 0, leaf_rows=150).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.95
+
+
 def test_neighbours_edges(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [(100, [3.0, 1.0]), (101, None), (102, [0.0, 0.0]), (103, [nan, 1.0]), (104, [None, 1.0]), (105, [1.0]), (100, [3.0, 1.0]), (None, [1.0, 1.0])]
@@ -321,6 +330,34 @@ def test_simhash_edges(spark):
     assert simhash.group(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_simhash_keys(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 5
+    rows = [(7, long), (7, "quite another text of its own altogether, with other words"), (None, long), (None, "alone without any key " * 9), (8, long), (8, long), (9, "quite another text of its own altogether, with other words")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.group(docs(spark, rows)).collect()), key=str)
+    # fingerprints link, not keys: the two texts of 7 stay apart, and the one without a key joins its copies
+    assert got == sorted([(7, 7), (7, 7), (None, 7), (None, None), (8, 7), (8, 7), (9, 7)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(docs(spark, rows)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[3]], key=str)
+    copies = simhash.keep_first(docs(spark, [(8, long), (8, long), (9, long)]))
+    assert rows_of(copies, "doc_id") == [(8,)]
+
+
+@pytest.mark.parametrize("tau", [0, 1, 7, 16])
+def test_simhash_other_distances(spark, tau):
+    rng = random.Random(tau)
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, tau + 2))) for c in centres for _ in range(12)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)], "fp long, rep long")
+    found = dict(map(tuple, common.connected_components(simhash.links(df, tau)).collect()))
+    up = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= tau and up[i] != up[j]:
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    assert [found.get(k, k) for k in range(len(fps))] == up
+
+
 def test_allocation_is_least():
     rng = random.Random(2)
     for m in (2, 3, 4, 5):
@@ -525,3 +562,26 @@ def test_pipeline(spark, sf_dir):
         now = after
     assert seen[0] < start.count() and seen == sorted(seen, reverse=True)
     assert sorted(map(str, p.run(spark, sf_dir).collect())) == sorted(map(str, now.collect()))
+
+
+def test_pipeline_cases(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = "the quick brown fox jumps over one lazy dog while seven wizards juggle"
+    rows = [(1, words), (1, words), (2, None), (3, ""), (4, "mail ann@example.org " + words.upper()), (None, "no key here"), (5, " ".join(f"w{i}" for i in range(30))), (6, "long " * 20000)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, name = common.read_table(spark, str(tmp_path), "documents"), None
+    for name, stage in p.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs(spark, rows).columns, name
+        now = common.materialize(now, name)
+    got = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert got == {1: words, 2: None, 4: "mail [EMAIL] " + words.upper(), None: "no key here", 6: "long " * 20000}
+    last = {r["doc_id"]: r["ids"] for r in p.run(spark, str(tmp_path)).collect()}
+    assert last.keys() == got.keys() and last[2] is None and len(last[1]) > 3
+    docs(spark, rows).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("benchmark", "labels"):
+        common.read_table(spark, str(tmp_path), t).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
