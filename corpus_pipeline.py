@@ -1,11 +1,17 @@
-"""A corpus pipeline of five stages over `documents`; each stage is written as Parquet and read again."""
+"""A corpus pipeline of five stages over `documents`; each stage is written as Parquet and read again.
+
+Defined cases: extra columns of documents pass all stages but the last; a null text is empty to every
+stage (it is kept as null, links with other empty texts, and gets null ids); rows of a null doc_id are
+never trained on and of a group stay only if no other row has a key; repeated rows are near copies, of
+which one stays; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quaverlake.llm import decontaminate, pii, simhash, toxicity, unigram
-from quaverlake.llm.common import materialize, read_table
+from quaverlake.llm.common import discard, materialize, owned, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    """The last stage over what the others wrote. What a stage leaves in the shared folder goes once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with owned():
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", kept=True)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
