@@ -11,7 +11,9 @@ never inputs of a score.
 
 Defined cases: null and empty texts have no features and get the score of the bias; null
 labels are not used, of several labels of a key the largest counts; repeated rows each get
-their score; without any row to train on all scores are 0; an empty table gives no rows.
+their score; of the texts of one labelled key the smallest is learned, whatever the order of
+rows; without any toxic row to train on all scores are 0; an empty table gives no rows. Rows
+of the sample are bounded, their bytes are not: one task holds the features of all of them.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     use = use.orderBy(F.xxhash64(key), key).limit(max_train).withColumnRenamed(key, "__key")
     rows = documents.join(F.broadcast(use), F.col(key) == F.col("__key"))  # at most max_train rows
     rows = rows.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), "__y", F.xxhash64("__key").alias("o"), "__key")
-    rows = rows.dropDuplicates(["__key"]).select("t", "__y", "o").coalesce(1).sortWithinPartitions("o", "t")
+    rows = rows.groupBy("__key", "__y", "o").agg(F.min("t").alias("t")).select("t", "__y", "o").coalesce(1).sortWithinPartitions("o", "t")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, xs, ys, model = _Hashes(), [], [], Ftrl(bits)
@@ -104,7 +106,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for e in range(epochs):
             for k in np.random.default_rng(e).permutation(len(xs)):
                 model.learn(xs[k], ys[k])
-        w = model.weights(np.arange((1 << bits) + 1)) if xs else np.zeros(0)
+        w = model.weights(np.arange((1 << bits) + 1)) if any(ys) else np.zeros(0)
         i = np.flatnonzero(w)
         yield pa.record_batch([pa.array(i, pa.int32()), pa.array(w[i], pa.float64())], ["i", "w"])
 

@@ -178,6 +178,38 @@ def test_toxicity_edges(spark):
     assert toxicity.score(d.limit(0), {}).count() == 0
 
 
+def test_ftrl_is_the_published_rule():
+    rng, model = random.Random(6), toxicity.Ftrl(3, 0.3, 1.0, 0.4, 0.7)
+    z, n = {}, {}
+
+    def weight(i):
+        if i != 8 and abs(z.get(i, 0.0)) <= 0.4:
+            return 0.0
+        l1, l2 = (0.4, 0.7) if i != 8 else (0.0, 0.0)  # the bias (feature 8) has no penalty
+        zi = z.get(i, 0.0)
+        return -(zi - (1 if zi > 0 else -1 if zi < 0 else 0) * l1) / ((1.0 + n.get(i, 0.0) ** 0.5) / 0.3 + l2)
+
+    for _ in range(300):
+        x = sorted(rng.sample(range(8), rng.randint(0, 5)))
+        y = int(3 in x or rng.random() < 0.1)
+        w = {i: weight(i) for i in [*x, 8]}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in w:
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.3
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+        model.learn(np.array(x, np.int64), y)
+    assert np.allclose(model.weights(np.arange(9)), [weight(i) for i in range(9)]) and weight(3) > 0.5
+
+
+def test_toxicity_repeated_keys(spark):
+    rows = [(k, f"fine words number {k}") for k in range(40)] + [(k, f"awful vile words {k}") for k in range(100, 140)] + [(101, "fine words again"), (102, "another fine one")]
+    labels = spark.createDataFrame([(k, int(k >= 100)) for k, _ in rows], "doc_id long, toxic int")
+    d = docs(spark, rows)
+    a, b = (toxicity.fit(x, labels) for x in (d, d.orderBy(F.rand(1))))
+    assert a == b and a
+
+
 # --- 3
 
 def test_best_fit_decreasing():
