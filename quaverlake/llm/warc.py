@@ -37,6 +37,8 @@ from .common import materialize, new_path, read_table
 #: Payloads under this many bytes are never revisits.
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 16 << 20
+#: Higher levels took more time than all else.
+GZIP_LEVEL = 1
 #: ARC blobs in flight.
 BLOB_BYTES = 4 << 20
 DATE = "19990101000000"
@@ -204,7 +206,7 @@ def to_warc(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return r.select(F.concat(F.concat_ws("\r\n", *fields, F.lit(""), F.lit("")).cast("binary"), block).alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, level: int = GZIP_LEVEL) -> None:
     """WARC files: each record, and the two empty lines that the format asks for, is a gzip member."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         for batch in batches:
             for record in batch.column(0):
                 raw = record.as_buffer().to_pybytes()
-                out.append(gzip.compress(raw + b"\r\n\r\n", 6, mtime=0))
+                out.append(gzip.compress(raw + b"\r\n\r\n", level, mtime=0))
                 held += len(raw)
                 if held >= archive_bytes:
                     yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], ["archive"])
