@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import uuid
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +37,7 @@ from .common import materialize, new_path, read_table
 #: Payloads under this many bytes are never revisits.
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 16 << 20
-#: Higher levels took more time than all else.
+#: Level 6 takes twice the time for 6 % less bytes (measured on pages).
 GZIP_LEVEL = 1
 #: ARC blobs in flight.
 BLOB_BYTES = 4 << 20
@@ -266,7 +266,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 blob = batch.column(1)[i].as_py()
                 if blob.startswith(b"\x1f\x8b"):
-                    blob = gzip.decompress(blob)
+                    blob = gzip.GzipFile(fileobj=io.BytesIO(blob)).read()  # gzip.decompress copies the rest for each member
                 rows = [one(*x) for x in read_warc(blob)]
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
