@@ -57,6 +57,11 @@ def gain(lufs: Column) -> Column:
     return F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.pow(F.lit(10.0), (F.lit(-14.0) - lufs) / 20)))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), computed once: a projection would be merged into the lambdas that name it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -107,21 +112,31 @@ def _resultants(onset_rows: DataFrame, by: str, at: str, periods: list[float], l
     many = rows.groupBy(F.col(by).alias("__k")).agg(F.min("at").alias("base"), F.count("*").alias("n"), F.max("prior").alias("__prior")).where(F.col("n") > F.lit(block)).where(F.col("n") >= least)
     same = F.col(by).eqNullSafe(F.col("__k"))
 
-    def fold(points: Column, term) -> Column:
-        every = F.concat(F.array(*map(F.lit, periods)), F.array(60000 / F.col("prior")))
-        total = lambda f, p: F.aggregate(points, F.lit(0.0), lambda s, x: s + term(f, x, p))
-        return F.transform(every, lambda p: F.struct(total(F.cos, p).alias("re"), total(F.sin, p).alias("im")))
+    @F.pandas_udf("array<double>")
+    def sums(points: pd.Series, weights: pd.Series, known: pd.Series) -> pd.Series:
+        out = []
+        for t, w, p in zip(points, weights, known.astype(float)):
+            turns = np.divide.outer(np.asarray(t, float), np.append(periods, 60000 / p))
+            turns = (turns - np.floor(turns)) * (2 * math.pi)
+            w = np.ones(len(t)) if w is None else np.asarray(w, float)
+            out.append(np.concatenate((w @ np.cos(turns), w @ np.sin(turns))))
+        return pd.Series(out)
+
+    def fold(points: Column, weights: Column) -> Column:
+        n = len(periods) + 1
+        both = sums(points, weights, F.col("prior"))
+        return F.zip_with(F.slice(both, 1, n), F.slice(both, n + 1, n), lambda re, im: F.struct(re.alias("re"), im.alias("im")))
 
     key = [by, "base", "n", "prior"]
-    turns = lambda at: (at - F.col("base")) * (2 * math.pi)
-    few = rows.join(F.broadcast(many.select("__k")), same, "left_anti").groupBy(by)
+    n = int(onset_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.join(F.broadcast(many.select("__k")), same, "left_anti").repartition(n, by).groupBy(by)  # few bytes, much to compute: not for one task
     few = few.agg(F.min("at").alias("base"), F.count("*").alias("n"), F.max("prior").alias("prior"), F.array_sort(F.collect_list("at")).alias("t")).where(F.col("n") >= least)
-    few = few.withColumn("t", F.transform("t", turns))
+    few = few.withColumn("t", F.transform("t", lambda at: at - F.col("base")))
     hot = rows.drop("prior").join(F.broadcast(many.withColumnRenamed("__prior", "prior")), same).withColumn("b", F.pmod(F.xxhash64("at"), F.ceil(F.col("n") / block)))
-    hot = hot.groupBy(*key, "b", "at").agg(F.count("*").cast("double").alias("w")).groupBy(*key, "b").agg(F.array_sort(F.collect_list(F.struct(turns(F.col("at")).alias("a"), "w"))).alias("t"))
-    hot = hot.select(*key, F.posexplode(fold(F.col("t"), lambda f, x, p: x["w"] * f(x["a"] / p))).alias("i", "z")).groupBy(*key, "i").agg(F.sum("z.re").alias("re"), F.sum("z.im").alias("im"))
+    hot = hot.groupBy(*key, "b", "at").agg(F.count("*").cast("double").alias("w")).groupBy(*key, "b").agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("base")).alias("a"), "w"))).alias("t"))
+    hot = hot.withColumn("z", fold(F.col("t.a"), F.col("t.w"))).select(*key, F.posexplode("z").alias("i", "z")).groupBy(*key, "i").agg(F.sum("z.re").alias("re"), F.sum("z.im").alias("im"))
     hot = hot.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "re", "im"))), lambda x: F.struct(x["re"].alias("re"), x["im"].alias("im"))).alias("z"))
-    return few.select(*key, fold(F.col("t"), lambda f, x, p: f(x / p)).alias("z")).unionByName(hot)
+    return few.select(*key, fold(F.col("t"), F.lit(None).cast("array<double>")).alias("z")).unionByName(hot)
 
 
 def _sweep(low_ms: float, high_ms: float, step_ms: float) -> list[float]:
@@ -169,17 +184,36 @@ def tempo(onset_rows: DataFrame, by: str, at: str, prior: str | None = None, low
     return found.select(by, kept.alias("x")).select(by, "x.*")
 
 
-def key_scores(df: DataFrame, by: str, chroma: str) -> DataFrame:
-    """(by, tonic, major, r): Pearson correlation of 12 pitch classes with the 24 rotated profiles; arrays, no join."""
+def _correlated(df: DataFrame, by: str, chroma: str) -> DataFrame:
+    """(by, keys): in each row the correlations of 12 pitch classes with the 24 rotated profiles, which are centred and normed beforehand."""
     from ..functions.kernels import MAJOR, MINOR
 
-    every = F.array(*[F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("major"), F.array(*[F.lit(float(p[(i - t) % 12])) for i in range(12)]).alias("p")) for t in range(12) for m, p in ((True, MAJOR), (False, MINOR))])
+    def literal(profile, tonic: int) -> Column:
+        p = np.roll(np.asarray(profile, float), tonic)
+        p = (p - p.mean()) / np.linalg.norm(p - p.mean())
+        return F.array(*map(F.lit, p.tolist()))
+
+    every = F.array(*[F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("major"), literal(p, t).alias("p")) for t in range(12) for m, p in ((True, MAJOR), (False, MINOR))])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    centred = lambda a: F.transform(a, lambda v: v - total(a) / 12)
-    rows = df.select(by, F.col(chroma).alias("x"), F.explode(every).alias("k")).select(by, "x", "k.*")
-    x, p = centred(F.col("x")), centred(F.col("p"))
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(p, p))
-    return rows.select(by, "tonic", "major", F.when(norm > 0, dot(x, p) / norm).alias("r"))
+    centred = _let(total(F.col(chroma)) / 12, lambda mean: F.transform(F.col(chroma), lambda v: v - mean))
+
+    def against(x: Column) -> Column:
+        return _let(F.sqrt(dot(x, x)), lambda norm: F.transform(every, lambda k: F.struct(k["tonic"].alias("tonic"), k["major"].alias("major"), F.when(norm > 0, dot(x, k["p"]) / norm).alias("r"))))
+
+    return df.select(by, _let(centred, against).alias("keys"))
+
+
+def key_scores(df: DataFrame, by: str, chroma: str) -> DataFrame:
+    """(by, tonic, major, r): Pearson correlation of 12 pitch classes with the 24 rotated profiles; null for a flat one."""
+    return _correlated(df, by, chroma).select(by, F.explode("keys").alias("k")).select(by, "k.*")
+
+
+def best_key(df: DataFrame, by: str, chroma: str, least: float = 0.05, digits: int = 9) -> DataFrame:
+    """(by, tonic, major, confidence): the best key and its lead over the next one, of at least `least`. Settled inside the row: no shuffle."""
+    ranked = F.array_sort(F.transform("keys", lambda k: F.struct((-F.round(k["r"], digits)).alias("o"), k["tonic"].alias("tonic"), (~k["major"]).alias("minor"), k["r"].alias("r"))))
+    top = _correlated(df, by, chroma).select(by, F.slice(ranked, 1, 2).alias("k")).select(by, F.col("k")[0].alias("a"), F.col("k")[1].alias("b"))
+    lead = F.round(F.col("a.r") - F.col("b.r"), digits)
+    return top.where(lead >= least).select(by, "a.tonic", (~F.col("a.minor")).alias("major"), lead.alias("confidence"))
 
 
 _ANALYSIS = "window_ms double, level array<double>, bass array<double>, treble array<double>, bpm double, beat_confidence double, beats_ms array<double>, tonic int, major boolean, key_confidence double, sections_ms array<double>, lufs double, gain double"

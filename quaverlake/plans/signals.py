@@ -53,9 +53,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(r, 9) DESC
 SELECT a.vec_id, a.tonic, a.major, round(a.r - b.r, 6) AS confidence FROM o a JOIN o b ON a.vec_id = b.vec_id AND a.n = 1 AND b.n = 2 WHERE round(a.r - b.r, 9) >= 0.05""")
 def _(spark, sf):
     c = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda v: F.abs(v).cast("double")).alias("c"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc(F.round("r", 9)), "tonic", F.desc("major"))
-    s = S.key_scores(c, "vec_id", "c").withColumns({"n": F.row_number().over(w), "next": F.lead("r").over(w)}).where("n = 1")
-    return s.where(F.round(F.col("r") - F.col("next"), 9) >= 0.05).select("vec_id", "tonic", "major", F.round(F.col("r") - F.col("next"), 6).alias("confidence"))
+    return S.best_key(c, "vec_id", "c").withColumn("confidence", F.round("confidence", 6))
 
 
 @_R.add("s14_gain", "SELECT event_id, round(least(2.0, greatest(0.5, pow(10.0, (-14.0 + value / 10) / 20))), 6)::DOUBLE AS gain FROM events")
