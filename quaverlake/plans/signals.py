@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -102,8 +104,12 @@ def _(spark, sf):
 
 @_R.add("s21_analysis")
 def _(spark, sf):
-    """All measurements of a tone train per user: the events of a user as a signal of 200 samples a second."""
-    one = envelope(spark, sf)
-    wave = F.flatten(F.transform("v", lambda v: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: v * F.sin(k * 0.9))))
-    found = S.analyse(one.select("user_id", wave.alias("samples"), F.lit(2000).alias("rate")), "user_id")
+    """All measurements of a recording per user: 12 s at 8 kHz, a major scale on the user's tone under clicks at the user's tempo, as loud as the user's events."""
+    users = table(spark, sf, "events").groupBy("user_id").agg((F.avg(F.abs("value")) / 100).alias("loud"))
+    t = F.transform(F.sequence(F.lit(0), F.lit(95999)), lambda i: i / 8000.0)
+    users = users.withColumns({"root": 2 * math.pi * 130.81 * F.pow(F.lit(2.0), F.col("user_id") % 12 / 12), "beat": 60.0 / (90 + F.col("user_id") % 60)})
+    scale = {0: 1.0, 2: 0.3, 4: 0.6, 5: 0.4, 7: 0.8, 9: 0.4, 11: 0.3}
+    tones = [(2 ** (octave + step / 12), w / 12) for octave in (0, 1) for step, w in scale.items()]
+    wave = F.transform(t, lambda x: F.col("loud") * (sum((w * F.sin(F.col("root") * f * x) for f, w in tones), F.lit(0.0)) + F.exp(-60 * (x % F.col("beat"))) * F.sin(22000 * x)))
+    found = S.analyse(users.select("user_id", wave.alias("samples"), F.lit(8000).alias("rate")), "user_id")
     return found.select("user_id", F.size("level").alias("windows"), F.round("bpm", 3).alias("bpm"), "tonic", "major", F.round("lufs", 3).alias("lufs"))

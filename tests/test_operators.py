@@ -39,9 +39,76 @@ def test_sql(spark, sf_dir, name):
     assert Counter(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
-def test_runs(spark, sf_dir, name):
-    assert plans.queries()[name](spark, sf_dir).count() >= 0
+def rows_by(df, key):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+def words_by_user(spark, sf_dir):
+    from quaverlake.plans.sequences import words
+
+    return rows_by(words(spark, sf_dir), "user_id")
+
+
+def test_m12_disjoint_query(spark, sf_dir):
+    got = rows_by(plans.queries()["m12_disjoint"](spark, sf_dir), "user_id")
+    for user, own in words_by_user(spark, sf_dir).items():
+        spans = sorted([r["start_ms"], r["end_ms"]] for r in own)
+        for k in range(len(spans) - 1):
+            if spans[k][1] > spans[k + 1][0]:
+                spans[k][1] = spans[k + 1][0] = (spans[k][1] + spans[k + 1][0]) // 2
+        assert sorted((r["start_ms"], r["end_ms"]) for r in got.get(user, [])) == sorted((a, b) for a, b in spans if b > a)
+
+
+def test_m9_repetition_query(spark, sf_dir):
+    def plain(w):
+        for p in range(1, 5):
+            if len(w) >= 12 and all(w[-k] == w[-k - p] for k in range(1, 13 - p)):
+                return 12
+        for p in range(5, 25):
+            if len(w) >= 4 * p and w[-p:] * 4 == w[-4 * p :]:
+                return 3 * p
+        return None
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split(T.normalize(F.col("text")), " ").alias("w")).collect()
+    want = {r["doc_id"]: plain(r["w"]) if r["w"] is not None else None for r in texts}
+    assert {r["doc_id"]: r["drop_words"] for r in plans.queries()["m9_repetition"](spark, sf_dir).collect()} == want
+    from quaverlake.operators import sequences
+
+    made = [["a", "b"] * 8, ["x"] * 12, ["x"] * 11, list("abcdefg") * 4, list("abcdefg") * 3, ["q", *list("abcde") * 4]]
+    got = spark.createDataFrame([(k, w) for k, w in enumerate(made)], "k int, w array<string>").select("k", sequences.repetition_overrun(F.col("w")).alias("n")).orderBy("k").collect()
+    assert [r["n"] for r in got] == [plain(w) for w in made] == [12, 12, None, 21, None, 15]
+
+
+def test_a20_beat_map_query(spark, sf_dir):
+    from quaverlake.operators import energy
+    from quaverlake.plans.events import samples
+
+    def spread(points, least):
+        kept = []
+        for t, v in points:
+            if not kept or t - kept[-1][0] >= least:
+                kept.append((t, v))
+        return kept
+
+    want = Counter()
+    for user, own in rows_by(samples(spark, sf_dir), "user_id").items():
+        frames = sorted((float(r["pos_ms"]), r["level"], r["bass"] * 2) for r in own)
+        drops = spread([(t, 1.0) for t, level, _ in frames if level > 0.6], energy.DROP_GAP)[-energy.DROPS :]
+        kicks = spread([(t, v) for t, _, v in frames if v > energy.KICK_LEAST], energy.KICK_GAP)[-energy.KICKS :]
+        if drops or len(kicks) >= 8:
+            want.update([(user, "drop", t) for t, _ in drops] + [(user, "kick", t) for t, _ in kicks])
+    assert Counter((r["user_id"], r["kind"], r["t"]) for r in plans.queries()["a20_beat_map"](spark, sf_dir).collect()) == want
+
+
+def test_s21_analysis_query(spark, sf_dir):
+    got = plans.queries()["s21_analysis"](spark, sf_dir).collect()
+    assert got and all(r["bpm"] is not None and r["lufs"] is not None and r["windows"] > 0 for r in got)
+    right = [(r["tonic"], r["major"]) == (r["user_id"] % 12, True) for r in got]
+    near = [min(abs(r["bpm"] * f / (90 + r["user_id"] % 60) - 1) for f in (0.5, 1, 2)) < 0.08 for r in got]
+    assert sum(right) / len(got) >= 0.8 and sum(near) / len(got) >= 0.8
 
 
 @pytest.mark.parametrize("raw, clean", [("Blinding Lights (Official Video)", "Blinding Lights"), ("Song | Artist x Producer", "Song"), ("Track (feat. Someone)", "Track"), ("(Official Audio)", "(Official Audio)"), ("", "")])
