@@ -25,7 +25,7 @@ def _one_pole(x: np.ndarray, hz: float, rate: int) -> np.ndarray:
     a = 1 - np.exp(-2 * np.pi * hz / rate)
     n = 64
     k = np.arange(n)
-    powers = np.where(k[:, None] >= k[None, :], a * (1 - a) ** (k[:, None] - k[None, :]), 0.0)
+    powers = np.tril(a * (1 - a) ** np.maximum(k[:, None] - k[None, :], 0))
     y = np.pad(x, (0, -len(x) % n)).reshape(-1, n) @ powers.T
     decay, carry = (1 - a) ** (k + 1), 0.0
     for row in y:

@@ -102,14 +102,13 @@ def clean_artist(c: Column) -> Column:
 
 def djb2(c: Column) -> Column:
     """Wrapping 64-bit hash (h * 33 + byte, from 5381) of the UTF-8 bytes, as 16 hexadecimal digits."""
-    raw = F.encode(c, "UTF-8")
-    places = F.when(F.octet_length(c) > 0, F.sequence(F.lit(1), F.octet_length(c))).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("decimal(38,0)")
-    step = lambda h, i: F.pmod((h * 33).cast("decimal(38,0)") + byte(i), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(38,0)")
-    h = F.aggregate(places, F.lit(5381).cast("decimal(38,0)"), step)
-    half = F.lit(2**32).cast("decimal(38,0)")
-    word = lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 8, "0")
-    return F.concat(word(F.floor(h / half)), word(F.pmod(h, half)))
+    raw = F.filter(F.split(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), ""), lambda x: x != "")
+    low = lambda h, x: h["low"] * 33 + F.ascii(x)
+    whole = F.lit(2**32)
+    step = lambda h, x: F.struct(F.pmod(h["high"] * 33 + F.call_function("div", low(h, x), whole), whole).alias("high"), F.pmod(low(h, x), whole).alias("low"))
+    word = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    start = F.struct(F.lit(0).cast("long").alias("high"), F.lit(5381).cast("long").alias("low"))
+    return F.aggregate(raw, start, step, lambda h: F.concat(word(h["high"]), word(h["low"])))
 
 
 def track_key(artist: Column, title: Column) -> Column:

@@ -251,3 +251,61 @@ def spectra(frames: DataFrame, key: str, at: str = "t", samples: str = "samples"
         return part[[key, at]].assign(levels=[x.tolist() for x in shown_spectra(np.stack(part[samples].to_list()))])
 
     return frames.where(F.size(samples) == 1024).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {at} {kinds[at]}, levels array<int>")
+
+
+def resample_nearest(x: Column, rate: int, to: int) -> Column:
+    """Samples at another rate, each the one at or before its time."""
+    n = F.floor(F.size(x) * to / rate).cast("int")
+    return _per_place(n, lambda i: F.get(x, F.least(F.floor(i * rate / to).cast("int"), F.size(x) - 1)))
+
+
+def resample_linear(x: Column, rate: int, to: int = 16_000) -> Column:
+    """Samples at another rate, each on the line between its two neighbours; the last sample is held."""
+    n = F.floor(F.size(x) * to / rate + 0.5).cast("int")
+
+    def at(i: Column) -> Column:
+        place = i * rate / to
+        left = F.least(F.floor(place).cast("int"), F.size(x) - 1)
+        a, b = F.get(x, left).cast("double"), F.get(x, F.least(left + 1, F.size(x) - 1)).cast("double")
+        return a + (b - a) * (place - left)
+
+    return _per_place(n, at)
+
+
+def _per_place(n: Column, value) -> Column:
+    """value(i) for i from 0 to before n."""
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), value)
+
+
+def _measured(df: DataFrame, key: str, reads: list[str], gives: str, measure) -> DataFrame:
+    """(key, gives) of each row: measure(*reads) is a tuple, or None for a row of nulls; a null array is empty."""
+    kind, names = df.schema[key].dataType.simpleString(), [f.split(" ")[0] for f in gives.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            arrays = (np.asarray(x if x is not None else [], float) for x in batch[reads[0]])
+            found = [measure(x, *rest) or (None,) * len(names) for x, *rest in zip(arrays, *(batch[r] for r in reads[1:]))]
+            yield pd.DataFrame([(k, *f) for k, f in zip(batch[key], found)], columns=[key, *names])
+
+    return df.select(key, *reads).mapInPandas(run, f"{key} {kind}, {gives}")
+
+
+def envelopes(df: DataFrame, key: str, samples: str = "samples", rate: str = "rate") -> DataFrame:
+    """(key, level, bass, treble): per window of 23 ms, over the largest of all three; an item per row."""
+    from ..functions import kernels as K
+
+    return _measured(df, key, [samples, rate], "level array<double>, bass array<double>, treble array<double>", lambda x, r: tuple(map(list, K.envelopes(x, r))))
+
+
+def periods(df: DataFrame, key: str, envelope: str, fps: float) -> DataFrame:
+    """(key, frames, confidence) of the beat of each row's envelope; null where nothing repeats."""
+    from ..functions import kernels as K
+
+    return _measured(df, key, [envelope], "frames double, confidence double", lambda e: K.period(e, fps))
+
+
+def peaks(df: DataFrame, key: str, curve: str, gap: int, sigma: float = 1.0, floor: float = 0.0) -> DataFrame:
+    """(key, places) of the peaks of each row's curve, none within `gap` of a stronger one."""
+    from ..functions import kernels as K
+
+    return _measured(df, key, [curve], "places array<int>", lambda c: (K.peaks(c, gap, sigma, floor),))

@@ -1,5 +1,5 @@
 """Reading folders, timed texts, samples and caches; writing samples and documents."""
 
-from .files import (audio_files, framed, import_lrc, read_documents, read_index, read_pcm, read_wav, unframed, verified, write_documents, write_pcm)
+from .files import (audio_files, framed, import_lrc, listed_files, pcm_name, read_documents, read_index, read_pcm, read_wav, unframed, verified, write_documents, write_pcm)
 
-__all__ = ["audio_files", "framed", "import_lrc", "read_documents", "read_index", "read_pcm", "read_wav", "unframed", "verified", "write_documents", "write_pcm"]
+__all__ = ["audio_files", "framed", "import_lrc", "listed_files", "pcm_name", "read_documents", "read_index", "read_pcm", "read_wav", "unframed", "verified", "write_documents", "write_pcm"]

@@ -8,7 +8,7 @@ import wave
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lyrics
@@ -21,12 +21,25 @@ FRAME_LIMIT = 64 << 20
 
 
 def audio_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, size, modified_ms) of the audio files below a folder, not deeper than 12; contents aren't read."""
+    """(path, size, modified_ms, analyzed, lyrics_synced) of the audio files in a folder and those below it, not deeper than 12.
+
+    Contents aren't read; both flags are false, and an unknown time is 0. What the file system lists through a symbolic link is listed;
+    Spark reads no file of zero bytes, so those are not.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
-    depth = F.size(F.split("path", "/")) - F.size(F.split(F.lit(root.rstrip("/").split("://")[-1].replace("file:", "")), "/"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath()
+    place = F.regexp_replace(F.col("path"), "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    depth = F.size(F.split(place, "/")) - 1 - len([p for p in base.split("/") if p])
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    rows = files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), depth.alias("d"))
-    return rows.where(kind.isin(*AUDIO) & (F.col("d") <= MAX_DEPTH + 4)).drop("d")
+    modified = F.coalesce(F.unix_millis("modificationTime"), F.lit(0).cast("long"))
+    rows = files.select("path", F.col("length").alias("size"), modified.alias("modified_ms"), F.lit(False).alias("analyzed"), F.lit(False).alias("lyrics_synced"), depth.alias("d"))
+    return rows.where(kind.isin(*AUDIO) & (F.col("d") <= MAX_DEPTH + 1)).drop("d")
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """The audio files of one folder without those below it, by path."""
+    return audio_files(spark, root, recursive=False).orderBy("path")
 
 
 def import_lrc(spark: SparkSession, path: str) -> DataFrame:
@@ -49,20 +62,40 @@ def read_pcm(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
     return files.mapInPandas(run, "path string, samples array<float>, rate int, error string")
 
 
+def pcm_name(key: Column) -> Column:
+    """The file name of a key: its digest, so that equal base names stay apart."""
+    return F.concat(F.sha2(key.cast("string"), 256), F.lit(".pcm"))
+
+
 def write_pcm(df: DataFrame, folder: str, key: str = "path", samples: str = "samples") -> None:
-    """A raw file per row, written by the tasks through a Parquet-free text of bytes: one folder that all executors share."""
+    """A raw file per row, named pcm_name(key), in a folder that all executors share.
+
+    Keys must be distinct; a key that repeats leaves the file of one of its rows. A file appears whole or not at all:
+    a task writes under a name of its own and renames, so a task that runs again does no harm. Rows without samples
+    give empty files.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file":
+        raise ValueError("raw files need a folder that is mounted on every executor")
+    system.mkdirs(at)
+    folder = system.makeQualified(at).toUri().getPath()
+
     def run(rows) -> None:
         import os
+        import uuid
 
         import numpy as np
 
         for r in rows:
-            name = os.path.join(folder, os.path.basename(str(r[key])) + ".pcm")
-            with open(name + ".part", "wb") as f:
-                f.write(np.asarray(r[samples], "<f4").tobytes())
-            os.replace(name + ".part", name)
+            name = os.path.join(folder, r["name"])
+            part = f"{name}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(np.asarray(r["samples"] if r["samples"] is not None else [], "<f4").tobytes())
+            os.replace(part, name)
 
-    df.select(key, samples).foreachPartition(run)
+    df.select(pcm_name(F.col(key)).alias("name"), F.col(samples).alias("samples")).foreachPartition(run)
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:

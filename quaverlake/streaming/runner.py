@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .machines import Machine
@@ -29,17 +30,26 @@ def _columns(machine: Machine, key: str) -> list[str]:
 
 
 def over_table(df: DataFrame, machine: Machine, key: str) -> DataFrame:
-    """The machine over all samples of each key, in the order of its first column."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        state, out = machine.start(), []
-        for row in _rows(machine, part):
-            state, more = machine.step(state, row)
-            out += [(part[key].iloc[0], *m) for m in more]
-        return pd.DataFrame(out, columns=_columns(machine, key))
+    """The machine over all samples of each key, in the order of its columns, nulls last.
 
-    return df.select(key, *machine.reads).groupBy(key).applyInPandas(run, f"{key} {kind}, {machine.gives}")
+    Keys are shuffled and sorted by Spark; a task then reads its rows once and holds one key's state, never a key's rows.
+    """
+    kind, names = df.schema[key].dataType.simpleString(), [key, *machine.reads]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun, own, state = False, None, ()
+        for batch in batches:
+            out = []
+            for row in batch[names].itertuples(index=False, name=None):
+                k, *sample = map(_plain, row)
+                if not begun or k != own:
+                    begun, own, state = True, k, machine.start()
+                state, more = machine.step(state, tuple(sample))
+                out += [(k, *m) for m in more]
+            yield pd.DataFrame(out, columns=_columns(machine, key))
+
+    rows = df.select(*names).repartition(key).sortWithinPartitions(*map(F.asc_nulls_last, names))
+    return rows.mapInPandas(run, f"{key} {kind}, {machine.gives}")
 
 
 def over_stream(df: DataFrame, machine: Machine, key: str, forget_ms: int = 3_600_000) -> DataFrame:

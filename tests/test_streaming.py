@@ -1,5 +1,6 @@
 """Streams give what tables give; files are read as they were written."""
 
+import hashlib
 import os
 import wave
 
@@ -63,11 +64,38 @@ def test_files(spark, tmp_path):
     assert np.allclose(got["a.wav"]["samples"], x, atol=1e-3) and got["a.wav"]["rate"] == 8000 and got["bad.wav"]["error"]
     assert sources.audio_files(spark, str(tmp_path)).count() == 2
     out = tmp_path / "pcm"
-    out.mkdir()
-    sources.write_pcm(spark.createDataFrame([("s", [0.5, -0.25])], "path string, samples array<float>"), str(out))
+    rows = [("/a/s", [0.5, -0.25]), ("/b/s", [1.0])]
+    sources.write_pcm(spark.createDataFrame(rows, "path string, samples array<float>"), str(out))
     (out / "odd.pcm").write_bytes(b"abc")
     back = {os.path.basename(r["path"]): r for r in sources.read_pcm(spark, str(out / "*.pcm")).collect()}
-    assert back["s.pcm"]["samples"] == [0.5, -0.25] and back["odd.pcm"]["error"]
+    name = lambda k: hashlib.sha256(k.encode()).hexdigest() + ".pcm"
+    assert len(back) == 3 and all(back[name(k)]["samples"] == x for k, x in rows) and back["odd.pcm"]["error"]
+
+
+def test_folders(spark, tmp_path):
+    deep = tmp_path / "lib" / "/".join("d" * 13)
+    deep.mkdir(parents=True)
+    for place in (tmp_path / "lib", deep.parent, deep):
+        (place / "x.MP3").write_bytes(b"abc")
+    (tmp_path / "lib" / "a.ogg").write_bytes(b"a")
+    (tmp_path / "lib" / "no.txt").write_bytes(b"")
+    whole = sources.audio_files(spark, str(tmp_path / "lib")).collect()
+    names = sorted(r["path"].split("/lib/")[1] for r in whole)
+    assert names == sorted(["a.ogg", "x.MP3", "d/" * 12 + "x.MP3"])  # 12 folders down, not 13
+    assert all(r["modified_ms"] > 0 and not r["analyzed"] and not r["lyrics_synced"] for r in whole)
+    assert [os.path.basename(r["path"]) for r in sources.listed_files(spark, str(tmp_path / "lib")).collect()] == ["a.ogg", "x.MP3"]
+
+
+def test_tables_hold_a_state_and_no_group(spark):
+    """Keys that are null, that span Arrow batches, and samples that come unsorted."""
+    rows = [(k, t, "abc"[t // 7 % 3]) for t in range(50) for k in ("x", None, "y")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = over_table(spark.createDataFrame(rows[::-1], "k string, t long, item string"), Changes(), "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(k, *m) for k in ("x", None, "y") for m in fold(Changes(), [(t, i) for own, t, i in rows if own == k])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
 def test_texts_and_index(spark, tmp_path):
