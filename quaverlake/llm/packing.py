@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -33,6 +33,7 @@ ROW = 2048
 WINDOW_TOKENS = 4 << 20
 END, PAD = 256, 257
 
+HEADER = "dtype string, length int, end int, pad int"
 SCHEMA = "pack_id string, n_tokens int, doc_ids array<long>, offsets array<long>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
@@ -126,9 +127,19 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", row: int = ROW,
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def write_packed(packs: DataFrame, path: str) -> None:
-    """Parquet files whose binary column is the id matrix, a row of the matrix per row."""
-    packs.write.parquet(path)
+def write_packed(packs: DataFrame, path: str, row: int = ROW, end: int = END, pad: int = PAD) -> None:
+    """`rows`: Parquet files whose binary column is the id matrix, a row of it each. `header`: one JSON line that says how to read it.
+
+    An existing folder is an error. The header comes last: a folder without one was not finished.
+    """
+    packs.write.parquet(f"{path}/rows")
+    header = [("<u2" if max(end, pad) < 1 << 16 else "<u4", row, end, pad)]
+    packs.sparkSession.createDataFrame(header, HEADER).coalesce(1).write.json(f"{path}/header")
+
+
+def read_packed(spark: SparkSession, path: str) -> tuple[DataFrame, Row]:
+    """(packed rows, header) as write_packed left them."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.schema(HEADER).json(f"{path}/header").first()
 
 
 def unpack(row, dtype: str = "<u2", length: int = ROW) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
