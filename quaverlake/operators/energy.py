@@ -142,7 +142,7 @@ def beat_map(frames: DataFrame, key: str) -> DataFrame:
     kind = frames.schema[key].dataType.simpleString()
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos_ms", kind="stable")
+        part = part.sort_values(["pos_ms", "kick"])
         d = spaced(((t, 1.0) for t in part.loc[part["drop"], "pos_ms"]), DROP_GAP)[-DROPS:]
         strong = part[part["kick"] > KICK_LEAST]
         k = spaced(zip(strong["pos_ms"], strong["kick"]), KICK_GAP)[-KICKS:]

@@ -11,6 +11,7 @@ MATCH_LEAST, GAP = 0.34, -0.45
 LINE_MS = 2600
 GAP_MS, LINE_WORDS = 700, 14
 PAD_MS, WINDOW_MS = 30, 30_000
+MEDIAN_FRAMES = 7
 
 
 def smooth_runs(df: DataFrame, by: str, order: list[str], value: str, least: int) -> DataFrame:
@@ -124,15 +125,23 @@ def plan_windows(spans: DataFrame, by: str, width: int = WINDOW_MS) -> DataFrame
 
 
 def disjoint(spans: DataFrame, by: str, label: str) -> DataFrame:
-    """Overlaps divided in the middle; spans that become empty go."""
-    def fold(p: pd.DataFrame):
-        rows = p.sort_values(["start_ms", "end_ms"])[[label, "start_ms", "end_ms"]].values.tolist()
-        for a, b in zip(rows, rows[1:]):
-            if b[1] < a[2]:
-                a[2] = b[1] = (b[1] + a[2]) // 2
-        return [r for r in rows if r[2] > r[1]]
+    """(by, label, start_ms, end_ms): overlaps of neighbours (by start, end and label) divided in the middle; spans that become empty go.
+
+    A middle depends on the two spans as given, so no fold is needed.
+    """
+    w = Window.partitionBy(by).orderBy("start_ms", "end_ms", label)
+    start, end = F.col("start_ms"), F.col("end_ms")
+    before, after = F.lag(end).over(w), F.lead(start).over(w)
+    middle = lambda a, b: F.floor((a + b) / 2).cast("long")
+    cut = spans.select(by, F.col(label).alias("label"), F.when(start < before, middle(start, before)).otherwise(start).alias("start_ms"), F.when(after < end, middle(after, end)).otherwise(end).alias("end_ms"))
+    return cut.where("end_ms > start_ms")
 
-    return _group_map(spans, by, fold, ["label", "start_ms", "end_ms"], "label int, start_ms long, end_ms long")
+
+def _diagonals(n: int, m: int):
+    """The cells of a matrix by anti-diagonals, counted from 1: those of one don't depend on each other."""
+    for total in range(2, n + m + 1):
+        i = np.arange(max(1, total - m), min(n, total - 1) + 1)
+        yield i, total - i
 
 
 def align(similarity: np.ndarray, least: float = MATCH_LEAST, gap: float = GAP) -> list[int]:
@@ -142,11 +151,9 @@ def align(similarity: np.ndarray, least: float = MATCH_LEAST, gap: float = GAP)
     best[:, 0], best[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
     move = np.zeros((n + 1, m + 1), np.int8)
     move[1:, 0], move[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            choice = (best[i - 1, j - 1] + similarity[i - 1, j - 1] - least, best[i - 1, j] + gap, best[i, j - 1] + gap)
-            move[i, j] = int(np.argmax(choice))
-            best[i, j] = choice[move[i, j]]
+    for i, j in _diagonals(n, m):
+        choice = np.stack((best[i - 1, j - 1] + similarity[i - 1, j - 1] - least, best[i - 1, j] + gap, best[i, j - 1] + gap))
+        move[i, j], best[i, j] = choice.argmax(0), choice.max(0)
     out, i, j = [-1] * n, n, m
     while i and j:
         step = move[i, j]
@@ -208,11 +215,9 @@ def time_warp(cost: np.ndarray) -> list[tuple[int, int]]:
     total = np.full((n + 1, m + 1), np.inf)
     total[0, 0] = 0
     move = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            choice = (total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
-            move[i, j] = int(np.argmin(choice))
-            total[i, j] = choice[move[i, j]] + cost[i - 1, j - 1]
+    for i, j in _diagonals(n, m):
+        choice = np.stack((total[i - 1, j - 1], total[i - 1, j], total[i, j - 1]))
+        move[i, j], total[i, j] = choice.argmin(0), choice.min(0) + cost[i - 1, j - 1]
     path, i, j = [], n, m
     while i and j:
         path.append((i - 1, j - 1))
@@ -221,39 +226,97 @@ def time_warp(cost: np.ndarray) -> list[tuple[int, int]]:
     return path[::-1]
 
 
+def attention_cost(weights: np.ndarray, width: int = MEDIAN_FRAMES) -> np.ndarray:
+    """weights (heads, tokens, frames) -> (tokens, frames): what is attended more than by other tokens costs less.
+
+    Each head's frame is scored over its tokens (deviation of the sample; one token or equal ones stay as they are), each row
+    is a running median with mirrored ends (rows shorter than `width` stay), and the heads' mean is negated.
+    """
+    w = np.asarray(weights, float)
+    if w.shape[1] > 1:
+        sd = w.std(1, ddof=1, keepdims=True)
+        w = np.where(sd > 1e-12, (w - w.mean(1, keepdims=True)) / np.where(sd > 1e-12, sd, 1), w)
+    if w.shape[2] >= width > 1:
+        mirrored = np.pad(w, ((0, 0), (0, 0), (width // 2, width // 2)), mode="reflect")
+        w = np.median(np.lib.stride_tricks.sliding_window_view(mirrored, width, axis=2), axis=3)
+    return -w.mean(0)
+
+
+def first_frames(path: list[tuple[int, int]]) -> list[int]:
+    """The frame at which a path reaches each row; paths pass all rows."""
+    return [frame for k, (row, frame) in enumerate(path) if not k or path[k - 1][0] != row]
+
+
+def attention_frames(rows: DataFrame, by: str, heads: list[int] | None = None, digits: int = 9) -> DataFrame:
+    """rows (by, head, token, weights: one number a frame) of windows of speech -> (by, token, frame at which it starts).
+
+    Only `heads` are read, or all; every head must have the same tokens. A window has at most some hundred tokens and 1,500
+    frames, whatever the table: that is a group. Costs are rounded to `digits`, so that ties are settled by the rule (diagonal,
+    token, frame) and not by the last bit. Rows without weights are left out, and a token with a row missing is an error.
+    """
+    kinds = {n: rows.schema[n].dataType.simpleString() for n in (by, "token")}
+    used = rows.where(F.size("weights") > 0) if heads is None else rows.where((F.size("weights") > 0) & F.col("head").isin(heads))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["head", "token"])
+        tokens = np.unique(part["token"])
+        stacked = np.stack(part["weights"].to_list()).reshape(-1, len(tokens), len(part["weights"].iloc[0]))
+        found = first_frames(time_warp(np.round(attention_cost(stacked), digits)))
+        return pd.DataFrame({by: part[by].iloc[0], "token": tokens, "frame": found})
+
+    return used.select(by, "head", "token", "weights").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, token {kinds['token']}, frame int")
+
+
+def warped(rows: DataFrame, by: str, row: str, costs: str) -> DataFrame:
+    """rows (by, row, costs: one number a column) -> (by, i, row, column) of the cheapest monotone path; a matrix is a group."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(row)
+        path = time_warp(np.stack(part[costs].to_list()))
+        return pd.DataFrame([(part[by].iloc[0], k, *step) for k, step in enumerate(path)], columns=[by, "i", "row", "column"])
+
+    return rows.where(F.size(costs) > 0).select(by, row, costs).groupBy(by).applyInPandas(run, f"{by} {kind}, i int, row int, column int")
+
+
 def cluster(vectors: np.ndarray, seconds: np.ndarray, floor: float = 0.55, most: int = 6, shortest: float = 3.0, target: int | None = None) -> list[int]:
     """Agglomerative clusters by cosine of centroids, numbered by first appearance.
 
     Merging stops below `floor` once at most `most` are left, or at `target`; clusters under `shortest` seconds join the nearest.
     """
     unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) > 0 else v
-    groups = [([i], unit(v), float(s)) for i, (v, s) in enumerate(zip(vectors, seconds))]
-
-    def nearest() -> tuple[float, int, int]:
-        c = np.stack([unit(g[1]) for g in groups])
-        sim = c @ c.T
-        sim[np.tril_indices(len(groups))] = -np.inf
-        k = int(np.argmax(sim))
-        return float(sim.flat[k]), k // len(groups), k % len(groups)
+    groups: list = [([i], unit(v), float(s)) for i, (v, s) in enumerate(zip(vectors, seconds))]
+    alive, centres = np.ones(len(groups), bool), np.stack([unit(g[1]) for g in groups])
+    # similarities of each group to the later ones; a merge renews one row and one column
+    sim = np.where(np.triu(np.ones((len(groups),) * 2, bool), 1), centres @ centres.T, -np.inf)
+    at = sim.argmax(1)
+    top = sim[np.arange(len(groups)), at]
 
     def join(i: int, j: int) -> None:
         a, b = groups[i], groups[j]
         n, m = len(a[0]), len(b[0])
-        groups[i] = (a[0] + b[0], (a[1] * n + b[1] * m) / (n + m), a[2] + b[2])
-        del groups[j]
-
-    while len(groups) > (target or 1):
-        s, i, j = nearest()
-        if target is None and s < floor and len(groups) <= most:
+        groups[i], groups[j], alive[j] = (a[0] + b[0], (a[1] * n + b[1] * m) / (n + m), a[2] + b[2]), None, False
+        centres[i] = unit(groups[i][1])
+        own = np.where(alive, centres @ centres[i], -np.inf)
+        sim[j, :] = sim[:, j] = -np.inf
+        sim[:i, i], sim[i, i + 1 :] = own[:i], own[i + 1 :]
+        for k in {i, j, *np.flatnonzero((at == i) | (at == j) | (sim[:, i] >= top)).tolist()}:
+            at[k] = sim[k].argmax()
+            top[k] = sim[k, at[k]]
+
+    while alive.sum() > (target or 1):
+        i = int(top.argmax())
+        if target is None and top[i] < floor and alive.sum() <= most:
             break
-        join(i, j)
-    while target is None and len(groups) > 1 and min(g[2] for g in groups) < shortest:
-        k = min(range(len(groups)), key=lambda g: groups[g][2])
-        sims = [float(unit(g[1]) @ unit(groups[k][1])) if i != k else -np.inf for i, g in enumerate(groups)]
-        i = int(np.argmax(sims))
-        join(min(i, k), max(i, k))
+        join(i, int(at[i]))
+    while target is None and alive.sum() > 1 and min(groups[g][2] for g in np.flatnonzero(alive)) < shortest:
+        k = min(np.flatnonzero(alive), key=lambda g: groups[g][2])
+        others = np.where(alive, centres @ centres[k], -np.inf)
+        others[k] = -np.inf
+        i = int(others.argmax())
+        join(min(i, int(k)), max(i, int(k)))
     label = {}
-    for number, g in enumerate(sorted(groups, key=lambda g: min(g[0]))):
+    for number, g in enumerate(sorted((g for g in groups if g), key=lambda g: min(g[0]))):
         label |= dict.fromkeys(g[0], number)
     return [label[i] for i in range(len(vectors))]
 

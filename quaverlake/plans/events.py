@@ -141,7 +141,13 @@ def _(spark, sf):
     return energy.measured_sections(scaled, starts, "user_id").select("user_id", "first_bin", "last_bin", F.round("level", 6).alias("level"), "kind")
 
 
-@_R.add("a20_beat_map")
+@_R.add("a20_beat_map", """WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) - min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id) AS t, value / 500 AS level, value / 1000 * 2 AS kick FROM events),
+c AS (SELECT user_id, 'drop' AS kind, t, 1.0::DOUBLE AS v, 1500 AS gap, 400 AS most FROM e WHERE level > 0.6 UNION ALL SELECT user_id, 'kick', t, kick, 110, 4000 FROM e WHERE kick > 0.5),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY t, v) AS n FROM c),
+f AS (SELECT user_id, kind, 0::BIGINT AS n, NULL::BIGINT AS last, false AS kept FROM o GROUP BY ALL
+  UNION ALL SELECT f.user_id, f.kind, o.n, CASE WHEN last IS NULL OR t - last > gap THEN t ELSE last END, last IS NULL OR t - last > gap FROM f JOIN o ON o.user_id = f.user_id AND o.kind = f.kind AND o.n = f.n + 1),
+k AS (SELECT user_id, kind, t::DOUBLE AS t, v FROM f JOIN o USING (user_id, kind, n) WHERE kept QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY n DESC) <= most),
+u AS (SELECT user_id FROM k GROUP BY user_id HAVING count(*) FILTER (kind = 'drop') > 0 OR count(*) FILTER (kind = 'kick') >= 8) SELECT * FROM k WHERE user_id IN (SELECT user_id FROM u)""")
 def _(spark, sf):
     t = samples(spark, sf).select("user_id", F.col("pos_ms").cast("double").alias("pos_ms"), (F.col("level") > 0.6).alias("drop"), (F.col("bass") * 2).alias("kick"))
     return energy.beat_map(t, "user_id")

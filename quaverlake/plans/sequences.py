@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.clock import millis
 from ..operators import sequences as S
 from .registry import Registry, table
+from .texts import _norm
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -85,22 +86,44 @@ def _(spark, sf):
     return S.diarise_windows(spans).select("event_id", "w_start", "w_end")
 
 
-@_R.add("m2_pad_spans")
+_SPANS = f"""w AS ({_WORDS.replace('(value * 3)::BIGINT', 'round(value * 3)::BIGINT')}),
+o AS (SELECT user_id, start_ms AS a, end_ms AS z, len(word) AS label, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, end_ms, len(word)) AS n FROM w)"""
+
+
+@_R.add("m2_pad_spans", f"""WITH RECURSIVE {_SPANS}, t AS (SELECT *, max(z) OVER (PARTITION BY user_id) AS whole, greatest(0, lead(a) OVER (PARTITION BY user_id ORDER BY n) - z) AS gap FROM o),
+e AS (SELECT *, greatest(0, a - 30) AS s, CASE WHEN gap < 60 THEN z + gap // 2 ELSE least(z + 30, whole) END AS e FROM t),
+f AS (SELECT user_id, n, s, greatest(s, e) AS e FROM e WHERE n = 1
+  UNION ALL SELECT f.user_id, e.n, CASE WHEN e.s < f.e THEN (f.e + a) // 2 ELSE e.s END, greatest(CASE WHEN e.s < f.e THEN (f.e + a) // 2 ELSE e.s END, e.e) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, s::BIGINT AS start_ms, coalesce(CASE WHEN greatest(0, lead(a) OVER w - 30) < f.e THEN lead(s) OVER w END, f.e)::BIGINT AS end_ms FROM f JOIN o USING (user_id, n) WINDOW w AS (PARTITION BY user_id ORDER BY n)""")
 def _(spark, sf):
     return S.pad_spans(words(spark, sf).withColumn("total", F.max("end_ms").over(Window.partitionBy("user_id"))), "user_id", "total")
 
 
-@_R.add("m3_plan_windows")
+_PLANNED = "CASE WHEN l IS NOT NULL AND z <= l.s + 30000 THEN list_append(list_slice(v, 1, len(v) - 1), {'s': l.s, 'e': z}) ELSE list_concat(CASE WHEN l IS NOT NULL AND a < l.s + 30000 THEN list_append(list_slice(v, 1, len(v) - 1), {'s': l.s, 'e': l.s + 30000}) ELSE v END, list_transform(range(greatest(0, (z - t + 29999) // 30000)), lambda k: {'s': t + k * 30000, 'e': least(t + (k + 1) * 30000, z)})) END"
+
+
+@_R.add("m3_plan_windows", f"""WITH RECURSIVE {_SPANS}, f AS (SELECT user_id, 0::BIGINT AS n, []::STRUCT(s BIGINT, e BIGINT)[] AS v FROM o GROUP BY user_id
+  UNION ALL SELECT user_id, n, {_PLANNED} FROM (SELECT *, CASE WHEN l IS NULL THEN a WHEN a < l.s + 30000 THEN l.s + 30000 ELSE greatest(l.e, a) END AS t FROM (SELECT o.*, v, v[len(v)] AS l FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))),
+g AS (SELECT user_id, unnest(v) AS x FROM f QUALIFY n = max(n) OVER (PARTITION BY user_id))
+SELECT user_id, x.s AS start_ms, x.e AS end_ms FROM g""")
 def _(spark, sf):
     return S.plan_windows(words(spark, sf), "user_id")
 
 
-@_R.add("m12_disjoint")
+@_R.add("m12_disjoint", f"""WITH {_SPANS}, c AS (SELECT user_id, label::INTEGER AS label, CASE WHEN a < lag(z) OVER w THEN (a + lag(z) OVER w) // 2 ELSE a END AS start_ms, CASE WHEN lead(a) OVER w < z THEN (lead(a) OVER w + z) // 2 ELSE z END AS end_ms FROM o WINDOW w AS (PARTITION BY user_id ORDER BY n))
+SELECT * FROM c WHERE end_ms > start_ms""")
 def _(spark, sf):
     return S.disjoint(words(spark, sf).withColumn("label", F.length("word")), "user_id", "label")
 
 
-@_R.add("m9_repetition")
+def _repeats(length: int, period: int) -> str:
+    return f"len(w) >= {length} AND list_slice(w, len(w) - {length - period - 1}, len(w)) = list_slice(w, len(w) - {length - 1}, len(w) - {period})"
+
+
+_OVERRUN = " ".join(f"WHEN {_repeats(12, p)} THEN 12" for p in range(1, 5)) + " " + " ".join(f"WHEN {_repeats(4 * p, p)} THEN {3 * p}" for p in range(5, 25))
+
+
+@_R.add("m9_repetition", f"SELECT doc_id, CASE {_OVERRUN} END::INTEGER AS drop_words FROM (SELECT doc_id, string_split({_norm('text')}, ' ') AS w FROM documents)")
 def _(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", F.split(T.normalize(F.col("text")), " ").alias("w"))
     return t.select("doc_id", S.repetition_overrun(F.col("w")).alias("drop_words"))
@@ -130,3 +153,32 @@ def _(spark, sf):
     """Windows of recordings: 40 vectors in turn make a recording."""
     e = table(spark, sf, "embeddings").where("embedding is not null")
     return S.cluster_windows(e.withColumn("recording", F.floor(F.col("vec_id") / 40)), "recording", "vec_id", "embedding")
+
+
+_WARPED = """d AS (SELECT item, 2 AS t, [0.0] || list_transform(range(n), lambda x: 'inf'::DOUBLE) AS older, list_transform(range(n + 1), lambda x: 'inf'::DOUBLE) AS old, []::INTEGER[] AS move, c, n, m FROM k
+  UNION ALL SELECT item, t + 1, old, list_transform(range(n + 1), lambda i: CASE WHEN i < 1 OR t - i < 1 OR t - i > m THEN 'inf'::DOUBLE ELSE least(older[i], old[i], old[i + 1]) + c[i][t - i] END),
+    list_transform(range(n + 1), lambda i: CASE WHEN i < 1 THEN 0 WHEN older[i] <= old[i] AND older[i] <= old[i + 1] THEN 0 WHEN old[i] <= old[i + 1] THEN 1 ELSE 2 END), c, n, m FROM d WHERE t <= n + m),
+b AS (SELECT item, n::BIGINT AS i, m::BIGINT AS j FROM k
+  UNION ALL SELECT b.item, i - CASE WHEN move[i + 1] <> 2 THEN 1 ELSE 0 END, j - CASE WHEN move[i + 1] <> 1 THEN 1 ELSE 0 END FROM b JOIN d ON d.item = b.item AND d.t = i + j + 1 WHERE i > 0 AND j > 0)"""
+
+
+@_R.add("m6_time_warp", f"""WITH RECURSIVE e AS (SELECT vec_id // 10 AS item, vec_id % 10 AS r, list_transform(embedding, lambda v: floor(abs(v) * 20)::DOUBLE) AS c FROM embeddings),
+k AS (SELECT item, list(c ORDER BY r) AS c, count(*) AS n, max(len(c)) AS m FROM e GROUP BY item), {_WARPED}
+SELECT item, (row_number() OVER (PARTITION BY item ORDER BY i + j, i) - 1)::INTEGER AS i, (i - 1)::INTEGER AS row, (j - 1)::INTEGER AS column FROM b WHERE i > 0 AND j > 0""")
+def _(spark, sf):
+    """Ten vectors in turn make a matrix of whole costs, with many ties."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("item"), (F.col("vec_id") % 10).alias("r"), F.transform("embedding", lambda v: F.floor(F.abs(v) * 20).cast("double")).alias("c"))
+    return S.warped(e, "item", "r", "c")
+
+
+@_R.add("m5_attention", f"""WITH RECURSIVE e AS (SELECT vec_id // 20 AS item, vec_id % 2 AS head, vec_id % 20 // 2 AS token, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS f FROM embeddings),
+z AS (SELECT item, head, token, f, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z FROM e WINDOW w AS (PARTITION BY item, head, f)),
+o AS (SELECT item, head, token, f, unnest(range(-3, 4)) AS o FROM z), p AS (SELECT item, head, token, f, CASE WHEN f + o > 63 THEN 126 - f - o ELSE abs(f + o) END AS place FROM o),
+q AS (SELECT p.item, p.head, p.token, p.f, median(z.z) AS q FROM p JOIN z ON z.item = p.item AND z.head = p.head AND z.token = p.token AND z.f = place GROUP BY ALL),
+g AS (SELECT item, token, f, round(-avg(q), 9) AS c FROM q GROUP BY ALL), r AS (SELECT item, token, list(c ORDER BY f) AS c FROM g GROUP BY ALL),
+k AS (SELECT item, list(c ORDER BY token) AS c, count(*) AS n, max(len(c)) AS m FROM r GROUP BY item), {_WARPED}
+SELECT item, i - 1 AS token, (min(j) - 1)::INTEGER AS frame FROM b WHERE i > 0 AND j > 0 GROUP BY item, i""")
+def _(spark, sf):
+    """Twenty vectors in turn are what two heads attend to for ten tokens in 64 frames."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("item"), (F.col("vec_id") % 2).alias("head"), F.floor(F.col("vec_id") % 20 / 2).alias("token"), F.col("embedding").alias("weights"))
+    return S.attention_frames(e, "item")

@@ -30,7 +30,12 @@ def _(spark, sf):
     return t.select("user_id", F.size("t").cast("long").alias("onsets"), F.array_join(F.transform("t", lambda x: x.cast("long").cast("string")), ",").alias("at"))
 
 
-@_R.add("m1_speech_spans")
+@_R.add("m1_speech_spans", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value / 200 AS p, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 64 AS ms FROM events),
+f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS open, NULL::BIGINT AS quiet, NULL::BIGINT AS a, NULL::BIGINT AS z FROM e GROUP BY user_id
+  UNION ALL SELECT user_id, n, CASE WHEN p >= 0.5 THEN coalesce(open, ms) WHEN NOT ends THEN open END, CASE WHEN p >= 0.5 OR ends THEN NULL WHEN p < 0.35 AND open IS NOT NULL THEN since ELSE quiet END, CASE WHEN ends THEN open END, CASE WHEN ends THEN since END
+  FROM (SELECT *, p < 0.35 AND open IS NOT NULL AND ms - since >= 100 AS ends FROM (SELECT e.*, open, quiet, coalesce(quiet, ms) AS since FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))),
+u AS (SELECT user_id, a, z FROM f UNION ALL (SELECT user_id, open, n * 64 FROM f QUALIFY n = max(n) OVER (PARTITION BY user_id)))
+SELECT user_id, a AS start_ms, z AS end_ms FROM u WHERE z - a > 250""")
 def _(spark, sf):
     t = envelope(spark, sf).select("user_id", S.speech_spans(F.col("points"), F.size("points") * F.lit(64).cast("bigint")).alias("s"))
     return t.select("user_id", F.explode("s").alias("s")).select("user_id", "s.*")

@@ -180,6 +180,28 @@ def test_alignment():
     assert sequences.time_warp(1 - np.eye(4)) == [(i, i) for i in range(4)]
 
 
+def test_attention_frames(spark):
+    r = np.random.default_rng(3)
+    assert np.array_equal(sequences.attention_cost(np.ones((2, 1, 3))), -np.ones((1, 3)))  # one token, few frames: as it is
+    heads, tokens, frames = 3, 5, 40
+    w = r.random((heads, tokens, frames))
+    for k in range(tokens):
+        w[:2, k, 8 * k : 8 * k + 8] += 5.0  # two heads follow the speech, the third is noise
+    mirror = lambda i: -i if i < 0 else 2 * (frames - 1) - i if i >= frames else i
+    want = np.zeros((tokens, frames))
+    for h in range(2):
+        z = [[(w[h, t, f] - np.mean(w[h, :, f])) / np.std(w[h, :, f], ddof=1) for f in range(frames)] for t in range(tokens)]
+        for t in range(tokens):
+            for f in range(frames):
+                want[t, f] -= sorted(z[t][mirror(f + o)] for o in range(-3, 4))[3] / 2
+    assert np.allclose(sequences.attention_cost(w[:2]), want)
+    rows = [("w", h, t, w[h, t].tolist()) for h in range(heads) for t in range(tokens)] + [("w", 0, 9, None)]
+    df = spark.createDataFrame(rows, "k string, head int, token int, weights array<double>")
+    got = {x["token"]: x["frame"] for x in sequences.attention_frames(df, "k", heads=[0, 1]).collect()}
+    assert got == {t: 8 * t for t in range(tokens)}
+    assert sequences.attention_frames(df.where("false"), "k").count() == 0
+
+
 def test_spans(spark):
     df = spark.createDataFrame([(1, 100, 500), (1, 540, 900), (1, 2000, 70_000)], "k int, start_ms long, end_ms long").withColumn("total", F.lit(70_010))
     got = [(r["start_ms"], r["end_ms"]) for r in sequences.pad_spans(df, "k", "total").orderBy("start_ms").collect()]
