@@ -12,6 +12,7 @@ MIN_BPM, MAX_BPM, LIKELY_BPM, TIGHT = 60.0, 200.0, 120.0, 400.0
 CHROMA_FFT, CHROMA_HOP = 8192, 4096
 KERNEL, SECTION_S = 32, 8.0
 TARGET_LUFS = -14.0
+SEGMENT = 343_980
 # Krumhansl's key profiles.
 MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
 MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
@@ -235,6 +236,26 @@ def overlap_add(parts: list[np.ndarray], hop: int) -> np.ndarray:
     return out / np.maximum(weight, 1e-8)
 
 
+def transition(n: int, overlap: int) -> np.ndarray:
+    """Weights of a segment: linear from 0 to 1 over `overlap` samples (at most half of it), and back."""
+    t = min(overlap, n // 2)
+    ramp = np.arange(t) / (t - 1) if t > 1 else np.ones(t)
+    return np.concatenate((ramp, np.ones(n - 2 * t), ramp[::-1]))
+
+
+def through_segments(x: np.ndarray, work, size: int = SEGMENT, overlap: int = SEGMENT // 4) -> np.ndarray:
+    """work(segment of `size`) on overlapping segments, the last filled up with zeros, and their weighted mean.
+
+    The first sample has no weight and is 0, and so is the last one where a segment ends with it.
+    """
+    out, weight, w = np.zeros(len(x)), np.zeros(len(x)), transition(size, overlap)
+    for start in range(0, max(1, len(x) - overlap) if len(x) else 0, size - overlap):
+        n = min(size, len(x) - start)
+        out[start : start + n] += np.asarray(work(np.pad(x[start : start + n], (0, size - n))))[:n] * w[:n]
+        weight[start : start + n] += w[:n]
+    return out / np.maximum(weight, 1e-8)
+
+
 def log_mel(x: np.ndarray, rate: int = 16_000, mels: int = 80, fft: int = 400, hop: int = 160) -> np.ndarray:
     """(mels, frames): Slaney's scale, power, base 10, at most 8 below the peak, shifted and scaled by 4."""
     def mel(f):

@@ -49,6 +49,12 @@ def unfinished(starts: DataFrame, finishes: DataFrame, key: str = "id") -> DataF
     return starts.join(finishes.select(key).distinct(), key, "left_anti")
 
 
+def take_stale(starts: DataFrame, finishes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(starts that are left over, finishes with them): what is taken counts as finished, so that nobody takes it again."""
+    taken = unfinished(starts, finishes, key)
+    return taken, finishes.select(key).unionByName(taken.select(key))
+
+
 def retained(log: DataFrame, by: str, order: list[str], size: str, limit: int) -> DataFrame:
     """The newest rows of each log whose sizes sum to at most `limit`."""
     w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)

@@ -309,3 +309,30 @@ def peaks(df: DataFrame, key: str, curve: str, gap: int, sigma: float = 1.0, flo
     from ..functions import kernels as K
 
     return _measured(df, key, [curve], "places array<int>", lambda c: (K.peaks(c, gap, sigma, floor),))
+
+
+def beat_grids(df: DataFrame, key: str, envelope: str, frames: float) -> DataFrame:
+    """(key, beats: frame numbers) of each row's envelope, where a beat takes about `frames`; none in an empty one."""
+    from ..functions import kernels as K
+
+    return _measured(df, key, [envelope], "beats array<int>", lambda e: (K.beat_grid(e, frames) if len(e) else [],))
+
+
+def through_segments(df: DataFrame, key: str, samples: str, work, size: int, overlap: int) -> DataFrame:
+    """(key, samples) of each row after work(numpy array of `size`) on overlapping segments."""
+    from ..functions import kernels as K
+
+    return _measured(df, key, [samples], f"{samples} array<double>", lambda x: (K.through_segments(x, work, size, overlap),))
+
+
+def novelties(df: DataFrame, by: str, order: str, vector: str) -> DataFrame:
+    """(by, order, novelty) of each frame: how much the frames before it and after it differ. An item's frames are a group, as its length bounds them."""
+    from ..functions.kernels import novelty
+
+    kinds = {n: df.schema[n].dataType.simpleString() for n in (by, order)}
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        return part[[by, order]].assign(novelty=novelty(np.stack(part[vector].to_list()).astype(float)))
+
+    return df.where(F.size(vector) > 0).select(by, order, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, novelty double")

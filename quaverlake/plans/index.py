@@ -64,6 +64,20 @@ def _(spark, sf):
     return library.unfinished(starts, table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("id")))
 
 
+_DONE = "SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F'"
+
+
+@_R.add("io12_take_stale", f"""WITH a AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderdate < DATE '1995-01-01' AND o_orderkey NOT IN ({_DONE}))
+SELECT 1 AS session, * FROM a UNION ALL SELECT 2, o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN ({_DONE}) AND o_orderkey NOT IN (SELECT id FROM a)""")
+def _(spark, sf):
+    """Two sessions take what is left over: the second one only what has started since."""
+    starts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
+    done = table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("id")).distinct()
+    first, done = library.take_stale(starts.where("o_orderdate < DATE '1995-01-01'"), done)
+    second, _ = library.take_stale(starts, done)
+    return first.withColumn("session", F.lit(1)).unionByName(second.withColumn("session", F.lit(2))).select("session", "id", "o_custkey")
+
+
 @_R.add("io25_retained", "SELECT user_id, event_id FROM (SELECT *, sum(length(props)) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s <= 256")
 def _(spark, sf):
     t = table(spark, sf, "events").withColumn("size", F.length("props"))

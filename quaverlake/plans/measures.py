@@ -85,6 +85,30 @@ def _(spark, sf):
     return S.periods(e, "vec_id", "e", 20.0).select("vec_id", F.round("frames", 6).alias("frames"), F.round("confidence", 6).alias("confidence"))
 
 
+@_R.add("s6_beat_grid", """WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding, lambda v: abs(v)::DOUBLE) AS e FROM embeddings),
+f AS (SELECT vec_id, e, 0::BIGINT AS t, []::DOUBLE[] AS s, []::BIGINT[] AS b FROM x
+  UNION ALL SELECT vec_id, e, t + 1, list_append(s, e[t + 1] + CASE WHEN o[k] > 0 THEN o[k] ELSE 0 END), list_append(b, CASE WHEN o[k] > 0 THEN t - k - 2 ELSE -1 END)
+  FROM (SELECT *, list_position(o, list_max(o)) AS k FROM (SELECT *, list_transform(range(3, least(t, 12) + 1), lambda g: s[t - g + 1] - 400 * pow(ln(g / 6.0::DOUBLE), 2)) AS o FROM f WHERE t < len(e)))),
+l AS (SELECT vec_id, b, len(s) - 12 AS tail, s[len(s) - 11:] AS z FROM f WHERE t = len(e)),
+w AS (SELECT vec_id, b, tail + list_position(z, list_max(z)) - 1 AS place FROM l UNION ALL SELECT vec_id, b, b[place + 1] FROM w WHERE place >= 0)
+SELECT vec_id, string_agg(place::VARCHAR, ',' ORDER BY place) AS beats FROM w WHERE place >= 0 GROUP BY vec_id""")
+def _(spark, sf):
+    """Vectors as envelopes in which a beat takes six frames."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v).cast("double")).alias("e"))
+    return S.beat_grids(e, "vec_id", "e", 6.0).select("vec_id", F.array_join(F.col("beats").cast("array<string>"), ",").alias("beats"))
+
+
+@_R.add("s10_novelty", """WITH x AS (SELECT vec_id // 100 AS item, vec_id % 100 AS i, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT item, count(*) AS n FROM x GROUP BY item),
+p AS (SELECT a.item, a.i AS a, b.i AS b, list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) / greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12) AS c FROM x a JOIN x b ON a.item = b.item AND abs(a.i - b.i) < 64),
+k AS (SELECT unnest(range(-32, 32)) AS d), o AS (SELECT x.item, x.i, ka.d + 0.5::DOUBLE AS u, kb.d + 0.5::DOUBLE AS w, x.i + ka.d AS a, x.i + kb.d AS b FROM x JOIN n USING (item), k ka, k kb WHERE x.i >= 32 AND x.i < n - 32),
+s AS (SELECT o.item, o.i, sum(c * exp(-(u * u + w * w) / 512) * sign(u) * sign(w)) AS s FROM o JOIN p ON p.item = o.item AND p.a = o.a AND p.b = o.b GROUP BY ALL)
+SELECT item, i, round(greatest(0, coalesce(s, 0)), 6)::DOUBLE AS novelty FROM x LEFT JOIN s USING (item, i)""")
+def _(spark, sf):
+    """A hundred vectors in turn are an item's frames."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("item"), (F.col("vec_id") % 100).alias("i"), "embedding")
+    return S.novelties(e, "item", "i", "embedding").withColumn("novelty", F.round("novelty", 6))
+
+
 @_R.add("s11_peaks", """WITH RECURSIVE x AS (SELECT vec_id, abs(unnest(embedding))::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
 n AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) + stddev_pop(v) OVER (PARTITION BY vec_id) AS least, coalesce(lag(v) OVER w, -1) AS a, coalesce(lead(v) OVER w, -1) AS b FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 c AS (SELECT vec_id, coalesce(list(i ORDER BY v DESC, i) FILTER (v > least AND v >= a AND v > b), []) AS c FROM n GROUP BY vec_id),
@@ -110,6 +134,33 @@ def _(spark, sf):
     return x.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
+@_R.add("s20_segments", """WITH x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+g AS (SELECT DISTINCT vec_id, unnest(range(0, greatest(1, n - 5), 15)) AS g FROM x), p AS (SELECT vec_id, i, i - g AS k, sum(v) OVER (PARTITION BY vec_id, g ORDER BY i) AS v FROM x JOIN g USING (vec_id) WHERE i >= g AND i < g + 20),
+w AS (SELECT *, CASE WHEN k < 5 THEN k / 4.0::DOUBLE WHEN k >= 15 THEN (19 - k) / 4.0::DOUBLE ELSE 1 END AS w FROM p)
+SELECT vec_id, i, round(sum(v * w) / greatest(sum(w), 1e-8), 6) AS v FROM w GROUP BY ALL""")
+def _(spark, sf):
+    """Running sums of segments of 20 samples that overlap by 5."""
+    x = S.through_segments(table(spark, sf, "embeddings"), "vec_id", "embedding", lambda part: part.cumsum(), 20, 5)
+    return x.select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
+@_R.add("w5_levels", """WITH RECURSIVE x AS (SELECT vec_id // 16 AS frame, vec_id % 16 * 64 + unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+b AS (SELECT frame, i, v * (0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 1023) + 0.08::DOUBLE * cos(4 * pi() * i / 1023)) AS v FROM x), k AS (SELECT unnest(range(512)) AS k),
+d AS (SELECT frame, k, sqrt(pow(sum(v * cos(2 * pi() * (i * k % 1024) / 1024)), 2) + pow(sum(v * sin(2 * pi() * (i * k % 1024) / 1024)), 2)) AS m FROM b, k GROUP BY ALL),
+w AS (SELECT frame FROM x GROUP BY frame HAVING count(*) = 1024),
+m AS (SELECT frame // 8 AS recording, frame, row_number() OVER (PARTITION BY frame // 8 ORDER BY frame) AS n, list(m ORDER BY k) AS m FROM d WHERE frame IN (SELECT frame FROM w) GROUP BY frame),
+f AS (SELECT recording, 0::BIGINT AS n, -1::BIGINT AS frame, list_transform(range(512), lambda k: 0::DOUBLE) AS h, 0.0005::DOUBLE AS top FROM m GROUP BY recording
+  UNION ALL SELECT recording, n, frame, h, CASE WHEN list_max(h) > top THEN list_max(h) ELSE 0.985::DOUBLE * top END
+  FROM (SELECT m.recording, m.n, m.frame, list_transform(range(1, 513), lambda k: 0.55::DOUBLE * h[k] + (1 - 0.55::DOUBLE) * m.m[k]) AS h, top FROM f JOIN m ON m.recording = f.recording AND m.n = f.n + 1))
+SELECT recording, frame, array_to_string(list_transform(h, lambda v: floor(least(255, v / greatest(top, 0.0005::DOUBLE) * 255))::INTEGER), ',') AS levels FROM f WHERE n > 0""")
+def _(spark, sf):
+    """Sixteen vectors in turn are a frame of 1,024 samples, eight frames a recording."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("frame"), "vec_id", "embedding")
+    frames = e.groupBy("frame").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("samples"))
+    shown = S.spectra(frames.withColumn("recording", F.floor(F.col("frame") / 8)), "recording", "frame", "samples")
+    return shown.select("recording", "frame", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
+
+
 @_R.add("m7_frame_ms", "SELECT event_id, (event_id % 1500 * 20)::INTEGER AS ms FROM events")
 def _(spark, sf):
     return table(spark, sf, "events").select("event_id", R.frame_ms(F.col("event_id") % 1500).alias("ms"))

@@ -1,5 +1,11 @@
-"""Reading folders, timed texts, samples and caches; writing samples and documents."""
+"""Reading folders, timed texts, samples and caches; writing samples and documents; the journal of unfinished work."""
 
-from .files import (audio_files, framed, import_lrc, listed_files, pcm_name, read_documents, read_index, read_pcm, read_wav, unframed, verified, write_documents, write_pcm)
+from .files import (
+    JOB, audio_files, framed, import_lrc, journal_finish, journal_start, journal_take, listed_files, pcm_name, read_documents, read_index, read_pcm, read_wav,
+    unframed, verified, write_documents, write_pcm,
+)
 
-__all__ = ["audio_files", "framed", "import_lrc", "listed_files", "pcm_name", "read_documents", "read_index", "read_pcm", "read_wav", "unframed", "verified", "write_documents", "write_pcm"]
+__all__ = [
+    "JOB", "audio_files", "framed", "import_lrc", "journal_finish", "journal_start", "journal_take", "listed_files", "pcm_name", "read_documents", "read_index",
+    "read_pcm", "read_wav", "unframed", "verified", "write_documents", "write_pcm",
+]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -11,12 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lyrics
+from ..operators import library, lyrics
 
 # The extensions of audio files.
 AUDIO = ("mp3", "flac", "wav", "ogg", "m4a", "aac", "opus", "wma")
 MAX_DEPTH = 12
 INDEX = "path string, size long, modified_ms long, analyzed boolean, lyrics_synced boolean"
+JOB = "id string, track_key string, artist string, title string, duration_ms long, pcm_path string, language string, started_at long"
 FRAME_LIMIT = 64 << 20
 
 
@@ -84,7 +86,6 @@ def write_pcm(df: DataFrame, folder: str, key: str = "path", samples: str = "sam
 
     def run(rows) -> None:
         import os
-        import uuid
 
         import numpy as np
 
@@ -133,6 +134,34 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).option("mode", "DROPMALFORMED").json(path).where("path is not null")
 
 
+def journal_start(jobs: DataFrame, path: str) -> None:
+    """Jobs (as JOB, each with an id of its own) that are about to run, written before they do."""
+    jobs.select(*[f.split(" ")[0] for f in JOB.split(", ")]).write.mode("append").parquet(f"{path}/starts")
+
+
+def journal_finish(ids: DataFrame, path: str) -> None:
+    """Jobs (id) that ended, by success, failure or cancelling: there is nothing left to resume."""
+    ids.select("id").write.mode("append").parquet(f"{path}/finishes")
+
+
+def journal_take(spark: SparkSession, path: str) -> DataFrame:
+    """The jobs that a session before left unfinished. They are off the journal once this returns, so a job that breaks its session is not tried for ever.
+
+    Meant for one caller at the start, before new jobs can be mistaken for old ones. No journal gives no rows.
+    """
+    taken = f"{path}/taken/{uuid.uuid4().hex}"
+    library.unfinished(_journal(spark, f"{path}/starts", JOB), _journal(spark, f"{path}/finishes", "id string")).write.parquet(taken)
+    found = spark.read.schema(JOB).parquet(taken)
+    journal_finish(found, path)
+    return found
+
+
+def _journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def write_documents(df: DataFrame, path: str, key: str) -> None:
     """Documents by the first two digits of their key, so that one is found without a full scan."""
     df.withColumn("prefix", F.substring(key, 1, 2)).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(path)

@@ -340,6 +340,26 @@ def test_mel_shapes():
     assert len(K.resample_linear(x, 16000, 8000)) == 8000
 
 
+def test_through_segments(spark):
+    assert K.transition(6, 2).tolist() == [0, 1, 1, 1, 1, 0] and K.transition(3, 9).tolist() == [1, 1, 1]
+    for n in (0, 1, 15, 20, 21, 35, 36, 50, 64):
+        x = np.arange(1.0, n + 1)
+        seen = []
+        out = K.through_segments(x, lambda part: seen.append(part.copy()) or part, 20, 5)
+        assert len(seen) == (0 if not n else 1 if n <= 20 else 1 + -(-(n - 20) // 15)) and all(len(p) == 20 for p in seen)
+        dead = {0, *([n - 1] if n >= 20 and (n - 20) % 15 == 0 else [])}
+        assert all(out[i] == (0 if i in dead else x[i]) or np.isclose(out[i], x[i]) for i in range(n))
+    df = spark.createDataFrame([(1, [1.0] * 30), (2, []), (3, None)], "k int, x array<double>")
+    got = {r["k"]: r["x"] for r in S.through_segments(df, "k", "x", lambda part: part * 2, 20, 5).collect()}
+    assert np.allclose(got[1][1:], 2) and got[2] == [] and got[3] == []
+
+
+def test_rows_without_frames(spark):
+    df = spark.createDataFrame([(1, 1, []), (1, 2, None)], "k int, i int, v array<double>")
+    assert S.novelties(df, "k", "i", "v").count() == 0
+    assert [r["beats"] for r in S.beat_grids(df, "i", "v", 6.0).collect()] == [[], []]
+
+
 def test_tier_sections(spark):
     rows = [(1, b, 1.0 if 40 <= b < 70 else 0.5 if 20 <= b < 40 else 0.1, True) for b in range(96)]
     df = spark.createDataFrame(rows, "k int, bin int, level double, known boolean")

@@ -116,3 +116,43 @@ def test_frames():
         list(sources.unframed(data[:-1]))
     with pytest.raises(ValueError):
         list(sources.unframed(b"\0\0\0\0"))
+
+
+def test_journal(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    assert sources.journal_take(spark, str(tmp_path / "none")).count() == 0
+    jobs = spark.createDataFrame([(i, "k", "a", "t", 1000, "/x.pcm", None, 5) for i in "abc"], sources.JOB)
+    sources.journal_start(jobs, path)
+    sources.journal_finish(jobs.where("id = 'b'"), path)
+    first = sources.journal_take(spark, path)
+    assert sorted(r["id"] for r in first.collect()) == ["a", "c"] and first.columns == jobs.columns
+    sources.journal_start(jobs.limit(1).withColumn("id", F.lit("d")), path)
+    assert [r["id"] for r in sources.journal_take(spark, path).collect()] == ["d"]
+    assert sources.journal_take(spark, path).count() == 0
+    assert sorted(r["id"] for r in first.collect()) == ["a", "c"]  # what was taken stays readable
+
+
+def test_verified(spark, tmp_path):
+    (tmp_path / "ok.bin").write_bytes(b"abc")
+    (tmp_path / "bad.bin").write_bytes(b"abd")
+    digest = hashlib.sha256(b"abc").hexdigest()
+    wanted = [("ok.bin", 3, digest.upper()), ("bad.bin", 3, digest), ("long.bin", 4, digest), ("short.bin", 3, None)]
+    (tmp_path / "long.bin").write_bytes(b"abc")
+    df = spark.createDataFrame(wanted, "name string, size long, sha256 string")
+    got = {r["name"]: r["state"] for r in sources.verified(spark, str(tmp_path), df).collect()}
+    assert got == {"ok.bin": "ok", "bad.bin": "wrong digest", "long.bin": "wrong size", "short.bin": "missing"}
+
+
+def test_rescan(spark, tmp_path):
+    from quaverlake.streaming.runner import rescan_on
+
+    spark.createDataFrame([(1,), (2,)], "n int").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    stream, seen = spark.readStream.schema("n int").option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), {}
+    q = rescan_on(stream, lambda batch, number: seen.__setitem__(number, batch.count()), every="1 second", checkpoint=str(tmp_path / "cp"))
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame([(3,)], "n int").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert seen == {0: 2, 1: 1}
