@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming import Spaced, over_table
+
 BINS = 96
 #: Samples that make a bin known, and the share of known bins that structure needs.
 KNOWN, COVERAGE = 2, 0.5
@@ -124,31 +124,18 @@ def measured_sections(scaled: DataFrame, starts: DataFrame, key: str) -> DataFra
 DROP_GAP, KICK_GAP, KICK_LEAST, DROPS, KICKS = 1500, 110, 0.5, 400, 4000
 
 
-def spaced(times: Iterator, gap: float) -> list:
-    """Those that lie over `gap` after the last one kept."""
-    out: list = []
-    for t in times:
-        if not out or t[0] - out[-1][0] > gap:
-            out.append(t)
-    return out
-
-
 def beat_map(frames: DataFrame, key: str) -> DataFrame:
     """frames (key, pos_ms, drop boolean, kick double) -> (key, kind, t, v); items without a drop and under 8 kicks go.
 
-    Keeping a distance depends on what was kept before: a fold over the item's candidates, which are filtered first.
+    Keeping a distance depends on what was kept before: a fold over an item's sorted candidates, which are filtered first.
+    Of frames at the same time the weaker kick comes first. The last 400 drops and 4,000 kicks of an item are kept.
     """
-    found = frames.where("drop or kick > 0.5")
-    kind = frames.schema[key].dataType.simpleString()
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos_ms", "kick"])
-        d = spaced(((t, 1.0) for t in part.loc[part["drop"], "pos_ms"]), DROP_GAP)[-DROPS:]
-        strong = part[part["kick"] > KICK_LEAST]
-        k = spaced(zip(strong["pos_ms"], strong["kick"]), KICK_GAP)[-KICKS:]
-        if not d and len(k) < 8:
-            d, k = [], []
-        rows = [("drop", *x) for x in d] + [("kick", *x) for x in k]
-        return pd.DataFrame([(part[key].iloc[0], *r) for r in rows], columns=[key, "kind", "t", "v"])
-
-    return found.select(key, "pos_ms", "drop", "kick").groupBy(key).applyInPandas(fold, f"{key} {kind}, kind string, t double, v double")
+    def marks(kind: str, test: Column, strength: Column, gap: int, most: int) -> DataFrame:
+        candidates = frames.where(test & F.col("pos_ms").isNotNull()).select(key, F.col("pos_ms").cast("double").alias("t"), strength.cast("double").alias("v"))
+        latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("t")))
+        return over_table(candidates, Spaced(gap), key).withColumn("n", latest).where(F.col("n") <= most).select(key, F.lit(kind).alias("kind"), "t", "v")
+
+    found = marks("drop", F.col("drop"), F.lit(1.0), DROP_GAP, DROPS).unionByName(marks("kick", F.col("kick") > KICK_LEAST, F.col("kick"), KICK_GAP, KICKS))
+    counts = Window.partitionBy(key)
+    told = (F.count_if(F.col("kind") == "drop").over(counts) > 0) | (F.count_if(F.col("kind") == "kick").over(counts) >= 8)
+    return found.withColumn("told", told).where("told").drop("told")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming import Padding, Windows, over_table
+
 MATCH_LEAST, GAP = 0.34, -0.45
 LINE_MS = 2600
 GAP_MS, LINE_WORDS = 700, 14
@@ -79,49 +81,18 @@ def repetition_overrun(ids: Column) -> Column:
     return out
 
 
-def _group_map(df: DataFrame, by: str, fold, columns: list[str], types: str) -> DataFrame:
-    kind = df.schema[by].dataType.simpleString()
-    return df.groupBy(by).applyInPandas(lambda p: pd.DataFrame([(p[by].iloc[0], *r) for r in fold(p)], columns=[by, *columns]), f"{by} {kind}, {types}")
-
-
 def pad_spans(spans: DataFrame, by: str, total: str, pad: int = PAD_MS) -> DataFrame:
     """Spans (start_ms, end_ms, by start) widened by `pad`; where two would meet, the middle divides them.
 
-    What a span starts at depends on the span before as already changed: a fold over a key's spans.
+    What a span starts at depends on the span before as already changed: a fold over a key's sorted spans, of which a task holds one.
     """
-    def fold(p: pd.DataFrame):
-        p = p.sort_values(["start_ms", "end_ms"])
-        a, z, whole = p["start_ms"].tolist(), p["end_ms"].tolist(), int(p[total].iloc[0])
-        out: list[list[int]] = []
-        for i in range(len(a)):
-            s, e = max(0, a[i] - pad), min(z[i] + pad, whole)
-            if out and s < out[-1][1]:
-                s = out[-1][1] = (out[-1][1] + a[i]) // 2
-            if i + 1 < len(a) and (gap := max(0, a[i + 1] - z[i])) < 2 * pad:
-                e = z[i] + gap // 2
-            out.append([s, max(s, e)])
-        return out
-
-    return _group_map(spans, by, fold, ["start_ms", "end_ms"], "start_ms long, end_ms long")
+    known = spans.where("start_ms is not null and end_ms is not null").withColumn("total", F.col(total))
+    return over_table(known, Padding(pad), by)
 
 
 def plan_windows(spans: DataFrame, by: str, width: int = WINDOW_MS) -> DataFrame:
     """Windows of at most `width` that cover all spans in order; a span that is too long is cut."""
-    def fold(p: pd.DataFrame):
-        out: list[list[int]] = []
-        for s, e in p.sort_values(["start_ms", "end_ms"])[["start_ms", "end_ms"]].itertuples(index=False):
-            if out and e <= out[-1][0] + width:
-                out[-1][1] = e
-                continue
-            if out and s < out[-1][0] + width:
-                out[-1][1] = out[-1][0] + width
-            at = max(out[-1][1], s) if out else s
-            while at < e:
-                out.append([at, min(at + width, e)])
-                at = out[-1][1]
-        return out
-
-    return _group_map(spans, by, fold, ["start_ms", "end_ms"], "start_ms long, end_ms long")
+    return over_table(spans.where("start_ms is not null and end_ms is not null"), Windows(width), by)
 
 
 def disjoint(spans: DataFrame, by: str, label: str) -> DataFrame:

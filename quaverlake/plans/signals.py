@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.clock import millis
 from ..operators import signal as S
+from ..streaming import Onsets, Speech, over_table
 from .registry import Registry, table
 
 _R = Registry()
@@ -17,8 +18,7 @@ QUERIES, SQL = _R.queries, _R.sql
 
 
 def envelope(spark, sf):
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 100).alias("v"))))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.transform(rows, lambda r: r["v"]).alias("v"), F.transform(rows, lambda r, i: F.struct((i * 64).cast("bigint").alias("ms"), (r["v"] / 2).alias("p"))).alias("points"))
+    return table(spark, sf, "events").select("user_id", F.col("ts").alias("t"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("v"), (F.col("value") / 200).alias("p"))
 
 
 @_R.add("s2_onsets", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value / 100 AS v FROM events),
@@ -26,8 +26,10 @@ f AS (SELECT user_id, 0::BIGINT AS n, 0::DOUBLE AS floor, true AS armed, false A
   UNION ALL SELECT f.user_id, e.n, floor + 0.1::DOUBLE * (v - floor), CASE WHEN armed AND v - floor > 0.12::DOUBLE THEN false ELSE armed OR v <= floor + 0.048::DOUBLE END, armed AND v - floor > 0.12::DOUBLE FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
 SELECT user_id, count(*) FILTER (fire)::BIGINT AS onsets, coalesce(string_agg(((n - 1) * 23)::BIGINT, ',' ORDER BY n) FILTER (fire), '') AS at FROM f GROUP BY user_id""")
 def _(spark, sf):
-    t = envelope(spark, sf).select("user_id", S.onsets(F.col("v"), 23.0).alias("t"))
-    return t.select("user_id", F.size("t").cast("long").alias("onsets"), F.array_join(F.transform("t", lambda x: x.cast("long").cast("string")), ",").alias("at"))
+    samples = envelope(spark, sf)
+    found = over_table(samples, Onsets(), "user_id").select("user_id", (F.col("place") * 23).alias("t"))
+    t = samples.select("user_id").distinct().join(found.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("t")), "user_id", "left")
+    return t.select("user_id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("onsets"), F.coalesce(F.array_join(F.transform("t", lambda x: x.cast("string")), ","), F.lit("")).alias("at"))
 
 
 @_R.add("m1_speech_spans", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value / 200 AS p, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 64 AS ms FROM events),
@@ -37,8 +39,7 @@ f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS open, NULL::BIGINT AS quie
 u AS (SELECT user_id, a, z FROM f UNION ALL (SELECT user_id, open, n * 64 FROM f QUALIFY n = max(n) OVER (PARTITION BY user_id)))
 SELECT user_id, a AS start_ms, z AS end_ms FROM u WHERE z - a > 250""")
 def _(spark, sf):
-    t = envelope(spark, sf).select("user_id", S.speech_spans(F.col("points"), F.size("points") * F.lit(64).cast("bigint")).alias("s"))
-    return t.select("user_id", F.explode("s").alias("s")).select("user_id", "s.*")
+    return over_table(envelope(spark, sf), Speech(64), "user_id")
 
 
 @_R.add("s7_tempo_from_gaps", """WITH g AS (SELECT user_id, (epoch_us(ts) // 1000) % 100000 AS t FROM events), d AS (SELECT user_id, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS gap FROM g)

@@ -1,6 +1,9 @@
 """State machines over keyed, ordered samples, for streams and for tables alike."""
 
-from .machines import Changes, Easing, Envelope, Machine, Polls, PriorTempoLock, Recorder, RecordSlot, TempoLock
+from .machines import Changes, Easing, Envelope, Machine, Onsets, Padding, Polls, PriorTempoLock, Recorder, RecordSlot, Spaced, Speech, TempoLock, Windows
 from .runner import over_stream, over_table, rescan_on
 
-__all__ = ["Changes", "Easing", "Envelope", "Machine", "Polls", "PriorTempoLock", "RecordSlot", "Recorder", "TempoLock", "over_stream", "over_table", "rescan_on"]
+__all__ = [
+    "Changes", "Easing", "Envelope", "Machine", "Onsets", "Padding", "Polls", "PriorTempoLock", "RecordSlot", "Recorder", "Spaced", "Speech", "TempoLock", "Windows",
+    "over_stream", "over_table", "rescan_on",
+]

@@ -22,6 +22,10 @@ class Machine:
         """The state after a sample, and the rows to give out."""
         raise NotImplementedError
 
+    def finish(self, state: tuple) -> list[tuple]:
+        """What is still to be given out once a key has no more samples."""
+        return []
+
 
 class Changes(Machine):
     """`track` when the item changes, `idle` once when it goes, `tick` for every sample of an item."""
@@ -188,3 +192,135 @@ class RecordSlot(Machine):
         if held is None:
             return (None,), []
         return (None,), [(t, "kept" if action == "flush" else "discarded", held)]
+
+
+#: Onsets fire so far over a floor, are armed again so near to it, and the floor follows a sample by this share.
+ONSET, REARM, FOLLOW = 0.12, 0.048, 0.1
+#: Speech begins at the one probability and ends below the other for so long; shorter spans don't count.
+SPEECH, SILENCE, SPEECH_MS, SILENCE_MS = 0.5, 0.35, 250, 100
+
+
+@dataclass(frozen=True)
+class Onsets(Machine):
+    """Numbers of the samples at which an envelope rises over its floor."""
+
+    reads = ("t", "id", "v")
+    gives = "place long"
+    state = "floor double, armed boolean, i long"
+
+    def start(self):
+        return (0.0, True, 0)
+
+    def step(self, state, row):
+        floor, armed, i = state
+        over = row[2] - floor
+        fire = armed and over > ONSET
+        return (floor + FOLLOW * over, not fire and (armed or row[2] <= floor + REARM), i + 1), [(i,)] if fire else []
+
+
+@dataclass(frozen=True)
+class Speech(Machine):
+    """Spans of speech in probabilities that are `step_ms` apart."""
+
+    step_ms: int
+    reads = ("t", "id", "p")
+    gives = "start_ms long, end_ms long"
+    state = "since long, quiet long, at long"
+
+    def start(self):
+        return (None, None, 0)
+
+    def step(self, state, row):
+        since, quiet, at = state
+        p, following = row[2], at + self.step_ms
+        if p >= SPEECH:
+            return (at if since is None else since, None, following), []
+        if p >= SILENCE or since is None:
+            return (since, quiet, following), []
+        quiet = at if quiet is None else quiet
+        if at - quiet < SILENCE_MS:
+            return (since, quiet, following), []
+        return (None, None, following), self._long(since, quiet)
+
+    def finish(self, state):
+        return [] if state[0] is None else self._long(state[0], state[2])
+
+    @staticmethod
+    def _long(start: int, end: int) -> list[tuple]:
+        return [(start, end)] if end - start > SPEECH_MS else []
+
+
+@dataclass(frozen=True)
+class Padding(Machine):
+    """Spans widened by `pad`, not over 0 and `total`; where two would meet, the middle divides them, seen from the span before as it is by then."""
+
+    pad: int
+    reads = ("start_ms", "end_ms", "total")
+    gives = "start_ms long, end_ms long"
+    state = "start long, end long, total long"
+
+    def start(self):
+        return (None, None, None)
+
+    def step(self, state, row):
+        start, end, total = state
+        own, stop, whole = row
+        left = max(0, own - self.pad)
+        if start is None:
+            return (left, stop, whole), []
+        gap = max(0, own - end)
+        until = max(start, end + gap // 2 if gap < 2 * self.pad else min(end + self.pad, total))
+        if left < until:
+            left = until = (until + own) // 2
+        return (left, stop, total), [(start, until)]
+
+    def finish(self, state):
+        start, end, total = state
+        return [] if start is None else [(start, max(start, min(end + self.pad, total)))]
+
+
+@dataclass(frozen=True)
+class Windows(Machine):
+    """Windows of at most `width` over spans in order; a span that is too long is cut."""
+
+    width: int
+    reads = ("start_ms", "end_ms")
+    gives = "start_ms long, end_ms long"
+    state = "start long, end long"
+
+    def start(self):
+        return (None, None)
+
+    def step(self, state, row):
+        (start, end), (at, stop), out = state, row, []
+        if start is not None:
+            if stop <= start + self.width:
+                return (start, stop), []
+            if at < start + self.width:
+                end = start + self.width
+            at = max(end, at)
+        while at < stop:
+            if start is not None:
+                out.append((start, end))
+            start, end = at, min(at + self.width, stop)
+            at = end
+        return (start, end), out
+
+    def finish(self, state):
+        return [] if state[0] is None else [state]
+
+
+@dataclass(frozen=True)
+class Spaced(Machine):
+    """The samples that lie over `gap` after the last one given out."""
+
+    gap: float
+    reads = ("t", "v")
+    gives = "t double, v double"
+    state = "last double"
+
+    def start(self):
+        return (None,)
+
+    def step(self, state, row):
+        return (state, []) if state[0] is not None and row[0] - state[0] <= self.gap else ((row[0],), [row])

@@ -43,17 +43,20 @@ def over_table(df: DataFrame, machine: Machine, key: str) -> DataFrame:
             for row in batch[names].itertuples(index=False, name=None):
                 k, *sample = map(_plain, row)
                 if not begun or k != own:
+                    out += [(own, *m) for m in machine.finish(state)] if begun else []
                     begun, own, state = True, k, machine.start()
                 state, more = machine.step(state, tuple(sample))
                 out += [(k, *m) for m in more]
             yield pd.DataFrame(out, columns=_columns(machine, key))
+        if begun:
+            yield pd.DataFrame([(own, *m) for m in machine.finish(state)], columns=_columns(machine, key))
 
     rows = df.select(*names).repartition(key).sortWithinPartitions(*map(F.asc_nulls_last, names))
     return rows.mapInPandas(run, f"{key} {kind}, {machine.gives}")
 
 
 def over_stream(df: DataFrame, machine: Machine, key: str, forget_ms: int = 3_600_000) -> DataFrame:
-    """The machine over a stream. Keys without a sample for `forget_ms` start anew.
+    """The machine over a stream. Keys without a sample for `forget_ms` are finished and start anew.
 
     Samples of a key must arrive in order, or together in one micro-batch; then how a stream is
     cut into micro-batches changes nothing.
@@ -62,7 +65,9 @@ def over_stream(df: DataFrame, machine: Machine, key: str, forget_ms: int = 3_60
 
     def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            last = machine.finish(tuple(state.get))
             state.remove()
+            yield pd.DataFrame([(own[0], *m) for m in last], columns=_columns(machine, key))
             return
         now = tuple(state.get) if state.exists else machine.start()
         part, out = pd.concat(list(parts)), []

@@ -14,6 +14,7 @@ from quaverlake.functions import records as R
 from quaverlake.functions import text as T
 from quaverlake.operators import energy, history, library, lyrics, matching, sequences
 from quaverlake.operators import signal as S
+from quaverlake.streaming import Onsets, Speech, over_table
 
 
 def one(spark, column, **values):
@@ -235,6 +236,24 @@ def test_speech(spark):
     assert [tuple(s) for s in df.select(S.speech_spans(F.col("x"), F.lit(1000).cast("bigint")).alias("s")).first()["s"]] == [(100, 500)]
 
 
+@pytest.mark.parametrize("kind", ["onsets", "speech"])
+def test_streamed_as_folded(spark, kind):
+    """A machine over sorted rows gives what the fold over an array gives."""
+    r = np.random.default_rng(8)
+    for n in (1, 2, 50, 400):
+        v = np.clip(np.cumsum(r.normal(0, 0.25, n)) % 1.3, 0, 1).round(3).tolist()
+        rows = spark.createDataFrame([(1, i, 0, x) for i, x in enumerate(v)], "k int, t int, id int, x double")
+        one_row = spark.createDataFrame([(v,)], "x array<double>")
+        if kind == "onsets":
+            got = sorted(r["place"] for r in over_table(rows.withColumnRenamed("x", "v"), Onsets(), "k").collect())
+            want = [int(t) for t in one_row.select(S.onsets(F.col("x"), 1.0).alias("t")).first()["t"]]
+        else:
+            got = sorted((r["start_ms"], r["end_ms"]) for r in over_table(rows.withColumnRenamed("x", "p"), Speech(64), "k").collect())
+            points = F.transform("x", lambda p, i: F.struct((i * 64).cast("bigint").alias("ms"), p.alias("p")))
+            want = [tuple(s) for s in one_row.select(S.speech_spans(points, F.lit(64 * n).cast("bigint")).alias("s")).first()["s"]]
+        assert got == want and (n < 400 or len(got) > 3)
+
+
 def clicks(bpm, seconds=20, rate=22050):
     r, x = np.random.default_rng(1), np.zeros(seconds * rate)
     burst = r.standard_normal(int(0.03 * rate)) * np.exp(-np.arange(int(0.03 * rate)) / (0.008 * rate))
