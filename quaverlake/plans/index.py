@@ -95,6 +95,9 @@ def _(spark, sf):
     return library.dedup_jobs(t, "job", ["ts", "event_id"]).select("event_id", "accepted")
 
 
-@_R.add("io8_stale_files", f"SELECT path FROM ({_SCAN}) WHERE starts_with(path, '/F/') AND modified_ms <= 9000000 - 3600 * 1000")
+@_R.add("io8_stale_files", f"WITH i AS ({_SCAN}) SELECT path FROM i WHERE starts_with(path, '/F/') AND modified_ms <= (SELECT max(modified_ms) FROM i) - 3600 * 1000")
 def _(spark, sf):
-    return index(spark, sf).where(F.startswith(F.col("path"), F.lit("/F/")) & (F.col("modified_ms") <= 9000000 - 3600 * 1000)).select("path")
+    """Files of a folder that are an hour older than the newest of all: as many as the table brings."""
+    i = index(spark, sf)
+    newest = i.agg(F.max("modified_ms").alias("newest"))  # one row
+    return i.where(F.startswith(F.col("path"), F.lit("/F/"))).join(F.broadcast(newest), F.col("modified_ms") <= F.col("newest") - 3600 * 1000).select("path")
