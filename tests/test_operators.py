@@ -332,7 +332,7 @@ def chord(classes, seconds, rate=11025):
 def test_sections():
     a, rate = chord([0, 4, 7], 30)
     b, _ = chord([1, 5, 8], 30)
-    found = K.sections(np.concatenate([a, b]), rate) if len(K.chromagram(np.concatenate([a, b]), rate)[0]) >= 128 else [0.0, 30000.0]
+    found = K.sections(np.concatenate([a, b]), rate)
     assert len(found) == 2 and abs(found[1] - 30_000) < 3000
 
 
