@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Each module has `query` and `SQL` (None: SQL can't express it)."""
 
-from . import ann, chat, decontaminate, packing, pii, sharding, simhash, toxicity, unigram, warc
+from . import ann, chat, decontaminate, filter_audit, packing, pii, sharding, simhash, toxicity, unigram, warc
 
 _MODULES = {
     "op1_pii": pii,
@@ -13,6 +13,7 @@ _MODULES = {
     "op8_warc": warc,
     "op9_chat": chat,
     "op10_decontaminate": decontaminate,
+    "op11_filter_audit": filter_audit,
 }
 
 
