@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Each module has `query` and `SQL` (None: SQL can't express it)."""
 
-from . import ann, chat, decontaminate, divergence, filter_audit, packing, pii, sharding, simhash, toxicity, unigram, warc
+from . import ann, chat, decontaminate, divergence, filter_audit, minhash, packing, pii, sharding, simhash, toxicity, unigram, warc
 
 _MODULES = {
     "op1_pii": pii,
@@ -15,6 +15,7 @@ _MODULES = {
     "op10_decontaminate": decontaminate,
     "op11_filter_audit": filter_audit,
     "op12_divergence": divergence,
+    "op13_minhash": minhash,
 }
 
 
