@@ -80,7 +80,7 @@ def _(spark, sf):
 
 
 @_R.add("m10_windows", """WITH s AS (SELECT event_id, 0 AS a, round(value * 20)::BIGINT AS z FROM events), w AS (SELECT event_id, z, unnest(range(0, greatest(0, z - 500)::BIGINT + 1, 750)) AS b FROM s WHERE z >= 500)
-SELECT event_id, b AS w_start, least(b + 1500, z) AS w_end FROM w WHERE least(b + 1500, z) - b >= 500 AND (b = 0 OR b + 750 < z)""")
+SELECT event_id, b AS w_start, least(b + 1500, z) AS w_end FROM w WHERE least(b + 1500, z) - b >= 500""")
 def _(spark, sf):
     spans = table(spark, sf, "events").select("event_id", F.lit(0).cast("long").alias("start_ms"), F.round(F.col("value") * 20).cast("long").alias("end_ms"))
     return S.diarise_windows(spans).select("event_id", "w_start", "w_end")

@@ -87,8 +87,12 @@ def _(spark, sf):
 
 
 @_R.add("w9_tempo", """WITH o AS (SELECT user_id, (epoch_us(ts) // 1000) - min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-p AS (SELECT unnest(range(0, 351)) * 2 + 300.0::DOUBLE AS period_ms), s AS (SELECT user_id, period_ms, sqrt(pow(sum(cos(t / period_ms * 2 * pi())), 2) + pow(sum(sin(t / period_ms * 2 * pi())), 2)) / count(*) AS score FROM o, p WHERE n >= 8 GROUP BY ALL)
-SELECT user_id, period_ms, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 5) DESC, period_ms) = 1""")
+p AS (SELECT unnest(range(300, 1001))::DOUBLE AS period_ms),
+s AS (SELECT user_id, period_ms, sqrt(pow(sum(cos(t / period_ms * 2 * pi())), 2) + pow(sum(sin(t / period_ms * 2 * pi())), 2)) / count(*) AS score FROM o, p WHERE n >= 8 GROUP BY ALL),
+b AS (SELECT user_id, period_ms AS best, score AS top FROM s WHERE period_ms::BIGINT % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 5) DESC, period_ms) = 1)
+SELECT user_id, period_ms, round(score, 5) AS score FROM b JOIN s USING (user_id)
+WHERE period_ms = best OR (period_ms IN (best / 2, best * 2) AND score > 0.85::DOUBLE * top)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(60000 / period_ms - 125), period_ms <> best, period_ms) = 1""")
 def _(spark, sf):
     fit = S.tempo(table(spark, sf, "events").select("user_id", millis(F.col("ts")).alias("t")), "user_id", "t", digits=5)
     return fit.select("user_id", "period_ms", F.round("score", 5).alias("score"))
