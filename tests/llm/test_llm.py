@@ -30,7 +30,7 @@ EDGE = [(1, None), (2, ""), (3, "   "), (4, "one"), (4, "one"), (5, "One two thr
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = llm.queries()[name](spark, sf_dir).toPandas()
     want = con.sql(llm.oracle_sql()[name]).df()[list(got.columns)]
