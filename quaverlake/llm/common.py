@@ -71,6 +71,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROW = "__row"
+
+
+def packed(df: DataFrame, without: str | None = None, **named: Column) -> DataFrame:
+    """All columns of df (but one) inside the struct ROW, and the named ones beside it: no name of df can clash with an operator's own."""
+    own = [F.col(f"`{c}`") for c in df.columns if c != without]
+    return df.select((F.struct(*own) if own else F.lit(None).cast("struct<>")).alias(ROW), *[c.alias(n) for n, c in named.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
+    """The columns of packed() again, those of `instead` from elsewhere."""
+    return df.select(*[instead[c].alias(c) if c in instead else F.col(ROW).getField(c).alias(c) for c in columns])
+
+
 def null_safe_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table
+from .common import ROW, materialize, packed, read_table, unpacked
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -122,10 +122,10 @@ class Windows:
 _STATE = T.StructType([T.StructField("__n", T.LongType()), T.StructField("__covered", T.LongType()), T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
 
 
-def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_text: str = "text") -> DataFrame:
     """df plus __n (words), __covered (hit words), __hit (packed bits of hit words, null if none) and __items (hitting items)."""
     spark = df.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).distinct()
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("body")).distinct()
     total = items.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     plain = [f.name for f in df.schema]
@@ -157,17 +157,19 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     return now
 
 
-def judge(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df plus n_words, n_hit, n_items, items and contaminated."""
-    results = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    out = scan(df.drop(*results), benchmark, text, item, window, block_bytes)
-    out = out.withColumns({"n_words": F.col("__n"), "n_hit": F.col("__covered"), "n_items": F.size("__items").cast("long"), "items": F.col("__items")})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).drop("__n", "__covered", "__hit", "__items")
+def judge(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """df plus n_words, n_hit, n_items, items and contaminated; columns of these names are replaced."""
+    found = scan(packed(df, text, body=F.col(text)), benchmark, "body", **options)
+    hit = (F.col("__covered") > 0) & (SHARE * F.col("__covered") >= F.col("__n"))
+    results = {"n_words": F.col("__n"), "n_hit": F.col("__covered"), "n_items": F.size("__items").cast("long"), "items": F.col("__items"), "contaminated": hit}
+    columns = [c for c in df.columns if c not in results]
+    return unpacked(found, [*columns, *results], **results, **{text: F.col("body")})
 
 
-def remove_documents(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """df without its contaminated rows."""
-    return judge(df, benchmark, **options).where(~F.col("contaminated")).select(*df.columns)
+    judged = judge(packed(df, text, body=F.col(text)), benchmark, text="body", **options)
+    return unpacked(judged.where(~F.col("contaminated")), df.columns, **{text: F.col("body")})
 
 
 def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -177,7 +179,7 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **opti
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, h in zip(batch.column(names.index(text)).cast(pa.binary()), batch.column("__hit")):
+            for t, h in zip(batch.column(names.index(text)).cast(pa.binary()), batch.column(len(names))):
                 body = t.as_buffer().to_pybytes() if t.is_valid else None
                 if body is not None and h.is_valid:
                     is_word = np.frombuffer(body.translate(_WORD_BYTES), np.uint8) != 0x20
@@ -191,8 +193,10 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **opti
                 out.append(None if body is None else body.decode())
             yield pa.record_batch([pa.array(out, pa.string()) if n == text else batch.column(n) for n in names], names)
 
-    found = scan(df, benchmark, text, **options)
-    return found.select(*names, "__hit").mapInArrow(cut, df.schema)
+    found = scan(packed(df, text, body=F.col(text)), benchmark, "body", **options)
+    columns = [F.col("body").alias(text) if n == text else F.col(ROW).getField(n).alias(n) for n in names]
+    own_hit = next(n for k in range(len(names) + 1) if (n := f"hit_{k}") not in names)
+    return found.select(*columns, F.col("__hit").alias(own_hit)).mapInArrow(cut, df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ kind `secret`, which has no base pattern. Each identifier has five lexical patte
 narrow to wide: the words on both sides, two words before, one word before, one word behind,
 and its own shape (digits as 9, letters as a). Patterns and the identifier-like tokens in
 them form a bipartite graph. A pattern is as good as the share of its distinct values that
-are known to be of a kind (values that could be, but aren't known, count half against it);
+are known to be of a kind (values that could be, but aren't known, count UNSURE against it);
 a value that trusted patterns extract becomes known itself (noisy or of its patterns) and
-teaches further patterns. This goes on until a round adds no value. Tokens in a trusted
+teaches further patterns, but no shapes. This goes on until a round adds no value. Tokens in a trusted
 pattern that look like its kind are added to the base spans.
 
 Tokens are digit groups joined by single signs, addresses with (at), and words that hold a
@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, null_safe_text, read_table
+from .common import discard, materialize, null_safe_text, packed, read_table, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that spans may have; the last has no base pattern.
@@ -57,8 +57,14 @@ SHAPES = {
 }
 SECRET_SEED = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
 #: Per pattern (both sides, two before, one before, one behind, shape): distinct known values that it needs, and the least share.
-SUPPORT = (6, 6, 16, 32, 16)
-SCORE = (0.75, 0.75, 0.85, 0.9, 0.9)
+#: It also needs SUPPORT_SHARE of all the values that are known of its kind, so that chance contexts don't come to be trusted as seeds grow.
+SUPPORT = (6, 6, 16, 32, 4)
+SUPPORT_SHARE = 0.0005
+SCORE = (0.75, 0.75, 0.85, 0.9, 0.8)
+#: Only base identifiers teach shapes: a value that was found by its context would make all of its shape known.
+SHAPE = 4
+#: What a value counts against a pattern that could be of its kind, but isn't known to be.
+UNSURE = 0.1
 #: Rounds end when nothing is new; as many without an end are an error.
 MAX_ROUNDS = 60
 #: Code points of a text that are redacted at once.
@@ -242,27 +248,35 @@ def _of_pattern(values: tuple) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.col("g"))
 
 
-def learn(scanned: DataFrame) -> DataFrame:
-    """Trusted patterns (g, p, kind, conf) of a written scan(): g is which of the five patterns, p its hash."""
-    spark = scanned.sparkSession
+def graph(scanned: DataFrame, hidden: Column | None = None) -> DataFrame:
+    """(g, p, v, fits, seed) of a written scan(): g is which of the five patterns, p its hash, v a value's; fits and seed are
+    bits of the kinds that v may be of and is known to be of. Values for which `hidden` holds aren't known."""
     seeds = scanned.select(F.explode("__base").alias("s")).select("s.v", F.call_function("shiftleft", F.lit(1), F.col("s.ord")).alias("fits"), F.posexplode("s.pats").alias("g", "p")).withColumn("seed", F.col("fits"))
     tokens = scanned.select(F.explode("__tokens").alias("s")).select("s.v", "s.fits", "s.seed", F.posexplode("s.pats").alias("g", "p"))
-    edges = seeds.unionByName(tokens).groupBy("g", "p", "v").agg(F.bit_or("fits").alias("fits"), F.bit_or("seed").alias("seed"))
-    edges = materialize(edges, "pii-edges")
+    both = seeds.unionByName(tokens)
+    if hidden is not None:
+        both = both.withColumn("seed", F.when(hidden, F.lit(0)).otherwise(F.col("seed")))
+    return both.groupBy("g", "p", "v").agg(F.bit_or("fits").alias("fits"), F.bit_or("seed").alias("seed"))
+
+
+def learn(edges: DataFrame) -> DataFrame:
+    """Trusted patterns (g, p, kind, conf) of a written graph()."""
+    spark = edges.sparkSession
     may = [F.sum(F.shiftright("fits", k).bitwiseAND(F.lit(1))).alias(f"f{k}") for k in range(len(ALL_KINDS))]
     totals = materialize(edges.groupBy("g", "p").agg(F.count("*").alias("n"), *may).where(F.col("n") >= _of_pattern(SUPPORT)), "pii-totals")
     kept = materialize(edges.join(totals.select("g", "p"), ["g", "p"], "left_semi"), "pii-graph")  # others never reach their support
-    discard(edges)
+    seeds = dict(edges.where("seed > 0").select("v", F.explode(_bits("seed")).alias("kind")).distinct().groupBy("kind").count().collect())  # five rows
+    least = F.greatest(_of_pattern(SUPPORT), F.get(F.array(*[F.lit(int(SUPPORT_SHARE * seeds.get(k, 0))) for k in range(len(ALL_KINDS))]), F.col("kind")))
     known = kept.where("seed > 0").select("g", "p", F.explode(_bits("seed")).alias("kind"), F.lit(1.0).alias("score"))
     able = F.get(F.array(*[F.col(f"f{k}") for k in range(len(ALL_KINDS))]), F.col("kind"))
     gained = spark.createDataFrame([], "v long, kind int, score double")
     old: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        scored = known.unionByName(kept.join(gained, "v").where(_may_be()).select("g", "p", "kind", "score")) if old else known
+        scored = known.unionByName(kept.where(F.col("g") != SHAPE).join(gained, "v").where(_may_be()).select("g", "p", "kind", "score")) if old else known
         patterns = scored.groupBy("g", "p", "kind").agg(F.sum("score").alias("pos"), F.count("*").alias("support"))
         unsure = F.greatest(able - F.col("support"), F.lit(0))
-        patterns = patterns.join(totals, ["g", "p"]).select("g", "p", "kind", "support", (F.col("pos") / (F.col("support") + unsure / 2 + (F.col("n") - able) + 1)).alias("conf"))
-        patterns = materialize(patterns.where((F.col("support") >= _of_pattern(SUPPORT)) & (F.col("conf") >= _of_pattern(SCORE))), "pii-patterns")
+        patterns = patterns.join(totals, ["g", "p"]).select("g", "p", "kind", "support", (F.col("pos") / (F.col("support") + UNSURE * unsure + (F.col("n") - able) + 1)).alias("conf"))
+        patterns = materialize(patterns.where((F.col("support") >= least) & (F.col("conf") >= _of_pattern(SCORE))), "pii-patterns")
         hits = kept.where("seed = 0").join(patterns, ["g", "p"]).where(_may_be())
         new = hits.groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")).join(gained, ["v", "kind"], "left_anti")
         new = materialize(new, "pii-values")
@@ -276,14 +290,34 @@ def learn(scanned: DataFrame) -> DataFrame:
 
 
 def discovered(scanned: DataFrame, key: str) -> DataFrame:
-    """Per (key, __h) as (__d, __g): the spans that the learned patterns add, as array of (start, ord, end, kind)."""
+    """Per (key, __h) as (__d, __g): the spans that the learned patterns add, as array of (start, ord, end, kind), and how many
+    of them the pattern of secrets seeded."""
+    edges = materialize(graph(scanned), "pii-edges")
+    patterns = learn(edges)
+    discard(edges)
     tokens = scanned.where(F.size("__tokens") > 0).select(F.col(key).alias("__d"), F.col("__h").alias("__g"), F.explode("__tokens").alias("t"))
-    tokens = tokens.where("t.fits > 0").select("__d", "__g", "t.start", "t.end", "t.fits", F.posexplode("t.pats").alias("g", "p"))
-    hits = tokens.join(learn(scanned), ["g", "p"]).where(_may_be())
-    best = hits.groupBy("__d", "__g", "start", "end").agg(F.max(F.struct("conf", -F.col("kind"))).alias("best"))  # a token has one kind
+    tokens = tokens.where("t.fits > 0").select("__d", "__g", "t.start", "t.end", "t.fits", "t.seed", F.posexplode("t.pats").alias("g", "p"))
+    hits = tokens.join(patterns, ["g", "p"]).where(_may_be())
+    best = hits.groupBy("__d", "__g", "start", "end").agg(F.max(F.struct("conf", -F.col("kind"))).alias("best"), F.max("seed").alias("seed"))  # a token has one kind
     ord_ = (-F.col("best.col2")).cast("int")
     span = F.struct("start", ord_.alias("ord"), "end", F.get(F.array(*map(F.lit, ALL_KINDS)), ord_).alias("kind"))
-    return best.groupBy("__d", "__g").agg(F.collect_set(span).alias("__added"))
+    seeded = F.call_function("shiftright", F.col("seed"), ord_).bitwiseAND(F.lit(1)).cast("long")
+    one = best.groupBy("__d", "__g", span.alias("span")).agg(F.max(seeded).alias("seeded"))  # repeated rows have the same spans
+    return one.groupBy("__d", "__g").agg(F.collect_list("span").alias("__added"), F.sum("seeded").alias("__seeded"))
+
+
+def held_back(df: DataFrame, text: str = "text", share: int = 2) -> DataFrame:
+    """A row for each base kind: n_hidden of its distinct values are hidden from learn() (one in `share`, by hash), n_found of them
+    are in a trusted pattern of their kind and n_wrong other values are that may be of it."""
+    scanned = materialize(scan(df, text).select("__base", "__tokens"), "pii-scan")
+    hidden = F.pmod(F.xxhash64("v", F.lit("hidden")), F.lit(share)) == 0
+    edges = materialize(graph(scanned, hidden), "pii-edges")
+    base = scanned.select(F.explode("__base").alias("s")).select("s.v", F.col("s.ord").alias("kind")).distinct()
+    hits = edges.where("seed = 0").join(learn(edges), ["g", "p"]).where(_may_be()).select("v", "kind").distinct()
+    state = base.withColumn("hidden", hidden).join(hits.withColumn("hit", F.lit(True)), ["v", "kind"], "full")
+    state = state.where(F.col("hidden") | (F.col("hidden").isNull() & (F.col("kind") < len(KINDS))))
+    name = F.get(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return state.groupBy(name.alias("kind")).agg(F.count_if("hidden").alias("n_hidden"), F.count_if(F.col("hidden") & F.col("hit")).alias("n_found"), F.count_if(F.col("hidden").isNull()).alias("n_wrong"))
 
 
 def _with_spans(df: DataFrame, key: str, text: str, keep_text: bool = True) -> DataFrame:
@@ -297,9 +331,10 @@ def _with_spans(df: DataFrame, key: str, text: str, keep_text: bool = True) -> D
 
 
 def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base and spans as arrays of (start, ord, end, kind); spans hold the added ones too."""
+    """Per row: doc_id, base and spans as arrays of (start, ord, end, kind); spans hold the added ones too, of which n_seeded are
+    secrets that their own pattern knows, so that context only confirms them."""
     rows = _with_spans(df.select(F.col(key).alias("doc_id"), F.col(text).alias("__text")), "doc_id", "__text", keep_text=False)
-    return rows.select("doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+    return rows.select("doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"), F.coalesce("__seeded", F.lit(0)).cast("long").alias("n_seeded"))
 
 
 def _merged(spans: Column) -> Column:
@@ -343,9 +378,9 @@ def _redacted(body: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every span of its texts replaced by [EMAIL], [IP], [CARD], [PHONE] or [SECRET]; a span that overlaps an earlier one widens it."""
-    rows = _with_spans(df, key, text)
-    clean = F.when(F.size("__spans") > 0, _redacted(null_safe_text(text), F.col("__spans"))).otherwise(F.col(text))
-    return rows.withColumn(text, clean).select(*df.columns)
+    rows = _with_spans(packed(df, text, own_key=F.col(key), body=F.col(text)), "own_key", "body")
+    clean = F.when(F.size("__spans") > 0, _redacted(null_safe_text("body"), F.col("__spans"))).otherwise(F.col("body"))
+    return unpacked(rows, df.columns, **{text: clean})
 
 
 def _joined(spans: str) -> Column:
@@ -359,7 +394,7 @@ def _count(k: int) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read_table(spark, sf_dir, "documents"))
     counts = [_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), "n_seeded", (F.size("spans") - F.size("base") - F.col("n_seeded")).alias("n_discovered"))
 
 #: Spans that learned patterns add can not be stated in SQL; tests compare the base spans with a plain search.
 SQL = None

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, null_safe_text, partitions, read_table
+from .common import connected_components, materialize, null_safe_text, packed, partitions, read_table, unpacked
 
 TAU = 4
 SHINGLE = 4
@@ -288,12 +288,12 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int
     """
     rows = group(df, key, text, tau).groupBy("root", "doc_id", "fp", "__h").agg(F.count("*").alias("n"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__h", "n")).alias("b"))
-    stays = materialize(best.select(F.col("b.doc_id").alias("__key"), F.col("b.__h").alias("__hash"), "b.n"), "simhash-stays")
-    marked = df.withColumn("__h", F.xxhash64(null_safe_text(text)))
-    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    stays = materialize(best.select("b.doc_id", "b.__h", "b.n"), "simhash-stays")
+    marked = packed(df, own_key=F.col(key), own_hash=F.xxhash64(null_safe_text(text)))
+    kept = marked.join(stays, F.col("own_key").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("__h")), "left_semi")
     if not stays.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([key, "__h"])
-    return kept.select(*df.columns)
+        kept = kept.dropDuplicates(["own_key", "own_hash"])
+    return unpacked(kept, df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
