@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from .common import null_safe_text, read_table
 
+#: Slots of equal rows that are listed at once.
+BLOCK = 1 << 14
 SHARDS = 16
 #: Slots are counted within (shard, bucket) first: no task sorts a whole shard.
 SLOT_BUCKETS_HEX = 3
@@ -76,9 +78,12 @@ def shard_manifest(df: DataFrame, key: str = "doc_id", text: str = "text", weigh
     first = placed.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0)))
     # at most 16 x 4096 rows of offsets, whatever the input
     out = first.join(F.broadcast(offsets), ["shard", "bucket"])
+    # equal rows are made again in blocks, so that no array holds all of their slots
+    low, n = F.col("offset") + F.col("first"), F.col("n")
+    out = out.select("*", F.explode(F.sequence(low, low + n - 1, F.lit(BLOCK).cast("long"))).alias("block"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("offset") + F.col("first"), F.col("offset") + F.col("first") + F.col("n") - 1)).alias("slot"),
+        F.explode(F.sequence("block", F.least(F.col("block") + BLOCK, low + n) - 1)).alias("slot"),
         "grown_shard",
     )
 
