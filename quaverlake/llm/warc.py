@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, read_table
 
 #: Payloads under this many bytes are never revisits.
+#: Parts that the rows of one payload are dealt into.
+SALTS = 32
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 16 << 20
 #: Level 6 takes twice the time for 6 % less bytes (measured on pages).
@@ -181,9 +183,10 @@ def to_warc(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """
     r = records.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long"), "id": F.expr("try_cast(key as bigint)"), "row": F.monotonically_increasing_id()})
     r = materialize(r, "warc-records")  # numbered rows must not be made anew
-    keys = r.where(F.col("bytes") >= least).select("row", "id", "digest")
+    keys = r.where(F.col("bytes") >= least).select("row", "id", "digest", F.pmod("row", F.lit(SALTS)).alias("salt"))
     first = keys.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = keys.join(first, "digest").where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("row", "first")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))  # a popular page is many keys
+    again = keys.join(first, ["digest", "salt"]).where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("row", "first")
     r = r.join(materialize(again, "warc-revisits"), "row", "left")
     again = F.col("first").isNotNull()
 
