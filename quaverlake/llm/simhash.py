@@ -46,8 +46,10 @@ TILE = 4096
 #: a row that is exploded, shuffled and sorted took 2 to 4 us, a comparison 44 ns (both measured).
 MOST_PARTITIONS = 12
 PROBE_COST = 64.0
-#: Pairs that are compared at once.
+#: Pairs that are compared at once, probes of a key that are held, and nodes whose trees a task remembers.
 PAIRS = 1 << 21
+HELD = 1 << 16
+FOREST = 1 << 20
 
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
 
@@ -260,6 +262,12 @@ def _meet(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatc
         if start:
             yield from runs(*(x[:start] for x in now))
         kept = [x[start:] for x in now]
+        stored = int(np.searchsorted(kept[1], True))  # they come before the probes of their key
+        if len(kept[0]) - stored > HELD:
+            yield from runs(*kept)
+            kept = [x[:stored] for x in kept]
+        if len(root) > FOREST:
+            root.clear()  # some links may then be given out again
     if kept is not None:
         yield from runs(*kept)
 
