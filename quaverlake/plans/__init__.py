@@ -1,8 +1,8 @@
 """Registered queries: one per operator, with the SQL that a second engine answers it by."""
 
-from . import events, index, machines, matching, measures, playback, records, sequences, signals, texts
+from . import chunks, events, index, machines, matching, measures, playback, records, sequences, signals, texts
 
-_PARTS = (events, index, machines, matching, measures, playback, records, sequences, signals, texts)
+_PARTS = (chunks, events, index, machines, matching, measures, playback, records, sequences, signals, texts)
 
 
 def queries() -> dict:
