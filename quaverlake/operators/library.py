@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +91,21 @@ def crash_reports(posts: DataFrame, raw: str = "raw", received: str = "received"
 def listed_reports(reports: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """The oldest reports of the last 90 days, 50 or up to 200."""
     return reports.where(F.col("received") > now - F.expr("INTERVAL 90 DAYS")).orderBy("key").limit(min(200, limit or 50))
+
+
+def report_page(reports: DataFrame, now: Column, limit: int | None = None, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """(a page of listed_reports(), the cursor of the next page or None): pages follow each other by (received, key).
+
+    The cursor says where a page ended, so a page is a range that reaches the scan, and reports that come in meanwhile shift
+    nothing: they are on a later page. Repeated rows are one report. A cursor that isn't one is an error.
+    """
+    rows = reports.where(F.col("received") > now - F.expr("INTERVAL 90 DAYS"))
+    if cursor is not None:
+        at, key = json.loads(base64.urlsafe_b64decode(cursor))
+        after = F.timestamp_micros(F.lit(int(at)))
+        rows = rows.where((F.col("received") >= after) & ((F.col("received") > after) | (F.col("key") > key)))
+    page = rows.dropDuplicates(["received", "key"]).orderBy("received", "key").limit(min(200, limit or 50))
+    last = page.agg(F.max(F.struct(F.unix_micros("received").alias("at"), "key")).alias("x"), F.count("*").alias("n")).first()
+    if last["n"] < min(200, limit or 50):
+        return page, None
+    return page, base64.urlsafe_b64encode(json.dumps([last["x"]["at"], last["x"]["key"]]).encode()).decode()

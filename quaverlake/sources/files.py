@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import time
 import uuid
 import wave
 from collections.abc import Iterator
@@ -134,9 +135,20 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).option("mode", "DROPMALFORMED").json(path).where("path is not null")
 
 
+def _fs(spark: SparkSession, path: str):
+    """(Path class, file system) of an address, as Spark reaches it."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind, kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    kind, system = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(kind(path))) if system.exists(kind(path)) else []
+
+
 def journal_start(jobs: DataFrame, path: str) -> None:
-    """Jobs (as JOB, each with an id of its own) that are about to run, written before they do."""
-    jobs.select(*[f.split(" ")[0] for f in JOB.split(", ")]).write.mode("append").parquet(f"{path}/starts")
+    """Jobs (as JOB, each with an id of its own) that are about to run, written before they do: a generation of the journal."""
+    jobs.select(*[f.split(" ")[0] for f in JOB.split(", ")]).write.parquet(f"{path}/starts/{time.time_ns():020d}-{uuid.uuid4().hex}")
 
 
 def journal_finish(ids: DataFrame, path: str) -> None:
@@ -145,25 +157,101 @@ def journal_finish(ids: DataFrame, path: str) -> None:
 
 
 def journal_take(spark: SparkSession, path: str) -> DataFrame:
-    """The jobs that a session before left unfinished. They are off the journal once this returns, so a job that breaks its session is not tried for ever.
+    """The jobs that sessions before left unfinished. They are off the journal once this returns, so a job that breaks its session is not tried for ever.
 
-    Meant for one caller at the start, before new jobs can be mistaken for old ones. No journal gives no rows.
+    A generation is claimed by making its claim file, which only one of any callers can: two sessions that start together share
+    no job, and none is lost. Meant for the start, before a session's own jobs can be mistaken for old ones. Generations that
+    are still being written stay. No journal gives no rows.
     """
+    kind, system = _fs(spark, path)
+    done = [g for g in _children(spark, f"{path}/starts") if system.exists(kind(f"{path}/starts/{g}/_SUCCESS"))]
+    claimed = set(_children(spark, f"{path}/claims"))
+    won = [g for g in done if g not in claimed and system.createNewFile(kind(f"{path}/claims/{g}"))]
+    if not won:
+        return spark.createDataFrame([], JOB)
+    own = spark.read.schema(JOB).parquet(*[f"{path}/starts/{g}" for g in won])
     taken = f"{path}/taken/{uuid.uuid4().hex}"
-    library.unfinished(_journal(spark, f"{path}/starts", JOB), _journal(spark, f"{path}/finishes", "id string")).write.parquet(taken)
-    found = spark.read.schema(JOB).parquet(taken)
-    journal_finish(found, path)
-    return found
+    library.unfinished(own, _journal(spark, f"{path}/finishes", "id string")).write.parquet(taken)
+    return spark.read.schema(JOB).parquet(taken)
 
 
 def _journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    kind, system = _fs(spark, path)
+    return spark.read.schema(schema).parquet(path) if system.exists(kind(path)) else spark.createDataFrame([], schema)
+
+
+# --- a cache of documents by key: deltas are only added, the newest row of a key counts
+
+BUCKETS = 256
+
+
+def _bucket(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def put_documents(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Adds rows, each the newest of its key from now on, as one delta; nothing that is there is read or written again.
+
+    Of rows of one put that share a key, the one that is largest as JSON stays. `key` is a string column. A cache keeps the
+    number of buckets that its first put had.
+    """
+    rows = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.to_json(F.struct(*df.columns))).alias("x")).select("x.*")
+    rows = rows.withColumn("bucket", _bucket(key, _buckets(df.sparkSession, path, buckets)))
+    rows.write.partitionBy("bucket").parquet(f"{path}/deltas/{time.time_ns():020d}-{uuid.uuid4().hex}")
+
+
+def _buckets(spark: SparkSession, path: str, buckets: int) -> int:
+    kind, system = _fs(spark, path)
+    names = [n for n in _children(spark, path) if n.startswith("buckets-")]
+    if not names:
+        system.createNewFile(kind(f"{path}/buckets-{buckets}"))
+        names = [n for n in _children(spark, path) if n.startswith("buckets-")]
+    return int(min(names).split("-")[1])
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The newest whole base and the deltas that it doesn't hold, oldest first. A base is named after the last delta in it."""
+    kind, system = _fs(spark, path)
+    whole = lambda place: [n for n in _children(spark, f"{path}/{place}") if system.exists(kind(f"{path}/{place}/{n}/_SUCCESS"))]
+    base = whole("bases")[-1:]
+    return [f"bases/{n}" for n in base] + [f"deltas/{n}" for n in whole("deltas") if not base or n > base[0]]
+
+
+def all_documents(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The newest row of each key, with its bucket; None if nothing was put."""
+    parts = [spark.read.parquet(f"{path}/{p}").withColumn("part_no", F.lit(k)) for k, p in enumerate(_parts(spark, path))]
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    own = [c for c in rows.columns if c not in ("part_no", "bucket")]
+    return rows.groupBy("bucket", key).agg(F.max_by(F.struct(*own), "part_no").alias("x")).select("bucket", "x.*")
+
+
+def get_document(spark: SparkSession, path: str, key: str, wanted: str) -> DataFrame | None:
+    """The newest row of a key: only its bucket's files are read."""
+    rows = all_documents(spark, path, key)
+    if rows is None:
+        return None
+    n = _buckets(spark, path, BUCKETS)
+    return rows.where((F.col("bucket") == _bucket(F.lit(wanted), n)) & (F.col(key) == wanted)).drop("bucket")
+
+
+def compact_documents(spark: SparkSession, path: str, key: str) -> None:
+    """Makes one base of the base and all deltas, which then go; answers stay as they are. Meant for one caller at a time."""
+    parts = _parts(spark, path)
+    if not parts or parts[-1].startswith("bases/"):
+        return
+    name = parts[-1].split("/")[1]
+    all_documents(spark, path, key).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/bases/{name}")
+    kind, system = _fs(spark, path)
+    for p in parts:
+        system.delete(kind(f"{path}/{p}"), True)
 
 
 def write_documents(df: DataFrame, path: str, key: str) -> None:
-    """Documents by the first two digits of their key, so that one is found without a full scan."""
+    """Documents by the first two digits of their key, so that one is found without a full scan. Replaces what is there."""
     df.withColumn("prefix", F.substring(key, 1, 2)).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(path)
 
 
