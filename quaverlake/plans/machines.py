@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clock import millis
-from ..streaming import Easing, Envelope, Polls, Recorder, RecordSlot, TempoLock, over_table
+from ..streaming import Easing, Envelope, PhaseLock, Polls, Recorder, RecordSlot, TempoLock, over_table
 from .registry import Registry, table
 
 _R = Registry()
@@ -75,6 +75,24 @@ def _(spark, sf):
     return over_table(readings, TempoLock(), "session")
 
 
+@_R.add("w11_phase_lock", f"""WITH RECURSIVE {_numbered("CASE WHEN event_id % 9 > 0 THEN 120.0::DOUBLE + event_id % 4 END AS bpm, event_id % 20 / 19.0::DOUBLE AS c, event_id % 40 + 10 AS onsets, CASE WHEN user_id % 3 = 0 THEN 100.0::DOUBLE + user_id % 50 END AS prior, CASE WHEN event_id % 5 > 0 THEN t - event_id % 777 END AS phase, CASE WHEN event_id % 11 = 0 THEN (event_id % 900)::DOUBLE END AS grid")},
+f AS (SELECT session, 0::BIGINT AS n, 0::BIGINT AS t, 0::DOUBLE AS locked, 0::DOUBLE AS last, 0::DOUBLE AS clock FROM e GROUP BY session
+  UNION ALL SELECT session, n, t, CASE WHEN prior IS NOT NULL THEN prior WHEN locks THEN bpm WHEN bpm IS NULL OR c < 0.40::DOUBLE THEN 0 ELSE locked END,
+    CASE WHEN prior IS NOT NULL THEN last WHEN c >= 0.62::DOUBLE AND bpm IS NOT NULL THEN bpm ELSE 0 END,
+    CASE WHEN prior IS NOT NULL THEN CASE WHEN grid IS NOT NULL THEN grid % (60000 / prior) WHEN phase IS NOT NULL AND c >= 0.40::DOUBLE THEN (t - phase)::DOUBLE % (60000 / prior) ELSE gone % (60000 / prior) END
+      WHEN locks AND phase IS NOT NULL THEN (t - phase)::DOUBLE % (60000 / bpm) ELSE gone END
+  FROM (SELECT e.*, f.locked, f.last, CASE WHEN f.locked > 0 THEN (f.clock + e.t - f.t) % (60000 / f.locked) ELSE 0 END AS gone,
+    c >= 0.62::DOUBLE AND bpm IS NOT NULL AND f.last > 0 AND abs(bpm - f.last) / f.last <= 0.04::DOUBLE AND onsets >= 24 AS locks FROM f JOIN e ON e.session = f.session AND e.n = f.n + 1))
+SELECT session, t, locked > 0 AS locked, CASE WHEN locked > 0 THEN locked END AS bpm, CASE WHEN locked > 0 THEN round(clock, 3) END AS clock FROM f WHERE n > 0""")
+def _(spark, sf):
+    e, u = F.col("event_id"), F.col("user_id")
+    readings = sessions(spark, sf).select(
+        "session", "t", F.when(e % 9 > 0, 120.0 + e % 4).alias("bpm"), (e % 20 / 19.0).alias("confidence"), (e % 40 + 10).alias("onsets"),
+        F.when(e % 5 > 0, (F.col("t") - e % 777).cast("double")).alias("phase"), F.when(u % 3 == 0, 100.0 + u % 50).alias("prior"), F.when(e % 11 == 0, (e % 900).cast("double")).alias("grid"),
+    )
+    return over_table(readings, PhaseLock(), "session").select("session", "t", "locked", "bpm", F.round("clock", 3).alias("clock"))
+
+
 @_R.add("w12_easing", f"""WITH RECURSIVE {_numbered("value % 1 AS rise, event_id % 10 / 10.0::DOUBLE AS near")},
 f AS (SELECT session, 0::BIGINT AS n, 0::BIGINT AS t, 0::DOUBLE AS eased FROM e GROUP BY session
   UNION ALL SELECT f.session, e.n, e.t, eased + (least(1, 1.35::DOUBLE * rise) * near - eased) * CASE WHEN e.n = 1 THEN 1 ELSE least(1, (e.t - f.t) / 30000000.0::DOUBLE) END FROM f JOIN e ON e.session = f.session AND e.n = f.n + 1)

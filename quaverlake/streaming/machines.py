@@ -8,6 +8,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 NEVER = -(10**15)
+# Shares by which the means of level and treble (fast, slow) and of bass follow a sample.
+FAST, SLOW, BASS = 0.30, 0.02, 0.06
+# A kick's least bass and rise, its strength for a rise, and what is left of it at the next sample.
+KICK_BASS, KICK_RISE, KICK_GAIN, KICK_KEPT = 0.22, 0.045, 4.5, 0.66
+# Treble over its mean, bass and level between which a build-up grows, and by how much it grows and falls.
+BUILD_RISE, BUILD_BASS, BUILD_LEVEL, BUILD_UP, BUILD_DOWN = 0.02, 0.42, 0.06, 0.016, 0.02
+# A drop's least bass and rise, and the build-up or the level over its mean that it needs.
+DROP_BASS, DROP_RISE, DROP_BUILD, DROP_LEVEL = 0.38, 0.11, 0.40, 1.7
+# The tempos that count as a prior.
+MIN_PRIOR, MAX_PRIOR = 60, 200
 
 
 class Machine:
@@ -83,16 +93,16 @@ class Envelope(Machine):
     def step(self, state, row):
         mean, fast, slow, tfast, tslow, kick, build, kicked, dropped = state
         t, bass, treble, level = row
-        fast, slow = fast + 0.30 * (level - fast), slow + 0.02 * (level - slow)
-        tfast, tslow = tfast + 0.30 * (treble - tfast), tslow + 0.02 * (treble - tslow)
-        mean += 0.06 * (bass - mean)
+        fast, slow = fast + FAST * (level - fast), slow + SLOW * (level - slow)
+        tfast, tslow = tfast + FAST * (treble - tfast), tslow + SLOW * (treble - tslow)
+        mean += BASS * (bass - mean)
         rise, hit = bass - mean, 0.0
-        if bass > 0.22 and rise > 0.045 and t - kicked > self.kick_gap:
-            hit, kicked = min(1.0, 4.5 * rise), t
-        kick = max(0.66 * kick, hit)
-        rising = tfast > tslow + 0.02 and bass < 0.42 and fast > 0.06
-        build = shown = min(1.0, build + 0.016) if rising else max(0.0, build - 0.02)
-        drop = bass > 0.38 and rise > 0.11 and (build > 0.40 or fast > 1.7 * slow) and t - dropped > self.drop_gap
+        if bass > KICK_BASS and rise > KICK_RISE and t - kicked > self.kick_gap:
+            hit, kicked = min(1.0, KICK_GAIN * rise), t
+        kick = max(KICK_KEPT * kick, hit)
+        rising = tfast > tslow + BUILD_RISE and bass < BUILD_BASS and fast > BUILD_LEVEL
+        build = shown = min(1.0, build + BUILD_UP) if rising else max(0.0, build - BUILD_DOWN)
+        drop = bass > DROP_BASS and rise > DROP_RISE and (build > DROP_BUILD or fast > DROP_LEVEL * slow) and t - dropped > self.drop_gap
         if drop:
             dropped, build = t, 0.0
         return (mean, fast, slow, tfast, tslow, kick, build, kicked, dropped), [(t, kick, shown, drop)]
@@ -116,7 +126,7 @@ class TempoLock(Machine):
     def step(self, state, row):
         locked, last = state
         t, bpm, confidence, count, prior = (*row, None)[:5]
-        if prior is not None and 60 <= prior <= 200:
+        if prior is not None and MIN_PRIOR <= prior <= MAX_PRIOR:
             return (float(prior), last), [(t, True, float(prior))]
         sure = confidence is not None and bpm is not None and confidence >= self.engage
         if sure and last > 0 and abs(bpm - last) / last <= self.agree and count >= self.onsets:
@@ -132,6 +142,44 @@ class PriorTempoLock(TempoLock):
     reads = (*TempoLock.reads, "prior")
 
 
+@dataclass(frozen=True)
+class PhaseLock(TempoLock):
+    """As PriorTempoLock, with the beat clock: ms since the last beat, which runs on between samples while a tempo is held.
+
+    A new lock sets the clock by the reading's phase (the time of a beat). With a prior the period stays and only the phase
+    is followed: by the item's measured grid (ms since its last beat), or else by a reading's phase that is sure enough.
+    """
+
+    reads = ("t", "bpm", "confidence", "onsets", "phase", "prior", "grid")
+    gives = "t long, locked boolean, bpm double, clock double"
+    state = "locked double, last double, clock double, at long"
+
+    def start(self):
+        return (0.0, 0.0, 0.0, 0)
+
+    def step(self, state, row):
+        locked, last, clock, at = state
+        t, bpm, confidence, count, phase, prior, grid = row
+        clock = (clock + t - at) % (60_000 / locked) if locked > 0 else 0.0
+        if prior is not None and MIN_PRIOR <= prior <= MAX_PRIOR:
+            locked, period = float(prior), 60_000 / prior
+            if grid is not None:
+                clock = grid % period
+            elif phase is not None and confidence is not None and confidence >= self.release:
+                clock = (t - phase) % period
+            else:
+                clock %= period
+        else:
+            sure = confidence is not None and bpm is not None and confidence >= self.engage
+            if sure and last > 0 and abs(bpm - last) / last <= self.agree and count >= self.onsets:
+                locked = bpm
+                clock = (t - phase) % (60_000 / bpm) if phase is not None else clock
+            elif bpm is None or confidence is None or confidence < self.release:
+                locked = 0.0
+            last = bpm if sure else 0.0
+        return (locked, last, clock, t), [(t, locked > 0, locked or None, clock if locked > 0 else None)]
+
+
 @dataclass(frozen=True)
 class Easing(Machine):
     """Follows rise times imminence with a time constant of 260 ms."""

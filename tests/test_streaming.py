@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaverlake import sources
-from quaverlake.streaming import Changes, Easing, Envelope, PriorTempoLock, RecordSlot, Recorder, TempoLock, over_stream, over_table
+from quaverlake.streaming import Changes, Easing, Envelope, PhaseLock, PriorTempoLock, RecordSlot, Recorder, TempoLock, over_stream, over_table
 
 
 def samples(spark):
@@ -54,6 +54,19 @@ def test_tempo_lock_prior():
     assert [x[1:] for x in fold(PriorTempoLock(), rows)] == [(True, 138.0), (True, 138.0), (True, 138.0), (True, 174.0), (False, None)]
 
 
+def test_phase_follows_a_drift():
+    """Beats of a prior's tempo that is 2 % off: the clock is never more than a twentieth of a beat away from them at a reading."""
+    period, real = 60_000 / 120, 60_000 / 120 * 1.02
+    off = []
+    for t in range(0, 60_000, 1000):
+        beat = t // real * real
+        off.append((t, None, 0.5, 0, beat, 120.0, None))
+    clocks = [x[3] for x in fold(PhaseLock(), off)]
+    assert max(abs((c - (r[0] - r[4]) + period / 2) % period - period / 2) for c, r in zip(clocks, off)) < period / 20
+    held = fold(PhaseLock(), [(0, 120.0, 0.7, 30, -100.0, None, None), (1000, 120.0, 0.7, 30, 900.0, None, None), (1300, None, 0.5, 0, None, 100.0, None), (1500, None, 0.1, 0, None, 100.0, 55.0), (1600, None, 0.1, 0, None, None, None)])
+    assert [x[1:] for x in held] == [(False, None, None), (True, 120.0, 100.0), (True, 100.0, 400.0), (True, 100.0, 55.0), (False, None, None)]
+
+
 def test_files(spark, tmp_path):
     x = np.linspace(-0.5, 0.5, 100)
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
