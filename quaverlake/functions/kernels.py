@@ -66,38 +66,41 @@ def onset_envelope(x: np.ndarray, rate: int) -> np.ndarray:
 
 
 def period(envelope: np.ndarray, fps: float) -> tuple[float, float] | None:
-    """(frames a beat, confidence): autocorrelation over the overlap, weighted towards a likely tempo."""
-    e = envelope - envelope.mean() if len(envelope) else envelope
-    power = float((e * e).mean()) if len(e) else 0.0
-    lags = np.arange(max(1, int(fps * 60 / MAX_BPM)), min(len(e) // 2, int(np.ceil(fps * 60 / MIN_BPM))) + 1)
-    if power <= 0 or not len(lags):
-        return None
-    r = np.array([float((e[:-k] * e[k:]).mean()) / power for k in lags])
-    w = np.exp(-0.5 * np.log2(60 * fps / lags / LIKELY_BPM) ** 2)
-    k = int(np.argmax(r * w))
-    if r[k] <= 0:
+    """(frames a beat, confidence): autocorrelation over the overlap, weighted towards a likely tempo; the shortest of equal ones.
+
+    None for envelopes shorter than twice the longest beat, and for silence.
+    """
+    e = np.asarray(envelope, float)
+    most = int(np.ceil(fps * 60 / MIN_BPM))
+    energy = float((e * e).sum())
+    if len(e) < 2 * most or energy <= 1e-9:
         return None
-    shift = 0.0
-    if 0 < k < len(lags) - 1 and (bend := r[k - 1] - 2 * r[k] + r[k + 1]) < 0:
-        shift = 0.5 * (r[k - 1] - r[k + 1]) / bend
-    return float(lags[k] + shift), float(min(1.0, r[k]))
+    lags = np.arange(max(2, int(fps * 60 / MAX_BPM)), min(most, len(e) - 1) + 1)
+    r = np.array([float((e[:-k] * e[k:]).mean()) for k in lags]) * len(e) / energy
+    k = int(np.argmax(r * np.exp(-0.5 * np.log2(60 * fps / lags / LIKELY_BPM) ** 2)))
+    return float(lags[k]), float(np.clip(r[k], 0.0, 1.0))
 
 
 def beat_grid(envelope: np.ndarray, beat: float) -> list[int]:
-    """Dynamic program over frames: strong onsets, even spacing."""
-    lo, hi = max(1, int(beat / 2)), max(2, int(2 * beat))
-    gaps = np.arange(lo, hi + 1)
+    """Dynamic program over frames: strong onsets, even spacing. No beats under two frames a beat.
+
+    Each frame follows its best predecessor between half and twice a beat before it, the earliest of equal ones; only frames
+    without any begin a chain. The chain ends at the best frame of the last two beats, the last of equal ones.
+    """
+    if beat < 2:
+        return []
+    lo, hi = max(1, int(beat / 2 + 0.5)), int(2 * beat + 0.5)
+    gaps = np.arange(hi, lo - 1, -1)
     cost = -TIGHT * np.log(gaps / beat) ** 2
-    score, back = envelope.astype(float).copy(), np.full(len(envelope), -1)
-    for t in range(lo, len(envelope)):
-        g = gaps[gaps <= t]
-        options = score[t - g] + cost[: len(g)]
+    score, back = np.asarray(envelope, float).copy(), np.full(len(envelope), -1)
+    for t in range(lo, len(score)):
+        own = slice(max(0, hi - t), None)
+        options = score[t - gaps[own]] + cost[own]
         k = int(np.argmax(options))
-        if options[k] > 0:
-            score[t] += options[k]
-            back[t] = t - g[k]
-    tail = max(0, len(score) - int(2 * beat))
-    at, out = tail + int(np.argmax(score[tail:])), []
+        score[t] += options[k]
+        back[t] = t - gaps[own][k]
+    tail = score[-hi:]
+    at, out = len(score) - 1 - int(np.argmax(tail[::-1])) if len(score) else -1, []
     while at >= 0:
         out.append(int(at))
         at = back[at]
@@ -156,10 +159,13 @@ def novelty(frames: np.ndarray) -> np.ndarray:
 
 
 def peaks(curve: np.ndarray, gap: int, sigma: float = 1.0, floor: float = 0.0) -> list[int]:
-    """Local maxima over mean + sigma deviations (and `floor`), the strongest first, none within `gap` of a stronger one."""
-    least = max(curve.mean() + sigma * curve.std(), floor) if len(curve) else 0.0
-    left, right = np.concatenate(([-np.inf], curve[:-1])), np.concatenate((curve[1:], [-np.inf]))
-    found = np.flatnonzero((curve > least) & (curve >= left) & (curve > right))
+    """Places, but the first and the last, that are over mean + sigma deviations (and `floor`), no lower than the one before and
+    higher than the one behind; the strongest first, none within `gap` of a stronger one."""
+    if len(curve) < 3:
+        return []
+    least = max(curve.mean() + sigma * curve.std(), floor)
+    inner = curve[1:-1]
+    found = 1 + np.flatnonzero((inner > least) & (inner >= curve[:-2]) & (inner > curve[2:]))
     kept: list[int] = []
     for i in found[np.argsort(-curve[found], kind="stable")]:
         if all(abs(int(i) - j) >= gap for j in kept):

@@ -253,8 +253,10 @@ def warped(rows: DataFrame, by: str, row: str, costs: str) -> DataFrame:
 def cluster(vectors: np.ndarray, seconds: np.ndarray, floor: float = 0.55, most: int = 6, shortest: float = 3.0, target: int | None = None) -> list[int]:
     """Agglomerative clusters by cosine of centroids, numbered by first appearance.
 
-    Merging stops below `floor` once at most `most` are left, or at `target`; clusters under `shortest` seconds join the nearest.
+    Merging stops below `floor` once at most `most` are left, or at `target` (from 1 to `most`); clusters under `shortest` seconds
+    join the nearest, of equally near ones the last.
     """
+    target = None if target is None else min(max(target, 1), most)
     unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) > 0 else v
     groups: list = [([i], unit(v), float(s)) for i, (v, s) in enumerate(zip(vectors, seconds))]
     alive, centres = np.ones(len(groups), bool), np.stack([unit(g[1]) for g in groups])
@@ -284,7 +286,7 @@ def cluster(vectors: np.ndarray, seconds: np.ndarray, floor: float = 0.55, most:
         k = min(np.flatnonzero(alive), key=lambda g: groups[g][2])
         others = np.where(alive, centres @ centres[k], -np.inf)
         others[k] = -np.inf
-        i = int(others.argmax())
+        i = len(others) - 1 - int(others[::-1].argmax())
         join(min(i, int(k)), max(i, int(k)))
     label = {}
     for number, g in enumerate(sorted((g for g in groups if g), key=lambda g: min(g[0]))):

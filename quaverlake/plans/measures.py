@@ -73,12 +73,11 @@ def _(spark, sf):
     return rows.select("vec_id", F.col("place").cast("long").alias("place"), *[F.round(f"w.{c}", 6).alias(c) for c in ("level", "bass", "treble")])
 
 
-@_R.add("s5_period", """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
-e AS (SELECT vec_id, i, abs(v) - avg(abs(v)) OVER (PARTITION BY vec_id) AS e FROM x), q AS (SELECT vec_id, avg(e * e) AS q FROM e GROUP BY vec_id),
-r AS (SELECT a.vec_id, b.i - a.i AS k, avg(a.e * b.e) / any_value(q) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i - a.i BETWEEN 6 AND 20 JOIN q ON q.vec_id = a.vec_id GROUP BY ALL),
-n AS (SELECT *, lag(r) OVER w AS a, lead(r) OVER w AS b FROM r WINDOW w AS (PARTITION BY vec_id ORDER BY k)),
-o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY r * exp(-0.5::DOUBLE * pow(log2(10.0::DOUBLE / k), 2)) DESC, k) = 1)
-SELECT vec_id, CASE WHEN r > 0 THEN round(k + CASE WHEN a - 2 * r + b < 0 THEN 0.5::DOUBLE * (a - b) / (a - 2 * r + b) ELSE 0 END, 6) END AS frames, CASE WHEN r > 0 THEN round(least(1, r), 6) END AS confidence FROM o""")
+@_R.add("s5_period", """WITH x AS (SELECT vec_id, abs(unnest(embedding))::DOUBLE AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+q AS (SELECT vec_id, sum(e * e) AS energy, count(*) AS n FROM x GROUP BY vec_id),
+r AS (SELECT a.vec_id, b.i - a.i AS k, sum(a.e * b.e) / count(*) * any_value(n) / any_value(energy) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.i - a.i BETWEEN 6 AND 20 JOIN q ON q.vec_id = a.vec_id WHERE energy > 1e-9 AND n >= 40 GROUP BY ALL),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY r * exp(-0.5::DOUBLE * pow(log2(60 * 20.0::DOUBLE / k / 120), 2)) DESC, k) = 1)
+SELECT q.vec_id, k::DOUBLE AS frames, round(least(1, greatest(0, r)), 6) AS confidence FROM q LEFT JOIN o USING (vec_id)""")
 def _(spark, sf):
     """Vectors as envelopes of 20 frames a second."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", F.abs).alias("e"))
@@ -87,10 +86,10 @@ def _(spark, sf):
 
 @_R.add("s6_beat_grid", """WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding, lambda v: abs(v)::DOUBLE) AS e FROM embeddings),
 f AS (SELECT vec_id, e, 0::BIGINT AS t, []::DOUBLE[] AS s, []::BIGINT[] AS b FROM x
-  UNION ALL SELECT vec_id, e, t + 1, list_append(s, e[t + 1] + CASE WHEN o[k] > 0 THEN o[k] ELSE 0 END), list_append(b, CASE WHEN o[k] > 0 THEN t - k - 2 ELSE -1 END)
-  FROM (SELECT *, list_position(o, list_max(o)) AS k FROM (SELECT *, list_transform(range(3, least(t, 12) + 1), lambda g: s[t - g + 1] - 400 * pow(ln(g / 6.0::DOUBLE), 2)) AS o FROM f WHERE t < len(e)))),
-l AS (SELECT vec_id, b, len(s) - 12 AS tail, s[len(s) - 11:] AS z FROM f WHERE t = len(e)),
-w AS (SELECT vec_id, b, tail + list_position(z, list_max(z)) - 1 AS place FROM l UNION ALL SELECT vec_id, b, b[place + 1] FROM w WHERE place >= 0)
+  UNION ALL SELECT vec_id, e, t + 1, list_append(s, e[t + 1] + coalesce(o[k], 0)), list_append(b, coalesce(p[k], -1))
+  FROM (SELECT *, list_position(o, list_max(o)) AS k FROM (SELECT *, list_transform(p, lambda j: s[j + 1] - 400 * pow(ln((t - j) / 6.0::DOUBLE), 2)) AS o FROM (SELECT *, range(greatest(0, t - 12), t - 2) AS p FROM f WHERE t < len(e))))),
+l AS (SELECT vec_id, b, len(s) - 1 AS last, list_reverse(s[len(s) - 11:]) AS z FROM f WHERE t = len(e)),
+w AS (SELECT vec_id, b, last + 1 - list_position(z, list_max(z)) AS place FROM l UNION ALL SELECT vec_id, b, b[place + 1] FROM w WHERE place >= 0)
 SELECT vec_id, string_agg(place::VARCHAR, ',' ORDER BY place) AS beats FROM w WHERE place >= 0 GROUP BY vec_id""")
 def _(spark, sf):
     """Vectors as envelopes in which a beat takes six frames."""
@@ -110,7 +109,7 @@ def _(spark, sf):
 
 
 @_R.add("s11_peaks", """WITH RECURSIVE x AS (SELECT vec_id, abs(unnest(embedding))::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
-n AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) + stddev_pop(v) OVER (PARTITION BY vec_id) AS least, coalesce(lag(v) OVER w, -1) AS a, coalesce(lead(v) OVER w, -1) AS b FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+n AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) + stddev_pop(v) OVER (PARTITION BY vec_id) AS least, lag(v) OVER w AS a, lead(v) OVER w AS b FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 c AS (SELECT vec_id, coalesce(list(i ORDER BY v DESC, i) FILTER (v > least AND v >= a AND v > b), []) AS c FROM n GROUP BY vec_id),
 f AS (SELECT vec_id, []::BIGINT[] AS kept, c FROM c UNION ALL SELECT vec_id, list_append(kept, c[1]), list_filter(c, lambda y: abs(y - c[1]) >= 6) FROM f WHERE len(c) > 0)
 SELECT vec_id, array_to_string(list_sort(kept), ',') AS places FROM f WHERE len(c) = 0""")

@@ -274,7 +274,7 @@ def test_tempo_refuses():
 
 
 def estimate(times, prior=None):
-    """As tempo.js: (period, score, phase) or None."""
+    """In a plain loop: (period, score, phase) or None."""
     times = sorted(times)
     if len(times) < 8:
         return None
