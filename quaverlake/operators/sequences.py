@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,29 +117,73 @@ def _diagonals(n: int, m: int):
         yield i, total - i
 
 
-def align(similarity: np.ndarray, least: float = MATCH_LEAST, gap: float = GAP) -> list[int]:
-    """Global alignment: for each row its column or -1. Ties prefer the diagonal, then up, then left."""
-    n, m = similarity.shape
-    best = np.zeros((n + 1, m + 1))
-    best[:, 0], best[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
-    move = np.zeros((n + 1, m + 1), np.int8)
-    move[1:, 0], move[0, 1:] = 1, 2
-    for i, j in _diagonals(n, m):
-        choice = np.stack((best[i - 1, j - 1] + similarity[i - 1, j - 1] - least, best[i - 1, j] + gap, best[i, j - 1] + gap))
-        move[i, j], best[i, j] = choice.argmax(0), choice.max(0)
+#: Similarities and penalties of alignments are whole numbers of this share, so that ties are ties.
+UNIT = 10**9
+
+
+def _aligned(n: int, m: int, similar: Callable[[int], np.ndarray], least: float, gap: float) -> list[int]:
+    """For each of n rows its column, or -1. similar(i): what a row has in common with each column, in UNIT.
+
+    Only every k-th row of sums is kept, for k * k about n; on the way back the rows between two of them are made again with
+    their moves, so memory is n^(1/2) * m numbers and not n * m.
+    """
+    low, step = int(round(least * UNIT)), int(round(gap * UNIT))
+    edge = np.arange(m + 1, dtype=np.int64) * step
+
+    def after(best: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = similar(i)
+        diagonal, up = best[:-1] + own - low, best[1:] + step
+        other = np.concatenate(([best[0] + step], np.maximum(diagonal, up)))
+        return np.maximum.accumulate(other - edge) + edge, diagonal, up  # steps to the left from the best cell before
+
+    each = max(1, int(np.sqrt(n)))
+    kept, best = [edge], edge
+    for i in range(n):
+        best = after(best, i)[0]
+        if (i + 1) % each == 0:
+            kept.append(best)
     out, i, j = [-1] * n, n, m
     while i and j:
-        step = move[i, j]
-        if step == 0:
-            i, j = i - 1, j - 1
-            out[i] = j if similarity[i, j] >= least else -1
-        elif step == 1:
-            i -= 1
-        else:
-            j -= 1
+        first = (i - 1) // each * each
+        best, moves = kept[first // each], []
+        for r in range(first, i):
+            best, diagonal, up = after(best, r)
+            left = best[:-1] + step
+            moves.append(np.where((diagonal >= up) & (diagonal >= left), 0, np.where(up >= left, 1, 2)).astype(np.int8))
+        while i > first and j:
+            move = moves[i - 1 - first][j - 1]
+            if move != 1:
+                j -= 1
+            if move != 2:
+                i -= 1
+            if move == 0 and similar(i)[j] >= low:
+                out[i] = j
     return out
 
 
+def align(similarity: np.ndarray, least: float = MATCH_LEAST, gap: float = GAP) -> list[int]:
+    """Global alignment: for each row its column or -1. Ties prefer the diagonal, then up, then left."""
+    return _aligned(*similarity.shape, lambda i: np.floor(similarity[i] * UNIT).astype(np.int64), least, gap)
+
+
+def align_tokens(rows: list, columns: list, least: float = MATCH_LEAST, gap: float = GAP) -> list[int]:
+    """align() of lists of tokens by what their sets share, over the larger set's size; no matrix of that is made."""
+    found: dict[str, list[int]] = {}
+    for j, c in enumerate(columns):
+        for t in set(c):
+            found.setdefault(t, []).append(j)
+    places = {t: np.array(p) for t, p in found.items()}
+    sizes = np.array([len(set(c)) for c in columns], np.int64)
+
+    def similar(i: int) -> np.ndarray:
+        own = set(rows[i])
+        met = [places[t] for t in own if t in places]
+        shared = np.bincount(np.concatenate(met), minlength=len(columns)) if met else np.zeros(len(columns), np.int64)
+        return np.floor(shared / np.maximum(np.maximum(sizes, len(own)), 1) * UNIT).astype(np.int64)
+
+    return _aligned(len(rows), len(columns), similar, least, gap)
+
+
 def interpolate(times: list[int | None], duration: int, step: int = LINE_MS) -> list[int]:
     """Times of all lines from those of the anchored ones: even steps between, fixed steps before, an even tail; strictly rising."""
     n, known = len(times), [i for i, t in enumerate(times) if t is not None]
@@ -164,16 +210,14 @@ def interpolate(times: list[int | None], duration: int, step: int = LINE_MS) ->
 def align_lines(lines: DataFrame, cues: DataFrame, by: str, duration_ms: int = 0) -> DataFrame:
     """lines (by, line_no, tokens), cues (by, cue_no, time_ms, tokens) -> (by, line_no, cue_no or -1, time_ms, coverage).
 
-    One text per task at a time: the dynamic program needs a text's lines together, at most lines x cues numbers.
+    A text is a group: its lines and cues, and cues x the root of lines numbers (a text of 100,000 lines and cues: 250 MB).
     """
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("line_no"), b.sort_values("cue_no")
         names = [by, "line_no", "cue_no", "time_ms", "coverage"]
         if not len(a):
             return pd.DataFrame(columns=names).astype({by: "int64", "line_no": "int64", "cue_no": "int64", "time_ms": "int64", "coverage": "float64"})
-        x, y = [set(t) for t in a["tokens"]], [set(t) for t in b["tokens"]]
-        sim = np.array([[len(p & q) / max(len(p), len(q)) if p and q else 0.0 for q in y] for p in x]).reshape(len(x), len(y))
-        hit = align(sim)
+        hit = align_tokens(a["tokens"].to_list(), b["tokens"].to_list())
         times = [None if h < 0 else int(b["time_ms"].iloc[h]) for h in hit]
         return pd.DataFrame({by: a[by], "line_no": a["line_no"], "cue_no": [-1 if h < 0 else int(b["cue_no"].iloc[h]) for h in hit], "time_ms": interpolate(times, duration_ms), "coverage": sum(h >= 0 for h in hit) / len(hit)})[names]
 

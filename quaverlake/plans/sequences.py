@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.clock import millis
 from ..operators import sequences as S
 from .registry import Registry, table
-from .texts import _norm
+from .texts import _norm, _tokens
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -140,7 +140,24 @@ def _(spark, sf):
     return g.groupBy("user_id", F.col("g").alias("word_no")).agg(F.trim(F.array_join(F.transform(parts, lambda x: x["piece"]), "")).alias("word"), F.count("*").alias("pieces"))
 
 
-@_R.add("j16_align_lines")
+@_R.add("j16_align_lines", f"""WITH RECURSIVE x AS (SELECT conv_id, turn, list_distinct({_tokens('text')}) AS lw, list_distinct({_tokens("text || ' la la'")}) AS hw FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, turn, lw AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM x),
+h AS (SELECT conv_id, turn, hw AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM x WHERE turn % 3 <> 1),
+s AS (SELECT l.conv_id, l.r AS i, h.r AS j, CASE WHEN len(l.w) > 0 AND len(h.w) > 0 THEN floor(len(list_intersect(l.w, h.w)) / greatest(len(l.w), len(h.w)) * 1000000000)::BIGINT ELSE 0 END AS s FROM l JOIN h USING (conv_id)),
+r AS (SELECT conv_id, i, list(s ORDER BY j) AS s FROM s GROUP BY ALL), k AS (SELECT conv_id AS item, list(s ORDER BY i) AS c, count(*) AS n, max(len(s)) AS m FROM r GROUP BY conv_id),
+d AS (SELECT item, 1::BIGINT AS t, list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 0 END)::BIGINT[] AS older, list_transform(range(n + 1), lambda i: CASE WHEN i <= 1 THEN -450000000 END)::BIGINT[] AS old, []::INTEGER[] AS move, c, n, m FROM k
+  UNION ALL SELECT item, t + 1, old, list_transform(range(n + 1), lambda i: CASE WHEN t + 1 < i OR t + 1 - i > m THEN NULL WHEN i = 0 OR t + 1 = i THEN (t + 1) * -450000000 ELSE greatest(older[i] + c[i][t + 1 - i] - 340000000, old[i] - 450000000, old[i + 1] - 450000000) END),
+    list_transform(range(n + 1), lambda i: CASE WHEN i = 0 OR t + 1 <= i OR t + 1 - i > m THEN NULL WHEN older[i] + c[i][t + 1 - i] - 340000000 >= greatest(old[i], old[i + 1]) - 450000000 THEN 0 WHEN old[i] >= old[i + 1] THEN 1 ELSE 2 END), c, n, m FROM d WHERE t < n + m),
+b AS (SELECT item, n::BIGINT AS i, m::BIGINT AS j FROM k
+  UNION ALL SELECT b.item, i - CASE WHEN move[i + 1] <> 2 THEN 1 ELSE 0 END, j - CASE WHEN move[i + 1] <> 1 THEN 1 ELSE 0 END FROM b JOIN d ON d.item = b.item AND d.t = i + j WHERE i > 0 AND j > 0),
+a AS (SELECT b.item, i, j FROM b JOIN d ON d.item = b.item AND d.t = i + j WHERE i > 0 AND j > 0 AND move[i + 1] = 0 AND c[i][j] >= 340000000),
+f AS (SELECT l.conv_id, l.turn, l.r, h.turn AS cue, h.turn * 4000 AS t, CASE WHEN h.turn IS NOT NULL THEN l.r END AS hr, count(*) OVER w AS n, count(h.turn) OVER w AS hits
+  FROM l LEFT JOIN a ON a.item = l.conv_id AND a.i = l.r LEFT JOIN h ON h.conv_id = a.item AND h.r = a.j WINDOW w AS (PARTITION BY l.conv_id)),
+g AS (SELECT *, max(hr) OVER b AS pr, max(t) OVER b AS pt, min(hr) OVER e AS nr, min(t) OVER e AS nt FROM f
+  WINDOW b AS (PARTITION BY conv_id ORDER BY r ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY conv_id ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+o AS (SELECT *, CASE WHEN hits = 0 THEN floor(60000 / (n + 1) * r + 0.5) WHEN t IS NOT NULL THEN t WHEN pr IS NULL THEN greatest(0, nt - (nr - r) * 2600)
+  WHEN nr IS NULL THEN pt + floor((CASE WHEN 60000 > pt THEN 60000 ELSE pt + (n - pr) * 2600 END - pt) / (n - pr + 1) * (r - pr) + 0.5) ELSE pt + floor((nt - pt) / (nr - pr) * (r - pr) + 0.5) END AS raw FROM g)
+SELECT conv_id, turn AS line_no, coalesce(cue, -1) AS cue_no, (r + max(greatest(raw, 0) - r) OVER (PARTITION BY conv_id ORDER BY r ROWS UNBOUNDED PRECEDING))::BIGINT AS time_ms, hits / n AS coverage FROM o""")
 def _(spark, sf):
     c = table(spark, sf, "conversations").where("conv_id is not null")
     lines = c.select("conv_id", F.col("turn").alias("line_no"), T.tokens(F.col("text")).alias("tokens"))

@@ -173,6 +173,43 @@ def test_smooth_runs(spark):
         assert [r["smoothed"] for r in sequences.smooth_runs(df, "k", ["i"], "v", 2).orderBy("i").collect()] == want
 
 
+def plain_alignment(sim, least=340_000_000, gap=-450_000_000):
+    n, m = len(sim), len(sim[0]) if len(sim) else 0
+    best = [[(i + j) * gap if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            best[i][j] = max(best[i - 1][j - 1] + sim[i - 1][j - 1] - least, best[i - 1][j] + gap, best[i][j - 1] + gap)
+    out, i, j = [-1] * n, n, m
+    while i and j:
+        if best[i][j] == best[i - 1][j - 1] + sim[i - 1][j - 1] - least:
+            i, j = i - 1, j - 1
+            out[i] = j if sim[i][j] >= least else -1
+        elif best[i][j] == best[i - 1][j] + gap:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_alignment_keeps_few_rows():
+    """Texts with many ties, in any shape, against the whole matrix; and a long one in bounded memory."""
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    for n, m in ((1, 1), (1, 9), (9, 1), (30, 40), (57, 23), (100, 101)):
+        x, y = ([[r.choice("abcdef") for _ in range(r.randint(0, 4))] for _ in range(k)] for k in (n, m))
+        sim = [[int(len(set(p) & set(q)) / max(len(set(p)), len(set(q)), 1) * 10**9) for q in y] for p in x]
+        assert sequences.align_tokens(x, y) == plain_alignment(sim)
+    assert sequences.align_tokens([["a"]] * 3, []) == [-1] * 3 and sequences.align_tokens([], [["a"]]) == []
+    lines = [[f"w{r.randint(0, 5000)}" for _ in range(6)] for _ in range(4000)]
+    tracemalloc.start()
+    got = sequences.align_tokens(lines, [t for k, t in enumerate(lines) if k % 3])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(h >= 0 for h in got) > 2600 and peak < 20e6  # the whole matrix has 11 million cells
+
+
 def test_alignment():
     sim = np.array([[1.0, 0.0], [0.0, 0.1], [0.0, 1.0]])
     assert sequences.align(sim) == [0, -1, 1]
