@@ -44,17 +44,50 @@ def cut_arrays(df: DataFrame, key: str, samples: str, rate: Column | int, chunk:
 
 # --- what chunks tell each other
 
-def scan(df: DataFrame, key: str, order: str, a: str, b: str, start: float = 0.0) -> DataFrame:
-    """df plus `carry`: the maps y -> a * y + b of all rows of the key before a row, in order, applied to `start`."""
-    w = Window.partitionBy(key).orderBy(order)
-    most = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+def _composed(df: DataFrame, by: list[str], order: str, a: str, b: str) -> DataFrame:
+    """df plus __a and __b: the map of all rows of a group up to a row, by doubling."""
+    w = Window.partitionBy(*by).orderBy(order)
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     now = df.withColumns({"__a": F.col(a), "__b": F.col(b)})
     for k in range(int(most).bit_length()):
         back = 1 << k
         now = now.withColumns({"__p": F.lag("__a", back, 1.0).over(w), "__q": F.lag("__b", back, 0.0).over(w)})
         now = now.withColumns({"__b": F.col("__a") * F.col("__q") + F.col("__b"), "__a": F.col("__a") * F.col("__p")})
+    return now.drop("__p", "__q")
+
+
+def scan(df: DataFrame, key: str, order: str, a: str, b: str, start: float = 0.0) -> DataFrame:
+    """df plus `carry`: the maps y -> a * y + b of all rows of the key before a row, in order, applied to `start`."""
+    w = Window.partitionBy(key).orderBy(order)
+    now = _composed(df, [key], order, a, b)
     now = now.withColumn("carry", F.lag("__a", 1, 1.0).over(w) * start + F.lag("__b", 1, 0.0).over(w))
-    return now.drop("__a", "__b", "__p", "__q")
+    return now.drop("__a", "__b")
+
+
+def scan_rows(df: DataFrame, key: str, block: str, order: str, a: str, b: str, start: float = 0.0) -> DataFrame:
+    """df plus `value`: the maps of all rows of the key up to a row, applied to `start`. Blocks rise with the order, which is
+    unique in them; a task holds a block, or a key's blocks by one small row each."""
+    inner = _composed(df, [key, block], order, a, b)
+    ends = inner.groupBy(key, block).agg(F.max_by(F.struct("__a", "__b"), order).alias("e")).select(key, block, F.col("e.__a").alias("a"), F.col("e.__b").alias("b"))
+    carries = scan(ends, key, block, "a", "b", start).select(F.col(key).alias("__key"), F.col(block).alias("__block"), "carry")
+    rows = inner.join(carries, F.col(key).eqNullSafe(F.col("__key")) & (F.col(block) == F.col("__block")))
+    return rows.withColumn("value", F.col("__a") * F.col("carry") + F.col("__b")).drop("__a", "__b", "__key", "__block", "carry")
+
+
+def eased(rows: DataFrame, key: str, constant_ms: float = 260.0, block_ms: int = 600_000) -> DataFrame:
+    """rows (key, t in ms, rise, imminence) -> (key, t, eased): rise times imminence, followed with a time constant; rows of one
+    time are taken by rise and imminence. As the machine `Easing`, with a key's rows in blocks of `block_ms`."""
+    rows = rows.select(key, "t", "rise", "imminence", F.floor(F.col("t") / block_ms).alias("block"))
+    w = Window.partitionBy(key, "block").orderBy("t", "rise", "imminence")
+    rows = rows.withColumns({"n": F.row_number().over(w), "before": F.lag("t").over(w)})
+    last = rows.groupBy(key, "block").agg(F.max("t").alias("last"))
+    last = last.select(F.col(key).alias("__key"), F.col("block").alias("__block"), F.lag("last").over(Window.partitionBy(key).orderBy("block")).alias("last"))
+    rows = rows.join(last, F.col(key).eqNullSafe(F.col("__key")) & (F.col("block") == F.col("__block"))).drop("__key", "__block")
+    gap = (F.col("t") - F.coalesce("before", "last")) / constant_ms
+    share = F.when(gap.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), gap)))
+    want = F.least(F.lit(1.0), 1.35 * F.col("rise")) * F.col("imminence")
+    rows = rows.withColumns({"a": 1 - share, "b": share * want})
+    return scan_rows(rows, key, "block", "n", "a", "b").select(key, "t", F.col("value").alias("eased"))
 
 
 def places(chunks: DataFrame, key: str) -> DataFrame:

@@ -53,3 +53,36 @@ def phase(onsets: DataFrame, by: str, at: str, period_ms: float) -> DataFrame:
         F.sum(F.cos(turn)).alias("re"), F.sum(F.sin(turn)).alias("im"), F.count("*").alias("n"), F.min(at).alias("first"))
     beat = F.pmod(F.atan2("im", "re") / (2 * pi) * period_ms - F.col("first"), F.lit(float(period_ms)))
     return sums.where(F.col("n") >= LEAST_ONSETS).select(by, (F.col("first") + beat).alias("phase_ms"), (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("confidence"))
+
+
+def recorded(batches: DataFrame, by: str, order: list[str], most_s: int = 720) -> DataFrame:
+    """batches (samples, rate) plus kept, total and full: a recording takes samples of its first batch's rate, up to `most_s` seconds of them.
+
+    The machine `Recorder` as running sums: what is kept is what a clipped sum grows by.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    out = batches.withColumn("__own", F.first("rate").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    out = out.withColumn("__n", F.when(F.col("rate") == F.col("__own"), F.col("samples")).otherwise(0).cast("long"))
+    out = out.withColumn("__sum", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    most = F.col("__own") * most_s
+    out = out.withColumns({"total": F.least("__sum", most), "full": F.col("__sum") >= most, "kept": F.least("__sum", most) - F.least(F.col("__sum") - F.col("__n"), most)})
+    return out.drop("__own", "__n", "__sum")
+
+
+def record_slot(steps: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """steps (action, item) -> steps with (event, item) of what they do to the one slot of recordings: claimed, undone, kept, discarded.
+
+    The machine `RecordSlot` as a window: after a start its item holds the slot, after anything else nobody does.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    held = F.when(F.lag("action").over(w) == "start", F.lag("item").over(w))
+    starts = F.col("action") == "start"
+    told = lambda when, event, item: F.when(when, F.struct(F.lit(event).alias("event"), item.alias("item")))
+    had = F.col("__held").isNotNull()
+    new = starts & ~F.col("__held").eqNullSafe(F.col("item"))
+    every = F.array(
+        told(new & had, "undone", F.col("__held")), told(new, "claimed", F.col("item")),
+        told(~starts & had & (F.col("action") == "flush"), "kept", F.col("__held")), told(~starts & had & (F.col("action") != "flush"), "discarded", F.col("__held")),
+    )
+    out = steps.withColumn("__held", held)
+    return out.withColumn("__e", F.explode(F.array_compact(every))).withColumns({"event": F.col("__e.event"), "item": F.col("__e.item")}).drop("__held", "__e")

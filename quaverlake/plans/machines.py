@@ -1,11 +1,12 @@
-"""Queries of the state machines over tables: a user's events of one day are a session."""
+"""Queries of the state machines, and of their window forms, over tables: a user's events of one day are a session."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.clock import millis
-from ..streaming import Easing, Envelope, PhaseLock, Polls, Recorder, RecordSlot, TempoLock, over_table
+from ..operators import playback
+from ..streaming import Easing, Envelope, PhaseLock, Polls, TempoLock, over_table
 from .registry import Registry, table
 
 _R = Registry()
@@ -47,7 +48,8 @@ SELECT session, t, CASE WHEN rate = own THEN greatest(0, least(samples, most - b
   before + CASE WHEN rate = own THEN samples ELSE 0 END >= most AS "full" FROM s""")
 def _(spark, sf):
     rate = F.when(F.col("event_id") % 4 == 0, 16_000).otherwise(8000)
-    return over_table(sessions(spark, sf).select("session", "t", (F.col("event_id") % 5 * 2_000_000).alias("samples"), rate.alias("rate")), Recorder(), "session")
+    batches = sessions(spark, sf).select("session", "t", "event_id", (F.col("event_id") % 5 * 2_000_000).alias("samples"), rate.alias("rate"))
+    return playback.recorded(batches, "session", ["t", "event_id"]).select("session", "t", "kept", "total", "full")
 
 
 @_R.add("w7_envelope", f"""WITH RECURSIVE {_numbered("value % 1 AS b, (value * 7) % 1 AS z, (value * 3) % 1 AS l")},
@@ -110,4 +112,5 @@ SELECT session, t, 'claimed', item FROM h WHERE action = 'start' AND held IS DIS
 SELECT session, t, CASE action WHEN 'flush' THEN 'kept' ELSE 'discarded' END, held FROM h WHERE action <> 'start' AND held IS NOT NULL""")
 def _(spark, sf):
     action = F.expr("case event_id % 4 when 0 then 'flush' when 1 then 'stop' else 'start' end")
-    return over_table(sessions(spark, sf).select("session", "t", action.alias("action"), F.col("event_type").alias("item")), RecordSlot(), "session")
+    steps = sessions(spark, sf).select("session", "t", "event_id", action.alias("action"), F.col("event_type").alias("item"))
+    return playback.record_slot(steps, "session", ["t", "event_id"]).select("session", "t", "event", "item")

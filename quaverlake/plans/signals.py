@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.clock import millis
+from ..operators import chunks as C
 from ..operators import signal as S
-from ..streaming import Onsets, Speech, over_table
+from ..streaming import Speech, over_table
 from .registry import Registry, table
 
 _R = Registry()
@@ -27,7 +28,7 @@ f AS (SELECT user_id, 0::BIGINT AS n, 0::DOUBLE AS floor, true AS armed, false A
 SELECT user_id, count(*) FILTER (fire)::BIGINT AS onsets, coalesce(string_agg(((n - 1) * 23)::BIGINT, ',' ORDER BY n) FILTER (fire), '') AS at FROM f GROUP BY user_id""")
 def _(spark, sf):
     samples = envelope(spark, sf)
-    found = over_table(samples, Onsets(), "user_id").select("user_id", (F.col("place") * 23).alias("t"))
+    found = C.onsets(C.cut(samples, "user_id", ["t", "id"], "v", 1, 256), "user_id").select("user_id", (F.col("place") * 23).alias("t"))
     t = samples.select("user_id").distinct().join(found.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("t")), "user_id", "left")
     return t.select("user_id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("onsets"), F.coalesce(F.array_join(F.transform("t", lambda x: x.cast("string")), ","), F.lit("")).alias("at"))
 

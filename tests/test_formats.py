@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quaverlake import sources
 from quaverlake.operators import chunks as C
-from quaverlake.operators import signal
+from quaverlake.operators import playback, signal
+from quaverlake.streaming import Easing, Recorder, RecordSlot, over_table
 
 
 def recordings(spark, tmp_path, lengths, chunk, seed=1):
@@ -136,3 +137,17 @@ def test_folder_changes_across_a_restart(spark, tmp_path):
     (folder / "new.wav").write_bytes(b"")
     assert run() == [("a.mp3", 5, "changed"), ("b.OGG", 3, "removed"), ("new.wav", 0, "added")]
     assert run() == [] and len(os.listdir(tmp_path / "state")) <= 2
+
+
+def test_window_forms_are_the_machines(spark):
+    """Easing, the recorder and the record slot as windows and scans give what the machines give, in any blocks."""
+    r = np.random.default_rng(9)
+    rows = [(k, int(t), float(r.random() * 1.5), float(r.random()), int(r.integers(0, 6)), int(r.choice([8, 8, 16])), str(r.choice(["start", "start", "stop", "flush"])), str(r.choice(["a", "b", "c"]))) for k in (1, 2, None) for t in np.cumsum(r.integers(1, 300, 150))]
+    df = spark.createDataFrame(rows, "k long, t long, rise double, imminence double, samples long, rate long, action string, item string")
+    want = {(x["k"], x["t"]): x["eased"] for x in over_table(df, Easing(), "k").collect()}
+    for block in (1, 1000, 10**9):
+        got = {(x["k"], x["t"]): x["eased"] for x in C.eased(df, "k", 260.0, block).collect()}
+        assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-12
+    plain = lambda d, *c: sorted(str(tuple(x[n] for n in ("k", "t", *c))) for x in d.collect())
+    assert plain(playback.recorded(df, "k", ["t"], 20), "kept", "total", "full") == plain(over_table(df, Recorder(20), "k"), "kept", "total", "full")
+    assert plain(playback.record_slot(df, "k", ["t"]), "event", "item") == plain(over_table(df, RecordSlot(), "k"), "event", "item")
