@@ -18,17 +18,20 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", names.thumb_name("p_name").alias("thumb"))
 
 
-@_R.add("t24_containers", """SELECT p_partkey, '<b>' || p_name || '</b><div>' || p_brand || '</div>' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '|' || p_type END AS blocks FROM part""")
+@_R.add("t24_containers", """SELECT page_id, array_to_string(list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), lambda x: trim(x)), '|') AS blocks FROM pages""")
 def _(spark, sf):
-    """Every page has a nested block; every second one has another that is not closed."""
-    page = F.expr("""'<div class="head">x</div><div class="a" data-lyrics-container="true"><b>' || p_name || '</b><div>' || p_brand || '</div></div><div>no</div>'
-      || if(p_partkey % 2 = 0, '', '<div data-lyrics-container="true">' || p_type)""")
-    return table(spark, sf, "part").select("p_partkey", F.array_join(names.containers(page), "|").alias("blocks"))
+    """The articles of pages, marked as containers."""
+    page = F.replace(F.replace(F.coalesce("html", F.lit("")), F.lit("<article>"), F.lit('<div class="a" data-lyrics-container="true">')), F.lit("</article>"), F.lit("</div>"))
+    blocks = F.transform(names.containers(page), lambda x: F.trim(x))
+    return table(spark, sf, "pages").select("page_id", F.array_join(blocks, "|").alias("blocks"))
 
 
-@_R.add("s22_summary", "SELECT event_id, user_id AS beats FROM events")
+@_R.add("s22_summary", "SELECT user_id, count(*)::BIGINT AS beats, round(max(value), 6) AS loudest, min(event_id) AS first FROM events GROUP BY user_id")
 def _(spark, sf):
-    full = table(spark, sf, "events").select("event_id", F.col("user_id").alias("beats"), F.lit(20).alias("windowMs"), F.array("value").alias("level"))
+    """An analysis of each user's events, with the arrays that only a player needs."""
+    full = table(spark, sf, "events").groupBy("user_id").agg(
+        F.count("*").alias("beats"), F.round(F.max("value"), 6).alias("loudest"), F.min("event_id").alias("first"), F.lit(20).alias("windowMs"), *[F.collect_list("value").alias(n) for n in ("level", "bass", "treble", "onsets")],
+    )
     return choices.summary(full)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import palettes, wording
+from . import sequences
 from .registry import Registry, table
 
 _R = Registry()
@@ -70,8 +71,13 @@ def _(spark, sf):
     return out.select("p_partkey", F.array_join(F.transform("words", lambda w: F.concat(w["word"], F.coalesce(F.concat(F.lit("@"), w["start_ms"].cast("string")), F.lit("")))), " ").alias("words"))
 
 
-@_R.add("a28_outcome", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'already synced' WHEN doc_id % 2 = 0 AND doc_id % 5 > 0 THEN 'words added'
-  WHEN doc_id % 2 = 0 THEN 'no anchors' WHEN doc_id % 100 >= 35 THEN 'aligned' WHEN doc_id % 7 > 0 THEN 'corrected' ELSE 'heard' END AS outcome FROM documents""")
+@_R.add("a28_outcome", f"""SELECT conv_id, CASE WHEN n % 2 = 0 AND last > 55000 THEN 'already synced' WHEN n % 2 = 0 AND matched > 2 THEN 'words added' WHEN n % 2 = 0 THEN 'no anchors'
+  WHEN coverage >= 0.35 THEN 'aligned' WHEN matched < n THEN 'corrected' ELSE 'heard' END AS outcome
+FROM (SELECT conv_id, count(*) AS n, max(time_ms) AS last, count(*) FILTER (cue_no >= 0) AS matched, max(coverage) AS coverage FROM ({sequences.SQL["j16_align_lines"]}) GROUP BY conv_id)""")
 def _(spark, sf):
-    d = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", wording.outcome(d % 2 == 0, d % 3 == 0, d % 5, d % 100 / 100, d % 7).alias("outcome"))
+    """What becomes of dialogues, by how much of each could be aligned with what was heard of it."""
+    found = sequences.QUERIES["j16_align_lines"](spark, sf).groupBy("conv_id").agg(
+        F.count("*").alias("n"), F.max("time_ms").alias("last"), F.count_if(F.col("cue_no") >= 0).alias("matched"), F.max("coverage").alias("coverage"),
+    )
+    n, matched = F.col("n"), F.col("matched")
+    return found.select("conv_id", wording.outcome(n % 2 == 0, F.col("last") > 55_000, matched - 2, F.col("coverage"), n - matched).alias("outcome"))
