@@ -13,6 +13,7 @@ gives no values, and of null is a recording like any other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -220,3 +221,28 @@ def resample_nearest(chunks: DataFrame, key: str, to: int) -> DataFrame:
     """Chunks at another rate, each sample the one at or before its time."""
     count = F.floor(F.col("total") * to / F.col("sr"))
     return _resampled(chunks, key, to, count, lambda i, rate: F.get("samples", F.least(F.call_function("div", i * rate, F.lit(to).cast("long")) - F.col("start"), F.size("samples").cast("long") - 1).cast("int")).cast("double"))
+
+
+# --- windows
+
+WINDOW_MS, LOW_HZ, HIGH_HZ = 23.0, 200.0, 4000.0
+
+
+def envelopes(chunks: DataFrame, key: str, rate: int) -> DataFrame:
+    """(key, place, level, bass, treble): root mean squares of whole windows of 23 ms of a recording, of what lies under the low pole
+    and over the high one, each over the largest of all. Windows may reach over chunks; a task holds a chunk."""
+    n = max(1, round(rate * WINDOW_MS / 1000))
+    share = lambda hz: 1 - math.exp(-2 * math.pi * hz / rate)
+    parts = chunks.select(key, "chunk_no", "samples").where(F.size("samples") > 0)
+    for name, hz in (("low", LOW_HZ), ("high", HIGH_HZ)):
+        parts = _with(parts, follow(chunks, key, share(hz)).select(key, "chunk_no", F.col("samples").alias(name)), key)
+    parts = _with(parts, places(chunks, key).select(key, "chunk_no", "start"), key)
+    rows = parts.select(key, "start", F.posexplode(F.arrays_zip("samples", "low", "high")).alias("__k", "__x"))
+    square = lambda c: F.sqrt(F.avg(c * c))
+    sample = F.col("__x.samples").cast("double")
+    place = F.floor((F.col("start") + F.col("__k")) / n).alias("place")
+    found = rows.groupBy(key, place).agg(F.count("*").alias("__n"), square(sample).alias("level"), square(F.col("__x.low")).alias("bass"), square(sample - F.col("__x.high")).alias("treble"))
+    found = found.where(F.col("__n") == n)
+    top = F.max(F.greatest("level", "bass", "treble")).over(Window.partitionBy(key))
+    scaled = lambda c: F.when(F.col("top") > 0, F.col(c) / F.col("top")).otherwise(F.col(c)).alias(c)
+    return found.withColumn("top", top).select(key, "place", *map(scaled, ("level", "bass", "treble")))

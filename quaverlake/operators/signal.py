@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 ONSET, REARM, FOLLOW = 0.12, 0.048, 0.1
 SPEECH, SILENCE, SPEECH_MS, SILENCE_MS = 0.5, 0.35, 250, 100
-MIN_BPM, MAX_BPM, PREFERRED_BPM, NEARLY = 60, 200, 125, 0.85
+MIN_BPM, MAX_BPM, PREFERRED_BPM, LIKELY_BPM, NEARLY = 60, 200, 125, 120, 0.85
 PRIOR_AGREE, PRIOR_OVERRIDE = 0.04, 1.35
 BAND_EDGES = (0, 2, 4, 8, 16, 32, 72, 160, 512)
 
@@ -298,17 +298,48 @@ def envelopes(df: DataFrame, key: str, samples: str = "samples", rate: str = "ra
 
 
 def periods(df: DataFrame, key: str, envelope: str, fps: float) -> DataFrame:
-    """(key, frames, confidence) of the beat of each row's envelope; null where nothing repeats."""
-    from ..functions import kernels as K
+    """(key, frames, confidence) of the beat of each row's envelope: autocorrelation over the overlap, weighted towards 120 BPM, the
+    shortest of equal ones; null for envelopes shorter than twice the longest beat, and for silence. Inside Catalyst."""
+    most, least = math.ceil(fps * 60 / MIN_BPM), max(2, int(fps * 60 / MAX_BPM))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    e = F.transform(F.coalesce(F.col(envelope), F.array()), lambda v: v.cast("double"))
+
+    def measured(x: Column) -> Column:
+        n, energy = F.size(x), total(F.transform(x, lambda v: v * v))
 
-    return _measured(df, key, [envelope], "frames double, confidence double", lambda e: K.period(e, fps))
+        def at(k: Column) -> Column:
+            r = total(F.zip_with(F.slice(x, 1, n - k), F.slice(x, k + 1, n - k), lambda a, b: a * b)) / (n - k) * n / energy
+            weight = F.exp(-0.5 * F.pow(F.log2(60 * fps / k / LIKELY_BPM), 2))
+            return _let(r, lambda r: F.struct((r * weight).alias("s"), (-k).alias("k"), r.alias("r")))
+
+        best = F.array_max(F.transform(F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: k < n), at))
+        return F.when((n >= 2 * most) & (energy > 1e-9), best)
+
+    found = df.select(key, _let(e, measured).alias("b"))
+    return found.select(key, (-F.col("b.k")).cast("double").alias("frames"), F.when(F.col("b").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("b.r")))).alias("confidence"))
 
 
 def peaks(df: DataFrame, key: str, curve: str, gap: int, sigma: float = 1.0, floor: float = 0.0) -> DataFrame:
-    """(key, places) of the peaks of each row's curve, none within `gap` of a stronger one."""
-    from ..functions import kernels as K
+    """(key, places) of the peaks of each row's curve: over mean + sigma deviations and `floor`, no lower than the place before and
+    higher than that behind, never at an end; the strongest first, none within `gap` of a stronger one. Inside Catalyst."""
+    none = F.array().cast("array<int>")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    c = F.transform(F.coalesce(F.col(curve), F.array()), lambda v: v.cast("double"))
+
+    def found(x: Column) -> Column:
+        n = F.size(x)
+
+        def over(mean: Column) -> Column:
+            return F.greatest(mean + sigma * F.sqrt(total(F.transform(x, lambda v: (v - mean) * (v - mean))) / n), F.lit(float(floor)))
+
+        def chosen(least: Column) -> Column:
+            tops = F.filter(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: (i < n - 1) & (F.get(x, i) > least) & (F.get(x, i) >= F.get(x, i - 1)) & (F.get(x, i) > F.get(x, i + 1)))
+            strong = F.array_sort(F.transform(tops, lambda i: F.struct((-F.get(x, i)).alias("o"), i.alias("i"))))
+            return F.aggregate(strong, none, lambda kept, s: F.when(F.forall(kept, lambda j: F.abs(j - s["i"]) >= gap), F.concat(kept, F.array(s["i"]))).otherwise(kept), lambda kept: F.array_sort(kept))
+
+        return F.when(n >= 3, _let(_let(total(x) / n, over), chosen)).otherwise(none)
 
-    return _measured(df, key, [curve], "places array<int>", lambda c: (K.peaks(c, gap, sigma, floor),))
+    return df.select(key, _let(c, found).alias("places"))
 
 
 def beat_grids(df: DataFrame, key: str, envelope: str, frames: float) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import kernels as K
 from ..functions import records as R
 from ..functions import text as T
 from ..operators import lyrics, matching
+from ..operators import chunks as C
 from ..operators import signal as S
 from .matching import _clean, _sim
 from .registry import Registry, table
@@ -68,9 +69,8 @@ m AS (SELECT *, max(greatest(level, bass, treble)) OVER (PARTITION BY vec_id) AS
 SELECT vec_id, place, round(level / m, 6) AS level, round(bass / m, 6) AS bass, round(treble / m, 6) AS treble FROM m""")
 def _(spark, sf):
     """Vectors as signals of 1000 samples a second: windows of 23 samples."""
-    found = S.envelopes(table(spark, sf, "embeddings").withColumn("rate", F.lit(1000)), "vec_id", "embedding")
-    rows = found.select("vec_id", F.posexplode(F.arrays_zip("level", "bass", "treble")).alias("place", "w"))
-    return rows.select("vec_id", F.col("place").cast("long").alias("place"), *[F.round(f"w.{c}", 6).alias(c) for c in ("level", "bass", "treble")])
+    found = C.envelopes(C.cut_arrays(table(spark, sf, "embeddings"), "vec_id", "embedding", 1000, 30), "vec_id", 1000)
+    return found.select("vec_id", "place", *[F.round(c, 6).alias(c) for c in ("level", "bass", "treble")])
 
 
 @_R.add("s5_period", """WITH x AS (SELECT vec_id, abs(unnest(embedding))::DOUBLE AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),

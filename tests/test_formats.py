@@ -151,3 +151,25 @@ def test_window_forms_are_the_machines(spark):
     plain = lambda d, *c: sorted(str(tuple(x[n] for n in ("k", "t", *c))) for x in d.collect())
     assert plain(playback.recorded(df, "k", ["t"], 20), "kept", "total", "full") == plain(over_table(df, Recorder(20), "k"), "kept", "total", "full")
     assert plain(playback.record_slot(df, "k", ["t"]), "event", "item") == plain(over_table(df, RecordSlot(), "k"), "event", "item")
+
+
+def test_native_measures_are_the_kernels(spark):
+    """Periods and peaks inside Catalyst, and envelopes of chunks, against arrays in numpy."""
+    from quaverlake.functions import kernels as K
+
+    r = np.random.default_rng(3)
+    curves = [(k, np.round(np.abs(r.standard_normal(n)) + (np.arange(n) % 9 == 0), 2).tolist()) for k, n in enumerate([0, 1, 2, 3, 39, 40, 41, 120, 400])] + [(90, [0.0] * 60), (91, [1.0, 2.0, 2.0, 1.0, 5.0, 1.0])]
+    df = spark.createDataFrame([*curves, (None, None)], "k long, c array<double>")
+    got = {x["k"]: (x["frames"], x["confidence"]) for x in signal.periods(df, "k", "c", 20.0).collect()}
+    for k, c in curves:
+        want = K.period(np.array(c), 20.0)
+        assert got[k] == (None, None) if want is None else got[k][0] == want[0] and abs(got[k][1] - want[1]) < 1e-9, k
+    got = {x["k"]: x["places"] for x in signal.peaks(df, "k", "c", 4, 0.5).collect()}
+    assert got == {k: K.peaks(np.array(c), 4, 0.5) for k, c in curves} | {None: []}
+    waves = [(k, r.standard_normal(n).tolist()) for k, n in enumerate([0, 22, 23, 24, 500, 1000])]
+    df = spark.createDataFrame(waves, "k long, samples array<double>")
+    found = C.envelopes(C.cut_arrays(df, "k", "samples", 1000, 37), "k", 1000).collect()
+    for k, x in waves:
+        want = K.envelopes(np.array(x), 1000) if x else np.zeros((3, 0))
+        own = np.array([[f["level"], f["bass"], f["treble"]] for f in sorted(found, key=lambda f: f["place"]) if f["k"] == k]).reshape(-1, 3)
+        assert own.shape == want.T.shape and np.allclose(own, want.T, atol=1e-9)
