@@ -10,6 +10,7 @@ import wave
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,6 +147,22 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(kind(path))) if system.exists(kind(path)) else []
 
 
+def _claimed(spark: SparkSession, address: str) -> bool:
+    """Makes a file that must not be there yet: of several callers at once one succeeds."""
+    kind, system = _fs(spark, address)
+    place = kind(address)
+    system.mkdirs(place.getParent())
+    if system.getUri().getScheme() == "file":  # Hadoop's own call looks first and creates then
+        return spark._jvm.java.io.File(system.makeQualified(place).toUri().getPath()).createNewFile()
+    try:
+        system.create(place, False).close()
+        return True
+    except Py4JJavaError as e:
+        if any(x in e.java_exception.toString() for x in ("FileAlreadyExists", "AlreadyBeingCreated")):
+            return False
+        raise
+
+
 def journal_start(jobs: DataFrame, path: str) -> None:
     """Jobs (as JOB, each with an id of its own) that are about to run, written before they do: a generation of the journal."""
     jobs.select(*[f.split(" ")[0] for f in JOB.split(", ")]).write.parquet(f"{path}/starts/{time.time_ns():020d}-{uuid.uuid4().hex}")
@@ -166,7 +183,7 @@ def journal_take(spark: SparkSession, path: str) -> DataFrame:
     kind, system = _fs(spark, path)
     done = [g for g in _children(spark, f"{path}/starts") if system.exists(kind(f"{path}/starts/{g}/_SUCCESS"))]
     claimed = set(_children(spark, f"{path}/claims"))
-    won = [g for g in done if g not in claimed and system.createNewFile(kind(f"{path}/claims/{g}"))]
+    won = [g for g in done if g not in claimed and _claimed(spark, f"{path}/claims/{g}")]
     if not won:
         return spark.createDataFrame([], JOB)
     own = spark.read.schema(JOB).parquet(*[f"{path}/starts/{g}" for g in won])
@@ -201,10 +218,9 @@ def put_documents(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) ->
 
 
 def _buckets(spark: SparkSession, path: str, buckets: int) -> int:
-    kind, system = _fs(spark, path)
     names = [n for n in _children(spark, path) if n.startswith("buckets-")]
     if not names:
-        system.createNewFile(kind(f"{path}/buckets-{buckets}"))
+        _claimed(spark, f"{path}/buckets-{buckets}")
         names = [n for n in _children(spark, path) if n.startswith("buckets-")]
     return int(min(names).split("-")[1])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaverlake import sources
 from quaverlake.operators import library
+from quaverlake.sources import files
 
 
 def test_two_takers_share_no_job(spark, tmp_path):
@@ -14,11 +15,11 @@ def test_two_takers_share_no_job(spark, tmp_path):
     for g in range(6):
         sources.journal_start(spark.createDataFrame([(f"{g}-{i}", "k", "a", "t", 1, "/x", None, 5) for i in range(4)], sources.JOB), path)
     sources.journal_finish(spark.createDataFrame([("0-1",), ("3-3",)], "id string"), path)
-    got, gate = [[], []], threading.Barrier(2)
+    got, gate = [None, None], threading.Barrier(2)
 
     def take(k):
         gate.wait()
-        got[k] = [r["id"] for r in sources.journal_take(spark, path).collect()]
+        got[k] = [r["id"] for r in sources.journal_take(spark, path).collect()]  # a taker that fails leaves None
 
     takers = [threading.Thread(target=take, args=(k,)) for k in (0, 1)]
     for t in takers:
@@ -29,6 +30,22 @@ def test_two_takers_share_no_job(spark, tmp_path):
     assert sources.journal_take(spark, path).count() == 0
 
 
+def test_one_of_many_claims(spark, tmp_path):
+    for n in range(40):
+        got, gate = [], threading.Barrier(4)
+
+        def claim(n=n):
+            gate.wait()
+            got.append(files._claimed(spark, str(tmp_path / "claims" / str(n))))
+
+        own = [threading.Thread(target=claim) for _ in range(4)]
+        for t in own:
+            t.start()
+        for t in own:
+            t.join()
+        assert sorted(got) == [False, False, False, True]
+
+
 def test_documents_are_merged_on_read(spark, tmp_path):
     path = str(tmp_path / "cache")
     put = lambda rows, schema="k string, v int": sources.put_documents(spark.createDataFrame(rows, schema), path, "k", 16)
