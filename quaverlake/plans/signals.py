@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -113,14 +115,32 @@ def _(spark, sf):
     return p.select("vec_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
+_SCALE = {0: 1.0, 2: 0.3, 4: 0.6, 5: 0.4, 7: 0.8, 9: 0.4, 11: 0.3}
+
+
+@lru_cache(12)
+def _scale(root: float) -> np.ndarray:
+    """12 s at 8 kHz of two octaves of a major scale."""
+    x = np.arange(96000) / 8000.0
+    return sum(w / 12 * np.sin(root * 2 ** (octave + step / 12) * x) for octave in (0, 1) for step, w in _SCALE.items())
+
+
+@lru_cache(60)
+def _clicks(beat: float) -> np.ndarray:
+    x = np.arange(96000) / 8000.0
+    return np.exp(-60 * (x % beat)) * np.sin(22000 * x)
+
+
 @_R.add("s21_analysis")
 def _(spark, sf):
     """All measurements of a recording per user: 12 s at 8 kHz, a major scale on the user's tone under clicks at the user's tempo, as loud as the user's events."""
     users = table(spark, sf, "events").groupBy("user_id").agg((F.avg(F.abs("value")) / 100).alias("loud"))
-    t = F.transform(F.sequence(F.lit(0), F.lit(95999)), lambda i: i / 8000.0)
-    users = users.withColumns({"root": 2 * math.pi * 130.81 * F.pow(F.lit(2.0), F.col("user_id") % 12 / 12), "beat": 60.0 / (90 + F.col("user_id") % 60)})
-    scale = {0: 1.0, 2: 0.3, 4: 0.6, 5: 0.4, 7: 0.8, 9: 0.4, 11: 0.3}
-    tones = [(2 ** (octave + step / 12), w / 12) for octave in (0, 1) for step, w in scale.items()]
-    wave = F.transform(t, lambda x: F.col("loud") * (sum((w * F.sin(F.col("root") * f * x) for f, w in tones), F.lit(0.0)) + F.exp(-60 * (x % F.col("beat"))) * F.sin(22000 * x)))
-    found = S.analyse(users.select("user_id", wave.alias("samples"), F.lit(8000).alias("rate")), "user_id")
+    users = users.withColumns({"root": 2 * math.pi * 130.81 * F.pow(F.lit(2.0), F.col("user_id") % 12 / 12), "beat": 60.0 / (90 + F.col("user_id") % 60), "rate": F.lit(8000)})
+
+    def wave(loud: float, root: float, beat: float) -> np.ndarray:
+        return loud * (_scale(root) + _clicks(beat))
+
+    # few bytes, much to compute: not for one task. By the user it would be the aggregate's own shuffle, whose parts are put together
+    users = users.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = S.analyse(users, "user_id", made=wave, reads=("loud", "root", "beat"))
     return found.select("user_id", F.size("level").alias("windows"), F.round("bpm", 3).alias("bpm"), "tonic", "major", F.round("lufs", 3).alias("lufs"))

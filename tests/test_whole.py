@@ -33,3 +33,10 @@ def test_m2_last_span_under_a_longer_one(spark, tmp_path):
     events(spark, tmp_path, [(0, 1, "view", 100.0), (290, 1, "view", 1.0), (0, 2, "view", 5.0), (400, 2, "view", 0.0), (7, 3, "view", 2.0)])
     begin = 1_704_067_200  # 2024-01-01; a second of the table is a millisecond of the query
     assert same_as_sql(spark, tmp_path, "m2_pad_spans")[(2, begin + 370, begin + 400)] == 1
+
+
+def test_s21_is_dealt_over_tasks(spark, sf_dir):
+    """A few bytes a user, and much to compute: all users in one task took as long as one core."""
+    df = plans.queries()["s21_analysis"](spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert df.rdd.getNumPartitions() == n > 1 and df.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
