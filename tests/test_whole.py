@@ -40,3 +40,21 @@ def test_s21_is_dealt_over_tasks(spark, sf_dir):
     df = plans.queries()["s21_analysis"](spark, sf_dir)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert df.rdd.getNumPartitions() == n > 1 and df.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+
+
+def block(spark, folder, n):
+    """Parts of one brand and size whose names repeat."""
+    rows = [(k, ("hot ring", "red bolt", "hot bolt")[k // 5 % 3], "Brand#1", ("SMALL", "LARGE")[k // 15 % 2], 1 + (k > n - 9), 900.0) for k in range(n)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+
+
+def test_names_are_compared_once_for_two_kinds(spark, tmp_path):
+    from quaverlake.plans import matching
+
+    block(spark, tmp_path, 400)
+    p = matching.parts(spark, str(tmp_path))
+    kinds = [len({r["kind"] for r in p.where(f"p_size = {s}").collect()}) for s in (1, 2)]
+    assert matching.alike(p).count() == sum(n * n for n in kinds) < 400 * 400 / 50
+    assert len(same_as_sql(spark, tmp_path, "j2_best_synced")) > 300
+    for name in ("j1_candidate_scores", "j3_best_plain", "j6_art_pick", "j7_top_candidates"):
+        assert same_as_sql(spark, tmp_path, name)
