@@ -58,3 +58,11 @@ def test_names_are_compared_once_for_two_kinds(spark, tmp_path):
     assert len(same_as_sql(spark, tmp_path, "j2_best_synced")) > 300
     for name in ("j1_candidate_scores", "j3_best_plain", "j6_art_pick", "j7_top_candidates"):
         assert same_as_sql(spark, tmp_path, name)
+
+
+def test_pages_are_picked_by_tokens_made_once(spark):
+    from quaverlake.operators import matching
+
+    rows = [(1, 1, ["a", "b"], ["x"], ["a"], ["x"]), (1, 2, ["a", "b"], ["x"], ["b", "a"], ["x"]), (2, 1, ["c"], ["x"], ["d"], []), (3, 1, None, ["x"], ["d"], ["x"])]
+    df = spark.createDataFrame(rows, "k int, ord int, t array<string>, a array<string>, ft array<string>, fa array<string>")
+    assert sorted(map(tuple, matching.page_pick(df, "k", "t", "a", "ft", "fa").collect())) == [(1, 2, 3.0), (3, 1, 1.0)]
