@@ -12,34 +12,57 @@ LEAD_MS, JUMP_MS = 1800, 2000
 LEAST_ONSETS = 8
 
 
+#: Ranges of marks are met by two runs of a power of two; longer ones are cut.
+RUNS = 10
+
+
+def _strongest(ranges: DataFrame, kicks: DataFrame, by: str) -> DataFrame:
+    """ranges (by, lo, hi), kicks (by, n from 1 in order, kick) -> (by, lo, hi, kick): the strongest of those numbered lo + 1 to hi."""
+    w, best = Window.partitionBy(by).orderBy("n"), F.col("kick")
+    runs = kicks.withColumn("m0", best)
+    for j in range(1, RUNS + 1):
+        runs = runs.withColumn(f"m{j}", F.greatest(f"m{j - 1}", F.lead(f"m{j - 1}", 2 ** (j - 1)).over(w)))
+    runs = runs.select(F.col(by).alias("__k"), F.col("n").alias("__n"), F.posexplode(F.array(*[f"m{j}" for j in range(RUNS + 1)])).alias("__j", "__m"))
+    cut = ranges.withColumn("__a", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(2**RUNS).cast("long"))))
+    cut = cut.withColumn("__size", F.least(F.col("hi") - F.col("__a"), F.lit(2**RUNS))).withColumn("j", F.length(F.bin("__size")) - 1)
+    cut = cut.withColumn("s", F.explode(F.array(F.col("__a") + 1, F.col("__a") + F.col("__size") - F.pow(F.lit(2.0), F.col("j")).cast("long") + 1)))
+    met = cut.join(runs, (F.col(by) == F.col("__k")) & (F.col("s") == F.col("__n")) & (F.col("j") == F.col("__j")))
+    return met.groupBy(F.col(by).alias("__k"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")).agg(F.max("__m").alias("kick"))
+
+
 def fired(ticks: DataFrame, marks: DataFrame, by: str) -> DataFrame:
     """ticks (by, t, pos) and marks (by, at, kind drop or kick, strength) -> (by, t, pos, drop, kick, buildup), a row per tick.
 
-    A tick meets the marks since the tick before, and the drops that come within the lead. Both
-    sides are dealt into buckets as long as a jump, of which a tick covers at most three: an equal
-    join, no pair beyond it. Ticks without a position are left out; a jump, and the first tick, fire nothing.
+    A tick meets the marks since the tick before, and the drops that come within the lead. No tick meets a mark by a join: at
+    each place of a key the kicks so far are counted and the drops before and behind it are known, so a tick's drops are two
+    comparisons and its kicks a range of numbers. Ticks without a position are left out; a jump, and the first tick, fire nothing.
     """
     steps = Window.partitionBy(by).orderBy("t", "pos")
-    known = ticks.where("pos is not null").withColumn("before", F.lag("pos").over(steps))
+    known = ticks.where("pos is not null")
+    spots = marks.where(F.col("at").isNotNull() & F.col(by).isNotNull()).select(by, F.col("at").alias("x"), (F.col("kind") == "drop").alias("drop"), F.when(F.col("kind") == "kick", F.col("strength")).alias("kick"))
+    asked = known.select(by, F.col("pos").alias("x")).distinct().select("*", F.lit(None).cast("boolean").alias("drop"), F.lit(None).cast("double").alias("kick"))
+    places = spots.unionByName(asked).groupBy(by, "x").agg(F.max("drop").alias("drop"), F.max("kick").alias("kick"))
+    dropped = F.when(F.col("drop"), F.col("x"))
+    on = Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(by).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
+    places = places.select(F.col(by).alias("__k"), F.col("x").alias("__x"), "kick", F.count("kick").over(on).alias("n"), F.last(dropped, ignorenulls=True).over(on).alias("last"), F.last(dropped, ignorenulls=True).over(back).alias("next"))
+    kicks = places.where("kick is not null").select(F.col("__k").alias(by), "n", "kick")
+    known = known.join(places, (F.col(by) == F.col("__k")) & (F.col("pos") == F.col("__x")), "left").withColumn("under", F.col("n") - F.col("kick").isNotNull().cast("long"))
+    known = known.select(by, "t", "pos", "n", "under", "last", "next", F.lag("pos").over(steps).alias("before"), F.lag("n").over(steps).alias("n_before"), F.lag("under").over(steps).alias("under_before"))
     jump = F.col("before").isNull() | (F.col("pos") < F.col("before")) | (F.col("pos") - F.col("before") > JUMP_MS)
     known = known.withColumn("jump", jump)
     # behind a jump the mark at its very position is still to come
     known = known.withColumn("closed", F.coalesce(F.lag("jump").over(steps), F.lit(False)))
-    bucket = lambda c: F.floor(c / JUMP_MS).cast("long")
-    near = known.where(~F.col("jump")).select(by, "t", "pos", "before", "closed", F.explode(F.sequence(bucket(F.col("before")), bucket(F.col("pos") + LEAD_MS))).alias("__b"))
-    placed = marks.select(F.col(by).alias("__k"), "at", "kind", "strength", bucket(F.col("at")).alias("__b"))
-    met = near.join(placed, (F.col(by) == F.col("__k")) & (near["__b"] == placed["__b"]))
-    passed = ((F.col("at") > F.col("before")) | (F.col("closed") & (F.col("at") == F.col("before")))) & (F.col("at") <= F.col("pos"))
-    ahead = (F.col("kind") == "drop") & (F.col("at") > F.col("pos")) & (F.col("at") - F.col("pos") < LEAD_MS)
-    found = met.where(passed | ahead).groupBy(F.col(by).alias("__k"), F.col("t").alias("__t"), F.col("pos").alias("__p")).agg(
-        F.max(passed & (F.col("kind") == "drop")).alias("drop"),
-        F.max(F.when(passed & (F.col("kind") == "kick"), F.col("strength"))).alias("kick"),
-        F.min(F.when(ahead, F.col("at") - F.col("pos"))).alias("wait"),
-    )
-    on = (F.col(by) == F.col("__k")) & (F.col("t") == F.col("__t")) & (F.col("pos") == F.col("__p")) & ~F.col("jump")
-    return known.join(found, on, "left").select(
-        by, "t", "pos", F.coalesce("drop", F.lit(False)).alias("drop"), F.greatest(F.coalesce("kick", F.lit(0.0)), F.lit(0.0)).alias("kick"),
-        F.coalesce(1 - F.col("wait") / LEAD_MS, F.lit(0.0)).alias("buildup"),
+    drop = (F.col("last") > F.col("before")) | (F.col("closed") & (F.col("last") == F.col("before")))
+    known = known.select(by, "t", "pos", "jump", F.when(F.col("closed"), F.col("under_before")).otherwise(F.col("n_before")).alias("lo"), F.col("n").alias("hi"),
+        F.coalesce(drop & ~F.col("jump"), F.lit(False)).alias("drop"), F.when(~F.col("jump") & (F.col("next") - F.col("pos") < LEAD_MS), F.col("next") - F.col("pos")).alias("wait"))
+    found = _strongest(known.where(~F.col("jump") & (F.col("hi") > F.col("lo"))).select(by, "lo", "hi").distinct(), kicks, by)
+    met = known.join(found, (F.col(by) == F.col("__k")) & (F.col("lo") == F.col("__lo")) & (F.col("hi") == F.col("__hi")) & ~F.col("jump"), "left")
+    same = Window.partitionBy(by, "t", "pos")  # equal ticks fire together
+    all_of = lambda c: F.when(~F.col("jump"), c.over(same))
+    return met.select(
+        by, "t", "pos", F.coalesce(all_of(F.max("drop")), F.lit(False)).alias("drop"), F.greatest(F.coalesce(all_of(F.max("kick")), F.lit(0.0)), F.lit(0.0)).alias("kick"),
+        F.coalesce(1 - all_of(F.min("wait")) / LEAD_MS, F.lit(0.0)).alias("buildup"),
     )
 
 

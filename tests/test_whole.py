@@ -66,3 +66,27 @@ def test_pages_are_picked_by_tokens_made_once(spark):
     rows = [(1, 1, ["a", "b"], ["x"], ["a"], ["x"]), (1, 2, ["a", "b"], ["x"], ["b", "a"], ["x"]), (2, 1, ["c"], ["x"], ["d"], []), (3, 1, None, ["x"], ["d"], ["x"])]
     df = spark.createDataFrame(rows, "k int, ord int, t array<string>, a array<string>, ft array<string>, fa array<string>")
     assert sorted(map(tuple, matching.page_pick(df, "k", "t", "a", "ft", "fa").collect())) == [(1, 2, 3.0), (3, 1, 1.0)]
+
+
+def test_fired_meets_no_mark_by_a_join(spark):
+    """Thousands of kicks between two ticks, against a plain loop; no place of a mark is in a join."""
+    import random
+
+    from quaverlake.operators import playback
+
+    r = random.Random(4)
+    marks = [(1, r.randrange(20_000) / 4, r.choice(["kick", "kick", "drop"][: 2 + (k % 40 == 0)]), r.random()) for k in range(12_000)]
+    pos = [0.0, 10.0, 1990.0, 3990.0, 3990.0, 3000.0, 3100.5, 4900.25]
+    df = spark.createDataFrame([(1, t, p) for t, p in enumerate(pos)], "k int, t int, pos double")
+    fired = playback.fired(df, spark.createDataFrame(marks, "k int, at double, kind string, strength double"), "k")
+    joins = [line for line in fired._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("(at#" in line or "_b#" in line for line in joins)
+    got = {x["t"]: (x["drop"], x["kick"], round(x["buildup"], 9)) for x in fired.collect()}
+    jumps = [t == 0 or p < pos[t - 1] or p - pos[t - 1] > 2000 for t, p in enumerate(pos)]
+    for t, p in enumerate(pos):
+        if jumps[t]:
+            assert got[t] == (False, 0, 0)
+            continue
+        met = [m for m in marks if (pos[t - 1] < m[1] or jumps[t - 1] and pos[t - 1] == m[1]) and m[1] <= p]
+        wait = min((m[1] - p for m in marks if m[2] == "drop" and 0 < m[1] - p < 1800), default=1800)
+        assert got[t] == (any(m[2] == "drop" for m in met), max((m[3] for m in met if m[2] == "kick"), default=0), round(1 - wait / 1800, 9))
