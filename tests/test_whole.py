@@ -69,7 +69,7 @@ def test_parts_meet_in_blocks_without_a_join(spark, tmp_path, monkeypatch):
     rows = [(k, names[k * 7 % 31 % 6], "Brand#1", kinds[k // 30 % 3], 1 + (k > 290), 900.0) for k in range(300)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(matching, "PIECE", 50)
-    for name in ("j2_best_synced",):
+    for name in ("j2_best_synced", "j3_best_plain"):
         df = plans.queries()[name](spark, str(tmp_path))
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
         assert same_as_sql(spark, tmp_path, name)
