@@ -69,12 +69,34 @@ def test_parts_meet_in_blocks_without_a_join(spark, tmp_path, monkeypatch):
     rows = [(k, names[k * 7 % 31 % 6], "Brand#1", kinds[k // 30 % 3], 1 + (k > 290), 900.0) for k in range(300)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(matching, "PIECE", 50)
-    for name in ("j2_best_synced", "j3_best_plain"):
+    for name in ("j2_best_synced", "j3_best_plain", "j6_art_pick", "j7_top_candidates"):
         df = plans.queries()[name](spark, str(tmp_path))
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
         assert same_as_sql(spark, tmp_path, name)
 
 
+def test_names_of_a_block_in_small_matrices(spark, sf_dir, monkeypatch):
+    """Kinds a few at a time, against the column functions on pairs of kinds."""
+    from quaverlake.functions import blocks
+    from quaverlake.operators import matching as M
+    from quaverlake.plans import matching
+
+    p = matching.parts(spark, sf_dir).where("p_size < 9").withColumns({"p_brand": F.lit("Brand#1"), "p_size": F.lit(1)}).cache()
+    wanted = {(r.w_kind.part, r.c_kind.part): (r.like, r.tags, r.art) for r in matching.alike(p).collect()}
+    named = M.with_tokens(p, "title", "p_type", "w_").select("part", F.col("kind.part").alias("kind"), *[F.lit(True).alias(c) for c in ("own", "fit")], *[F.lit(1).alias(c) for c in ("wanted_s", "found_s", "turn")],
+        F.col("title").alias("name"), F.lower("title").alias("low"), F.col("w_title").alias("t"), F.col("w_raw").alias("r"), F.col("w_artist").alias("a"), F.col("w_full").alias("f"), F.col("w_tags").alias("g"))
+    monkeypatch.setattr(blocks, "CELLS", 100)
+    b = blocks.Block(named.toArrow().to_batches())
+    ids, met = sorted({k for k, _ in wanted}), 0
+    for kinds, _ in b.asking(len(ids)):
+        (like, tags), art = b.lyrics(kinds), b.art(kinds)
+        for i, k in enumerate(ids[kinds]):
+            for j, c in enumerate(ids):
+                assert (like[i, j], tags[i, j]) == wanted[k, c][:2] and art[i, j] / 1e6 == round(wanted[k, c][2], 6)
+                met += 1
+    assert met == len(wanted) > 500
+
+
 def test_pages_are_picked_by_tokens_made_once(spark):
     from quaverlake.operators import matching
 
