@@ -69,7 +69,7 @@ def test_parts_meet_in_blocks_without_a_join(spark, tmp_path, monkeypatch):
     rows = [(k, names[k * 7 % 31 % 6], "Brand#1", kinds[k // 30 % 3], 1 + (k > 290), 900.0) for k in range(300)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(matching, "PIECE", 50)
-    for name in ("j2_best_synced", "j3_best_plain", "j6_art_pick", "j7_top_candidates"):
+    for name in ("j1_candidate_scores", "j2_best_synced", "j3_best_plain", "j6_art_pick", "j7_top_candidates"):
         df = plans.queries()[name](spark, str(tmp_path))
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
         assert same_as_sql(spark, tmp_path, name)
@@ -77,6 +77,8 @@ def test_parts_meet_in_blocks_without_a_join(spark, tmp_path, monkeypatch):
 
 def test_names_of_a_block_in_small_matrices(spark, sf_dir, monkeypatch):
     """Kinds a few at a time, against the column functions on pairs of kinds."""
+    import pyarrow as pa
+
     from quaverlake.functions import blocks
     from quaverlake.operators import matching as M
     from quaverlake.plans import matching
@@ -94,7 +96,7 @@ def test_names_of_a_block_in_small_matrices(spark, sf_dir, monkeypatch):
             for j, c in enumerate(ids):
                 assert (like[i, j], tags[i, j]) == wanted[k, c][:2] and art[i, j] / 1e6 == round(wanted[k, c][2], 6)
                 met += 1
-    assert met == len(wanted) > 500
+    assert met == len(wanted) > 500 and isinstance(next(blocks.all_pairs(b)), pa.RecordBatch)
 
 
 def test_pages_are_picked_by_tokens_made_once(spark):
